@@ -27,7 +27,7 @@ SLICE = 1 << 20
 MODEL_ROWS = 1_000_000
 #: Evidence counts as that of this many words at most, so that score tells sure from unsure texts.
 EVIDENCE = 20
-CACHE = 100_000
+CACHE = 200_000
 
 
 def words(text: str) -> Iterator[list[str]]:
@@ -83,7 +83,16 @@ class Model:
     """Log frequencies: for size 0 of words, for 1 to LONGEST of n-grams."""
 
     def __init__(self, langs: list[str], tables: list[dict[str, int]], weights: list[np.ndarray]):
-        self.langs, self.tables, self.weights, self.cache = langs, tables, weights, {}
+        self.langs, self.tables, self.weights = langs, tables, weights
+        self.forget()
+
+    def forget(self) -> None:
+        """One table of the words that the model knows, with room for unseen ones."""
+        self.at = dict(self.tables[0])
+        self.rows = np.vstack([self.weights[0].reshape(-1, len(self.langs)), np.zeros((CACHE, len(self.langs)))])
+
+    def __reduce__(self):
+        return Model, (self.langs, self.tables, self.weights)
 
     @classmethod
     def of(cls, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]) -> Model:
@@ -102,34 +111,32 @@ class Model:
             weights.append(np.log((counts + 0.5) / (total + 0.5 * len(table) + 1)))
         return cls(langs, tables, weights)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """By the longest n-grams of which the model knows any; they count by their mean."""
-        if (known := self.cache.get(word)) is None:
-            known = np.zeros(len(self.langs))
-            for size in range(LONGEST, 0, -1):
-                if at := [i for g in grams(word, size) if (i := self.tables[size].get(g)) is not None]:
-                    known = self.weights[size][at].mean(axis=0)
-                    break
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(word) < 64:
-                self.cache[word] = known
-        return known
+    def unseen(self, word: str) -> int:
+        """The row of an unseen word: by the longest n-grams of which the model knows any; they count by their mean."""
+        row = self.at[word] = len(self.at)
+        for size in range(LONGEST, 0, -1):
+            get = self.tables[size].get
+            if at := [i for g in grams(word, size) if (i := get(g)) is not None]:
+                self.rows[row] = self.weights[size].take(at, axis=0).sum(axis=0) / len(at)
+                return row
+        self.rows[row] = 0
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, n, letter = np.zeros(len(self.langs)), 0, False
         for some in words(text or ""):
-            at, times = [], []
-            for word, k in Counter(some).items():
-                letter = letter or any(map(str.isalpha, word))
-                n += k
-                if (i := self.tables[0].get(word)) is not None:
-                    at.append(i)
-                    times.append(k)
-                else:
-                    total += k * self.unseen(word)
-            if at:
-                total += np.array(times) @ self.weights[0][at]
+            if len(self.at) + len(some) > len(self.rows):
+                self.forget()
+            if len(some) > CACHE:
+                self.rows = np.vstack([self.rows, np.zeros((len(some), len(self.langs)))])
+            counts = Counter(some)
+            letter = letter or any(any(map(str.isalpha, w)) for w in counts)
+            at = list(map(self.at.get, counts))
+            if None in at:
+                at = [self.unseen(w) if i is None else i for w, i in zip(counts, at, strict=True)]
+            n += len(some)
+            if some:
+                total += np.array(list(counts.values())) @ self.rows[at]
         if not letter or not self.langs:
             return "und", 0.0
         scaled = total / n * min(n, EVIDENCE)
