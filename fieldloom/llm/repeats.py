@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, written
+from .common import attach, written
 from .line_dedup import MAX_BITS, KEY_BITS, SEGMENT_BITS, _has, probes, twice_seen
 
 GRAM, STEP, BUCKET_BYTES, HOT = 64, 50, 1 << 20, 1000
@@ -198,8 +198,7 @@ def _batch(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
 def _with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """texts (id, text_hash, text) with the documents' lists (id, text_hash, held); lists is a written table."""
     named = lists.select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), "held")
-    n, entries = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("held")), F.lit(0))).first()
-    side = F.broadcast(named) if n <= BROADCAST_ROWS and entries <= BROADCAST_ROWS else named.hint("shuffle_hash")
+    side = named.hint("shuffle_hash")  # as long as the corpus, so never broadcast
     return texts.join(side, texts["id"].eqNullSafe(side["l_id"]) & texts["text_hash"].eqNullSafe(side["l_hash"]), "left").select("id", "text_hash", "text", "held")
 
 
