@@ -14,8 +14,10 @@ A `length`-byte string that starts at two places must be found without sorting a
    before those of the other, and each round deals it out stably by the transforms' symbols, after which it is ordered by
    one more symbol. The round in which two neighbours first fall apart is their common prefix; intervals of neighbours that
    agree for length / STEP rounds are the repeated strings. No suffix is sorted again.
-4. An anchor hash with over HOT stretches would not fit a bucket: its strings are counted by their digests, an exact way
-   for the rest.
+4. An anchor hash with over HOT stretches would not fit a bucket. Its stretches shrink first: strings that a twice-seen
+   filter of the strings' digests has seen once are unique, and the runs of the others are shorter stretches, most of
+   them equal, which go through steps 2 and 3. If over HOT different ones are left, their strings are counted by their
+   digests, an exact way for the rest.
 
 A gram and a symbol are known by 64-bit hashes, a stretch by a 128-bit digest.
 
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 from .common import attach, written
 from .line_dedup import MAX_BITS, KEY_BITS, SEGMENT_BITS, _has, probes, twice_seen
 
-GRAM, STEP, BUCKET_BYTES, HOT = 64, 50, 1 << 20, 1000
+GRAM, STEP, BUCKET_BYTES, HOT = 64, 50, 1 << 18, 1000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK, PLACES = 1 << 20, (1 << 21) - 1
+BLOCK, PLACES = 1 << 18, (1 << 21) - 1
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -238,56 +240,109 @@ def suspects(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(found, STRETCHES)
 
 
-def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
-    """id, text_hash, held: byte spans (start, end) of each document that repeated strings cover; they may overlap."""
-    stretches = written(suspects(texts, length), "stretches")
-    kinds = stretches.groupBy("digest").agg(F.first("hash").alias("hash"), F.count(F.lit(1)).alias("group_rows"), F.min(F.struct("id", "text_hash", "first", "run")).alias("at"))
-    kinds = written(kinds, "stretch-kinds")
-    # 2. stretches that occur twice
-    whole = attach(stretches, kinds.where("group_rows > 1").select("digest", "group_rows"), "digest", F.struct("id", "first"), stretches.count(), "inner")
-    whole = whole.select("id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("run") + length - 1).alias("end"))
-    # 3. those that share their anchor with different ones
-    shared = written(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1"), "stretch-anchors")
-    mixed = attach(kinds.withColumnRenamed("group_rows", "times"), shared, "hash", F.col("digest"), kinds.count(), "inner").select("hash", "times", "at.*", (F.col("group_rows") > HOT).alias("hot"))
-    wanted = written(mixed.groupBy("id", "text_hash").agg(F.collect_list(F.struct("hash", "first", "run", "times", "hot")).alias("held")), "stretch-wanted")
+CUTS = "id long, text_hash long, hash long, first int, times long, stretch binary"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text_hash", "hash", "first", "times", "hot", "stretch"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+
+def shrunk(wide: DataFrame, length: int) -> DataFrame:
+    """The runs of strings of the stretches (CUTS) that may be repeated: as stretches, with their digest."""
+    n = wide.agg(F.coalesce(F.sum((F.length("stretch") - length + 1) * F.least("times", F.lit(2))), F.lit(0))).first()[0]
+    bits = SEGMENT_BITS
+    while bits < min(n * KEY_BITS, MAX_BITS):
+        bits *= 2
+    string = lambda s, i: hashlib.blake2b(s[i : i + length], digest_size=16).digest()
+    strings = lambda s: b"".join(string(s, i) for i in range(len(s) - length + 1))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                out = [(i, h, x["hash"], x["first"], x["times"], x["hot"], t[x["first"] : x["first"] + x["run"] + length - 1]) for i, h, t, held in _rows(batch.slice(at, 500)) for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 7, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([strings(s) * min(times, 2) for times, s in _rows(batch)], pa.binary())], names=["keys"])
 
-    cuts = _with_lists(texts, wanted).where(F.col("held").isNotNull()).mapInArrow(cut, "id long, text_hash long, hash long, first int, times long, hot boolean, stretch binary")
-    cuts = written(cuts, "stretch-bytes")
-    total = cuts.where("not hot").agg(F.coalesce(F.sum(F.length("stretch")), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    twice = wide.sparkSession.sparkContext.broadcast(twice_seen(wide.select("times", "stretch").mapInArrow(keys, "keys binary"), bits))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, text_hash, h, first, times, s in _rows(batch):
+                hit = _has(twice.value, probes(np.frombuffer(strings(s), np.uint64)[::2], bits))
+                for start, end in spans_of(hit, 0, 1):
+                    part = s[start : end + length - 1]
+                    out.append((doc_id, text_hash, h, first + start, times, part, hashlib.blake2b(part, digest_size=16).digest()))
+            yield _batch(f"{CUTS}, digest binary", out)
+
+    return wide.select([c.split()[0] for c in CUTS.split(", ")]).mapInArrow(runs, f"{CUTS}, digest binary")
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def solved() -> pa.RecordBatch:
-            found = repeated_starts([x[-1] for x in held], length)
-            return _batch(SPANS, [(i, h, s, e) for (_, i, h, first, times, _), marks in zip(held, found, strict=True) if times == 1 for s, e in spans_of(marks, first, length)])
+def solve_buckets(cuts: DataFrame, length: int) -> DataFrame:
+    """SPANS of the strings that stretches (CUTS, all different) with equal anchor hashes share; of stretches that occur once."""
+    total = cuts.agg(F.coalesce(F.sum(F.length("stretch")), F.lit(0))).first()[0]
 
+    def solved(held: list[tuple]) -> pa.RecordBatch:
+        found = repeated_starts([x[-1] for x in held], length)
+        return _batch(SPANS, [(i, h, s, e) for (_, i, h, first, times, _), marks in zip(held, found, strict=True) if times == 1 for s, e in spans_of(marks, first, length)])
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for row in _rows(batch):
                 if held and row[0] != held[0][0]:
-                    yield solved()
+                    yield solved(held)
                     held = []
                 held.append(row)
         if held:
-            yield solved()
-
-    dealt = cuts.where("not hot").select(F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"), "id", "text_hash", "first", "times", "stretch")
-    partly = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(bucket, SPANS)
-    # 4. hot anchors: one digest for each string
-    strings = cuts.where("hot").select("id", "text_hash", "first", "times", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("stretch") - length + 1), lambda i: F.unhex(F.md5(F.substring("stretch", i, F.lit(length)))))).alias("i", "string"))
-    strings = written(strings, "hot-strings")
-    counts = written(strings.groupBy("string").agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1"), "hot-repeats")
-    hot = attach(strings.where("times = 1"), counts, "string", F.struct("id", "first", "i"), strings.count(), "inner").select("id", "text_hash", (F.col("first") + F.col("i")).alias("start"), (F.col("first") + F.col("i") + length).alias("end"))
-    spans = whole.unionByName(partly).unionByName(hot)
+            yield solved(held)
+
+    dealt = cuts.select(F.pmod(F.xxhash64("hash"), F.lit(max(1, -(-total // BUCKET_BYTES)))).alias("bucket"), "id", "text_hash", "first", "times", "stretch")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(bucket, SPANS)
+
+
+def solve_strings(cuts: DataFrame, length: int) -> DataFrame:
+    """As solve_buckets, by one digest for each string: those that occur once are found by counting, the rest repeats."""
+    wide = cuts.withColumn("last", F.length("stretch") - length)
+    strings = wide.select("id", "text_hash", "first", "times", F.posexplode(F.transform(F.sequence(F.lit(0), "last"), lambda i: F.unhex(F.md5(F.substring("stretch", i + 1, F.lit(length)))))).alias("i", "string"))
+    once = strings.groupBy("string").agg(F.sum("times").alias("n"), F.first(F.struct("id", "text_hash", "first", "i")).alias("at")).where("n = 1")
+    once = once.groupBy("at.id", "at.text_hash", "at.first").agg(F.collect_list("at.i").alias("lone")).select(F.col("id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("first").alias("o_first"), "lone")
+    joined = wide.where("times = 1").join(once, F.col("id").eqNullSafe(F.col("o_id")) & F.col("text_hash").eqNullSafe(F.col("o_hash")) & (F.col("first") == F.col("o_first")), "left")
+    again = F.array_except(F.sequence(F.lit(0), "last"), F.coalesce("lone", F.array().cast("array<int>")))
+    spans = F.transform(again, lambda i: F.struct((F.col("first") + i).alias("start"), (F.col("first") + i + length).alias("end")))
+    return joined.select("id", "text_hash", F.explode(spans).alias("s")).select("id", "text_hash", "s.start", "s.end")
+
+
+def with_anchor_size(kinds: DataFrame) -> DataFrame:
+    """The stretches (hash, times, ...) that share their anchor hash with a different one, with hot (over HOT of them)."""
+    shared = written(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1"), "stretch-anchors")
+    return attach(kinds, shared, "hash", F.col("digest"), kinds.count(), "inner").withColumn("hot", F.col("group_rows") > HOT).drop("group_rows")
+
+
+def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
+    """id, text_hash, held: byte spans (start, end) of each document that repeated strings cover; they may overlap."""
+    stretches = written(suspects(texts, length), "stretches")
+    kinds = stretches.groupBy("digest").agg(F.first("hash").alias("hash"), F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "text_hash", "first", "run")).alias("at"))
+    kinds = written(kinds, "stretch-kinds")
+    # 2. stretches that occur twice
+    twice = kinds.where("times > 1").select("digest", F.col("times").alias("group_rows"))
+    whole = attach(stretches, twice, "digest", F.struct("id", "first"), stretches.count(), "inner")
+    whole = whole.select("id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("run") + length - 1).alias("end"))
+    # 3. those that share their anchor with different ones
+    mixed = with_anchor_size(kinds).select("hash", "times", "at.*", "hot")
+    wanted = written(mixed.groupBy("id", "text_hash").agg(F.collect_list(F.struct("hash", "first", "run", "times", "hot")).alias("held")), "stretch-wanted")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out = [(i, h, x["hash"], x["first"], x["times"], t[x["first"] : x["first"] + x["run"] + length - 1], int(x["hot"])) for i, h, t, held in _rows(batch.slice(at, 500)) for x in held]
+                yield _batch(f"{CUTS}, hot int", out)
+
+    cuts = written(_with_lists(texts, wanted).where(F.col("held").isNotNull()).mapInArrow(cut, f"{CUTS}, hot int"), "stretch-bytes")
+    spans = whole.unionByName(solve_buckets(cuts.where("hot = 0").drop("hot"), length))
+    # 4. hot anchors
+    hot = cuts.where("hot = 1").drop("hot")
+    if hot.limit(1).count():
+        parts = written(shrunk(hot, length), "hot-stretches")
+        kinds = parts.groupBy("digest").agg(F.first("hash").alias("hash"), F.sum("times").alias("times"), F.min(F.struct("id", "text_hash", "first")).alias("at"), F.first("stretch").alias("stretch"))
+        kinds = written(kinds, "hot-kinds")
+        again = attach(parts.drop("times"), kinds.where("times > 1").select("digest", F.col("times").alias("group_rows")), "digest", F.struct("id", "first"), parts.count(), "inner")
+        again = again.select("id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.length("stretch")).alias("end"))
+        left = written(with_anchor_size(kinds).select("at.id", "at.text_hash", "hash", "at.first", "times", "stretch", "hot"), "hot-mixed")
+        spans = spans.unionByName(again).unionByName(solve_buckets(left.where("not hot").drop("hot"), length)).unionByName(solve_strings(left.where("hot").drop("hot"), length))
     return spans.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("held"))
 
 
