@@ -114,7 +114,7 @@ def draw(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **aims) -> Dat
     """The mix itself: docs' columns, mix_copy (0 up), mix_shard and mix_place (the order within the shard), one row a copy."""
     plan = mixed(docs, shards, seed, **aims)
     # repeated rows are taken alike, so one row of the plan stands for them
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(F.max(F.col("whole") + F.col("drawn")).alias("__copies"), F.max("shard").alias("__shard")).where("__copies > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(F.max(F.col("whole") + F.col("drawn")).alias("__copies"), F.max("shard").alias("__shard")).where("__copies > 0").hint("shuffle_hash")
     found = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]) & (F.xxhash64(docs["text"]).eqNullSafe(plan["__hash"])) & docs["source"].cast("string").eqNullSafe(plan["__source"]))
     out = found.select(*docs.columns, "__shard", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("mix_copy"))
     spread = F.pmod(F.xxhash64("doc_id", "mix_copy", F.lit(seed)), F.lit(shards)).cast("int")
