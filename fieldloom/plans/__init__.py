@@ -1,3 +1,6 @@
-"""Registered queries."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries and their SQL."""
+
+from . import aggregates, estimates, joins, recode
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates", "estimates", "joins", "recode"]
