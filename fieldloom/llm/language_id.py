@@ -89,7 +89,7 @@ class Model:
     def forget(self) -> None:
         """One table of the words that the model knows, with room for unseen ones."""
         self.at = dict(self.tables[0])
-        self.rows = np.vstack([self.weights[0].reshape(-1, len(self.langs)), np.zeros((CACHE, len(self.langs)))])
+        self.rows = np.vstack([self.weights[0], np.zeros((CACHE, len(self.langs)))])
 
     def __reduce__(self):
         return Model, (self.langs, self.tables, self.weights)
