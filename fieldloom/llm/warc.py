@@ -132,7 +132,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         yield _parsed([data[ranges[i][0] - first : sum(ranges[i]) - first] for i in some])
                 start = end
 
-    wanted = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    # the index is small next to what it names, so the number of tasks follows the archives
+    tasks = index.agg(F.greatest(F.lit(1), F.countDistinct("archive"), F.ceil(F.sum("length") / ARCHIVE)).cast("int")).first()[0]
+    wanted = index.select("archive", "offset", "length").repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
     return wanted.mapInArrow(run, schema)
 
 
