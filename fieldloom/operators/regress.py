@@ -180,3 +180,69 @@ def support(df: DataFrame, cluster: str, household: str, exposures: list[str]) -
     varies = df.groupBy(cluster).agg(*[(F.min(x) < F.max(x)).alias(f"v_{x}") for x in exposures], F.count(F.lit(1)).alias("units"), F.countDistinct(household).alias("households"))
     every = F.forall(F.array(*[F.coalesce(f"v_{x}", F.lit(False)) for x in exposures]), lambda v: v)
     return varies.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(every).alias("clusters_varying"), F.sum(F.when(every, F.col("households")).otherwise(0)).alias("households_varying"), F.sum(F.when(every, F.col("units")).otherwise(0)).alias("units_varying"))
+
+
+def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None, effects: list[str] = ()) -> dict[tuple[str, str], Fit]:
+    """Many weighted least-squares models, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
+
+    The table is read twice however many models there are: one pass sums the cross products of every column by scope, the
+    other the clusters' scores of every model. All models use the rows where every column is present. Columns of effects
+    join each model and leave it where they are constant in a scope. Scopes must be few: their small matrices come here.
+    """
+    xs = list(dict.fromkeys(["_one", *[x for _, right in specs.values() for x in right], *effects]))
+    ys = list(dict.fromkeys(y for y, _ in specs.values()))
+    columns = xs + ys
+    levels = F.array(F.lit("ALL"), F.col(scope).cast("string")) if scope else F.array(F.lit("ALL"))
+    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0).withColumn("_scope", F.explode(levels)).where("_scope is not null")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.groupBy("_scope").agg(F.count(F.lit(1)), *[F.sum(F.col(weight) * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs]).collect()
+    fits, betas, kept = {}, [], {}
+    for level, n, *values in sums:
+        g = np.zeros((len(columns), len(columns)))
+        for (i, j), v in zip(pairs, values, strict=True):
+            g[i, j] = g[j, i] = v
+        spread = {c: g[i, i] - g[0, i] ** 2 / g[0, 0] > ABSORBED * max(g[i, i], 1e-300) for i, c in enumerate(columns)}
+        row = []
+        for name, (y, right) in specs.items():
+            use = ["_one", *right, *[c for c in effects if spread[c] and c not in right]]
+            at, end = [columns.index(c) for c in use], columns.index(y)
+            sub = g[np.ix_(at, at)]
+            rank, _ = scaled_rank(sub)
+            beta = np.zeros(len(xs))
+            if rank < len(use) or n <= len(use):
+                fits[level, name] = Fit("non_estimable_rank_deficient", n=n, rank=rank)
+            else:
+                beta[at] = np.linalg.solve(sub, g[at, end])
+                fits[level, name] = Fit("estimated", ["intercept" if c == "_one" else c for c in use], beta[at], None, n, 0, len(use), rank)
+                kept[level, name] = (at, sub)
+            row += [float(b) for b in beta]
+        betas.append((level, row))
+    if not kept:
+        return fits
+    table = df.sparkSession.createDataFrame(betas, "_level string, _beta array<double>")
+    joined = rows.join(F.broadcast(table), F.col("_scope") == F.col("_level"))
+    scores, products, at_product = [], [], {}
+    for s, (name, (y, _)) in enumerate(specs.items()):
+        residual = F.col(y)
+        for i, c in enumerate(xs):
+            residual = residual - F.col("_beta")[s * len(xs) + i] * F.col(c)
+        joined = joined.withColumn(f"_e{s}", F.col(weight) * residual)
+        used = sorted({i for (_, m), (at, _) in kept.items() if m == name for i in at})
+        scores += [F.sum(F.col(c) * F.col(f"_e{s}")).alias(f"s{s}_{i}") for i, c in enumerate(xs) if i in used]
+        for i in used:
+            for j in used:
+                if j >= i:
+                    at_product[name, i, j] = len(products)
+                    products.append(F.sum(F.col(f"s{s}_{i}") * F.col(f"s{s}_{j}")).alias(f"m{len(products)}"))
+    for level, clusters, *m in joined.groupBy("_scope", cluster).agg(*scores).groupBy("_scope").agg(F.count(F.lit(1)), *products).collect():
+        for name in specs:
+            if (level, name) in kept:
+                at, sub = kept[level, name]
+                fit = fits[level, name]
+                inner = np.array([[m[at_product[name, min(i, j), max(i, j)]] for j in at] for i in at])
+                fit.clusters = clusters
+                if clusters < 2:
+                    fits[level, name] = Fit("non_estimable_one_cluster", n=fit.n, clusters=clusters, rank=fit.rank)
+                else:
+                    fit.cov = crv1(sub, inner, clusters, fit.n, fit.k)
+    return fits
