@@ -98,8 +98,13 @@ def candidate_cells(clusters: DataFrame, grid: Grid, x: str, y: str, radius: str
 
 
 def overlap_weights(clusters: DataFrame, grid: Grid, x: str, y: str, radius: str, key: str) -> DataFrame:
-    """key, row, col, in_grid, area: the square metres that a cluster's disk shares with each cell; slivers go."""
-    cells = candidate_cells(clusters, grid, x, y, radius, key)
+    """key, row, col, in_grid, area: the square metres that a cluster's disk shares with each cell; slivers go.
+
+    A small cluster table fans out to many cells and layers, so it is dealt to tasks by key first; what follows by key
+    needs no other shuffle.
+    """
+    parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = candidate_cells(clusters.repartition(parts, key), grid, x, y, radius, key)
     px = lambda i: (grid.x0 + (F.col("col") + i) * grid.sx - F.col(x)) * F.col("_mx")
     py = lambda i: (grid.y0 + (F.col("row") + i) * grid.sy - F.col(y)) * F.col("_my")
     corners = [(px(0), py(0)), (px(1), py(0)), (px(1), py(1)), (px(0), py(1))]
