@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import aggregates, estimates, grids, joins, quality, recode, spatial
+from . import aggregates, estimates, grids, jobs, joins, quality, recode, spatial
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "estimates", "grids", "joins", "quality", "recode", "spatial"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "estimates", "grids", "jobs", "joins", "quality", "recode", "spatial"]
