@@ -8,13 +8,18 @@ edges within the radius. Together the trees grow with the corpus, which rules ou
 to each of its trees. A shard yields a spanning forest rather than all its pairs: found nodes leave the search, so a
 dense group costs one search a node. The forests are joined by components().
 
-Defined cases: null and empty texts have fingerprint zero and link like any other. A null doc_id never is a component's
+similar_documents() links texts by the similarity of their shingle sets instead. At 0.8 fingerprints differ in about 10
+of 64 bits and in up to 20, where the pigeonhole principle gives no useful shards. There the shards are texts that share
+a band of minimum hashes; a shard's BK-tree proposes pairs within 20 bits, and the shingle sets decide each of them.
+
+Defined cases: null and empty texts have fingerprint zero and link like any other; by similarity, texts without words are
+one group and a text of fewer words than a shingle is one shingle. A null doc_id never is a component's
 id unless all its members are null. Repeated rows share a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,31 +28,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, per_row, without, written
+from .common import attach, per_row, small_enough, without, written
 from .components import components
 
 TREE = 4096
+#: Shingles hashed at once.
+BLOCK = 1 << 16
+#: Bands of so many minimum hashes: a pair of similarity 0.8 shares one of them in 998 of 1,000 cases, one of 0.9 always.
+BANDS, BAND_ROWS = 16, 5
+#: Fingerprints of similar texts lie within so many bits (at 0.8 the mean is 10, the standard deviation 3).
+WIDE = 20
+#: Shingles held by the texts of one tree.
+TREE_SHINGLES = 1 << 21
 #: One agreeing block up to so many nodes; each further one for another 2**8 times as many.
 FEW = 1 << 18
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The SimHash of a text: bit i is set if it is set in over half of the shingles' XXH64 hashes."""
+def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of a text's shingles, repeats included, in blocks; none for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     starts, ends = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([h(joined[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], np.uint64)
+    for at in range(0, n, BLOCK):
+        yield np.array([h(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Bit i is set if it is set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The SimHash of a text: bit i is set if it is set in over half of the shingles' XXH64 hashes."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; two empty ones do."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a signed long)."""
     made = lambda texts: [[x - (1 << 64) if (x := fingerprint(t, shingle)) >> 63 else x for t in texts]]
@@ -183,7 +222,133 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the smallest doc_id; columns stay as they are."""
-    ids = near_duplicates(docs, shingle, radius)
+    return _first_of(docs, near_duplicates(docs, shingle, radius))
+
+
+def _first_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
     marks = ids.groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
     return without(docs, written(marks.where("n > 1 or not stays"), "simhash-marks"))
+
+
+_ODD, _ADD = (np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit key for each band of minimum hashes of a shingle set."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * _ODD + _ADD).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_hash, row_hash, node (digest of the shingle set), fp (SimHash of the set), shingles, bands."""
+
+    def made(texts: list[bytes | None]) -> list[list]:
+        out = [[], [], [], []]
+        for text in texts:
+            own = shingle_set(text, shingle)
+            out[0].append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+            out[1].append(np.array([majority([own])], np.uint64).view(np.int64)[0])
+            out[2].append(len(own))
+            out[3].append(band_keys(own))
+        return out
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"), F.col("text").alias("text"))
+    return per_row(rows, "text", made, {"node": pa.int64(), "fp": pa.int64(), "shingles": pa.int64(), "bands": pa.list_(pa.int64())}, "node long, fp long, shingles long, bands array<long>")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges a, b between nodes that join the same components as all similar pairs that share a band. nodes: a written table."""
+    keys = nodes.select("node", "fp", "shingles", "least.row_hash", F.explode("bands").alias("key"))
+    shards = keys.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.sum("shingles").alias("load"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who_else")).where("group_rows > 1")
+    # bands with the same members are one shard
+    shards = shards.groupBy("group_rows", "load", "who", "who_else").agg(F.min("key").alias("key"))
+    trees = F.ceil(F.greatest(F.col("group_rows") / TREE, F.col("load") / TREE_SHINGLES)).cast("int")
+    shards = written(shards.select("key", "group_rows", trees.alias("trees")), "simhash-shards")
+    members = attach(keys, shards, "key", F.col("node"), nodes.count() * BANDS, "inner")
+    own = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
+    members = written(members.select("key", "trees", own.alias("tree"), "node", "fp", "row_hash"), "simhash-members")
+    whole = members.select("key", "tree", F.lit(0).alias("asks"), "node", "fp", "row_hash")
+    # the texts of a shard with several trees ask those that come before their own
+    asks = members.where("trees > 1 and tree > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("tree") - 1)).alias("tree"), F.lit(1).alias("asks"), "node", "fp", "row_hash")
+    wanted = small_enough(written(members.select(F.col("row_hash").alias("want")).distinct(), "simhash-wanted"))
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"), F.col("text").alias("text"))
+    texts = texts.join(wanted, texts["row_hash"] == wanted["want"], "left_semi").dropDuplicates(["row_hash"])
+    rows = whole.unionByName(asks).join(texts, "row_hash").select("key", "tree", "asks", "node", "fp", "text")
+    rows = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, tree, root, edges = None, [], None, [], []
+
+        def planted() -> None:
+            nonlocal tree, root
+            tree, root = Tree([fp for _, fp, _ in members]), [-1] * len(members)
+            for start in range(len(members)):
+                if root[start] >= 0:
+                    continue
+                root[start], todo = start, [start]
+                tree.leave(start)
+                while todo:
+                    at = todo.pop()
+                    for i in tree.near(members[at][1], WIDE):
+                        if alike(members[at][2], members[i][2], similarity):
+                            tree.leave(i)
+                            root[i] = start
+                            edges.append((members[i][0], members[at][0]))
+                            todo.append(i)
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            edges.clear()
+            return made
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                texts = part.column(5).cast(pa.binary()).to_pylist()
+                for *shard, asks, node, fp, text in zip(*(part.column(i).to_pylist() for i in range(5)), texts, strict=True):
+                    if shard != key:
+                        if len(members) > 1 and not root:
+                            planted()
+                        key, members, tree, root = shard, [], None, []
+                    member = (node, fp & ((1 << 64) - 1), shingle_set(text, shingle))
+                    if not asks:
+                        members.append(member)
+                        continue
+                    if not root:
+                        planted()
+                        tree = Tree([fp for _, fp, _ in members])
+                    met = set()
+                    for i in tree.near(member[1], WIDE):
+                        if root[i] not in met and alike(member[2], members[i][2], similarity):
+                            met.add(root[i])
+                            edges.append((node, members[i][0]))
+            yield batch_of()
+        if len(members) > 1 and not root:
+            planted()
+        yield batch_of()
+
+    return rows.mapInArrow(search, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per document: doc_id, text_hash, first (the member that stands for its group: the smallest doc_id, nulls last) and
+    class_nodes (distinct shingle sets in the group). Groups are the components of the pairs whose sets of shingles have at
+    least this Jaccard similarity."""
+    rows = written(sketches(docs, shingle), "simhash-sketches")
+    member = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash"), F.col("row_hash"))
+    nodes = rows.groupBy("node").agg(F.min(member).alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("node_rows"))
+    nodes = written(nodes, "simhash-sets")
+    roots = written(components(similar_links(docs, nodes, shingle, similarity)).withColumnRenamed("node", "from"), "simhash-roots")
+    known = nodes.join(roots, nodes["node"] == roots["from"], "left").select("node", "least", "node_rows", F.coalesce("root", "node").alias("root"))
+    classes = known.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("group_rows"))
+    classes = written(classes.withColumn("class_nodes", F.col("group_rows")), "simhash-classes")
+    table = attach(known, classes, "root", F.col("node"), nodes.count()).select("node", "first", "class_nodes", F.col("node_rows").alias("group_rows"))
+    return attach(rows, written(table, "simhash-table"), "node", F.struct("doc_id", "text_hash"), rows.count()).select("doc_id", "text_hash", "first", "class_nodes")
+
+
+def keep_similar_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of similar texts, that with the smallest doc_id; columns stay as they are."""
+    return _first_of(docs, similar_documents(docs, shingle, similarity))
