@@ -21,8 +21,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, fingerprints that agree in 60 of 64 bits."""
-    return simhash.keep_one(docs, shingle=5, radius=4)
+    """Keeps one document of each group of near-duplicates: sets of five-word shingles with a similarity of 0.8 or more."""
+    return simhash.keep_similar_one(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
