@@ -1,13 +1,13 @@
 """Each stage of the pipeline against a brute-force version on its own input, and the whole against the chain of its stages."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
-import xxhash
 
 import corpus_pipeline
-from fieldloom.llm import language_id, mixture
+from fieldloom.llm import language_id, mixture, simhash
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,28 +49,62 @@ def test_exact_stage(chain):
     assert ids(after) == Counter(max(g) for g in groups.values())
 
 
-def simhash(text):
+def shingles(text):
     words = SPACED.findall((text or "").translate(LOWER))
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_near_stage(chain):
-    before, after = chain["simhash_near_dedup"]
-    prints, root = {r.doc_id: simhash(r.text) for r in before}, {r.doc_id: r.doc_id for r in before}
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def groups(texts):
+    """The smallest id of each text's group: components of all pairs of a similarity of 0.8 or more."""
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    known = sorted(prints)
-    for i in known:
-        for j in known:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= 4 and find(i) != find(j):
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and find(i) != find(j) and similar(sets[i], sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    assert ids(after) == Counter(i for i in known if find(i) == i)
+    return {i: find(i) for i in sets}
+
+
+def test_near_stage(chain):
+    before, after = chain["simhash_near_dedup"]
+    assert ids(after) == Counter(i for i, first in groups({r.doc_id: r.text for r in before}).items() if i == first)
+
+
+def edited(words, changes, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"new{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_near_copies_of_one_hot_text(spark, monkeypatch):
+    """Copies with a few edits, some of them beyond the threshold, in a group that spans several trees."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [edited(base, rng.choice([0, 1, 2, 3, 6, 12]), rng) for _ in range(60)]
+    texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.choice([1, 4, 60]))) for _ in range(40)]
+    texts += [None, "", " \t", "a b", "A b", "x" * 10000, "long " * 30000, "long " * 29999, "\u00e9 \u00e8 " * 9]
+    rows = [(i, t, "x", i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(None, texts[0], "y", 1)], "doc_id long, text string, node string, first long")
+    want = groups(dict(enumerate(texts)))
+    for tree in (4096, 16):
+        monkeypatch.setattr(simhash, "TREE", tree)
+        got = {r.doc_id: r.first.id for r in simhash.similar_documents(docs).collect() if r.doc_id is not None}
+        assert got == want
+    kept = simhash.keep_similar_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.keep_similar_one(docs.limit(0)).count() == 0
 
 
 def test_benchmark_stage(spark, sf_dir, chain):
