@@ -96,7 +96,7 @@ def test_contracts_find_faults(spark):
     assert contracts.schema_report(df, [("k", "int"), ("w", "string")]) == [("w", "missing"), ("v", "surplus")]
 
 
-@pytest.mark.parametrize("name", ["w1_leave_one_out", "p1_special_codes", "a5_weighted_shares", "a26_exclusion_cascade", "e1_design_mean", "e7_absorbed_fe", "j9_interval_lookup", "j4_outer_sides", "f6_candidate_dates", "f17_possible_month", "q13_result_integrity", "s9_csv_round_trip", "e13_residual_variation", "g33_spatial_extraction", "g37_analysis_samples"])
+@pytest.mark.parametrize("name", ["w1_leave_one_out", "p1_special_codes", "a5_weighted_shares", "a26_exclusion_cascade", "e1_design_mean", "e7_absorbed_fe", "j9_interval_lookup", "j4_outer_sides", "f6_candidate_dates", "f17_possible_month", "q13_result_integrity", "s9_csv_round_trip", "e13_residual_variation", "g33_spatial_extraction", "g37_analysis_samples", "g1_measurement_flags", "g3_weights_and_design", "g6_descriptives", "g31_calendar_audit", "g41_dataset_checks", "s7_layout_reconciliation", "s8_layout_gaps"])
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
