@@ -3,8 +3,9 @@
 Sizes are words. Every source gets a target; a source's documents are all taken as often as its target holds its size
 whole, and the rest of the target is drawn: its documents, permuted by a hash, are cut into at most BLOCKS blocks, and
 blocks are taken in permuted order until the rest is filled (the last one only in part, document by document). The exact
-numbers of blocks are split among the output shards by a tree: at each node the left half of the shards draws its part of
-every source's blocks without replacement. Each shard takes its own blocks, so shards are disjoint, and orders them locally.
+numbers of blocks, those of whole copies counted once a copy, are split among the output shards by a tree: at each node the
+left half of the shards draws its part of every source's blocks without replacement. Each copy of a block goes to one shard,
+which orders its documents locally.
 
 Only per-source sums and block counts reach the driver; sources are limited to MAX_SOURCES, checked. Everything follows
 from hashes of doc_id and the seed, so reruns agree.
@@ -72,7 +73,7 @@ def split_tree(quotas: list[int], shards: int, rng: np.random.Generator) -> np.n
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **aims) -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target, whole (copies of every document), drawn (0 or 1 more), shard of the drawn copy, place (its order there)."""
+    """doc_id, text_hash, source, size, source_size, target, whole (copies of every document), drawn (0 or 1 more), shards (one a copy), place (the order there)."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     rows = written(rows.withColumns({"block_hash": F.xxhash64("doc_id", F.lit(seed)), "place": F.xxhash64("doc_id", F.lit(seed + 1))}), "mix-rows")
     spark = rows.sparkSession
@@ -84,39 +85,43 @@ def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **aims) -> Da
     plan = [(s, n, float(t), int(t // n) if n else 0, float(t - t // n * n) if n else 0.0) for (s, n), t in zip(sums, aim, strict=True)]
     table = spark.createDataFrame(plan, "p_source string, source_size long, target double, whole int, rest double")
     rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["p_source"])).drop("p_source").withColumn("block", F.pmod("block_hash", F.lit(BLOCKS)))
-    # blocks in permuted order (their numbers are hash values), at most BLOCKS a source
+    # blocks in permuted order (their numbers are hash values), at most BLOCKS a source; a copy of a block is what a shard gets
     order = Window.partitionBy("source").orderBy("block")
-    blocks = rows.groupBy("source", "block", "rest").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(order)).withColumn("nth", F.row_number().over(order) - 1)
-    blocks = written(blocks.where(F.col("upto") - F.col("words") < F.col("rest")).select("source", "block", "nth", "words", "upto", (F.col("upto") <= F.col("rest")).alias("entire")), "mix-blocks")
-    quotas = {s: n for s, n in blocks.groupBy("source").count().collect()}
+    blocks = rows.groupBy("source", "block", "whole", "rest").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
+    begun = F.col("before") < F.col("rest")
+    blocks = blocks.select("source", "block", "before", F.when(begun, F.col("upto") <= F.col("rest")).alias("entire"), (F.col("whole") + begun.cast("int")).alias("copies"))
+    blocks = written(blocks.where("copies > 0"), "mix-blocks")
+    quotas = {s: n for s, n in blocks.groupBy("source").agg(F.sum("copies")).collect()}
     names = [s for s, _ in sums]
     parts = split_tree([quotas.get(s, 0) for s in names], shards, np.random.default_rng(seed))
     ends = spark.createDataFrame([(s, [int(x) for x in np.cumsum(parts[:, i])]) for i, s in enumerate(names)], "e_source string, ends array<long>")
+    dealt = Window.partitionBy("source").orderBy(F.xxhash64("block", "copy", F.lit(seed + 2)), "block", "copy")
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("nth", F.row_number().over(dealt) - 1)
     blocks = blocks.join(F.broadcast(ends), blocks["source"].eqNullSafe(ends["e_source"])).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("nth"))))
-    blocks = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), (F.col("upto") - F.col("words")).alias("before"), "entire", "shard")
+    shard_list = F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"])
+    blocks = blocks.groupBy(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "before", "entire").agg(shard_list.alias("shards"))
     rows = written(rows.join(blocks, rows["source"].eqNullSafe(blocks["b_source"]) & (rows["block"] == blocks["b_block"]), "left").drop("b_source", "b_block"), "mix-drawn")
     # of a source's last block, documents are taken up to that which brings the sum nearest to the target
     upto = F.sum("size").over(Window.partitionBy("source").orderBy(F.struct("place", "doc_id", "text_hash")))
     last = rows.where("not entire").withColumn("drawn", F.when(F.col("before") + upto - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
     rest = rows.where("entire is null or entire").withColumn("drawn", F.when(F.col("entire"), 1).otherwise(0))
     out = rest.unionByName(last)
-    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", "whole", "drawn", F.when(F.col("drawn") == 1, F.col("shard")).alias("shard"), "place")
+    shards_taken = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("whole") + F.col("drawn"))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", "whole", "drawn", shards_taken.alias("shards"), "place")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), copies, shard, place."""
+    """Per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), copies, shards (one a copy), place."""
     out = mixed(docs, **options)
     copies = F.col("whole") + F.col("drawn")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "shard", "place")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "shards", "place")
 
 
 def draw(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **aims) -> DataFrame:
     """The mix itself: docs' columns, mix_copy (0 up), mix_shard and mix_place (the order within the shard), one row a copy."""
     plan = mixed(docs, shards, seed, **aims)
     # repeated rows are taken alike, so one row of the plan stands for them
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(F.max(F.col("whole") + F.col("drawn")).alias("__copies"), F.max("shard").alias("__shard")).where("__copies > 0").hint("shuffle_hash")
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(F.max("shards").alias("__shards")).where(F.size("__shards") > 0).hint("shuffle_hash")
     found = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]) & (F.xxhash64(docs["text"]).eqNullSafe(plan["__hash"])) & docs["source"].cast("string").eqNullSafe(plan["__source"]))
-    out = found.select(*docs.columns, "__shard", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("mix_copy"))
-    spread = F.pmod(F.xxhash64("doc_id", "mix_copy", F.lit(seed)), F.lit(shards)).cast("int")
-    shard = F.when(F.col("mix_copy") == 0, F.coalesce("__shard", spread)).otherwise(spread)
-    return out.select(*docs.columns, "mix_copy", shard.alias("mix_shard"), F.xxhash64("doc_id", "mix_copy", F.lit(seed + 1)).alias("mix_place"))
+    out = found.select(*docs.columns, F.posexplode("__shards").alias("mix_copy", "mix_shard"))
+    return out.select(*docs.columns, "mix_copy", "mix_shard", F.xxhash64("doc_id", "mix_copy", F.lit(seed + 1)).alias("mix_place"))

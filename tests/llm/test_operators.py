@@ -177,3 +177,22 @@ def test_mixture(spark, sf_dir, docs):
     parts = mixture.split_tree([100, 7, 0], 8, np.random.default_rng(0))
     assert parts.sum(axis=0).tolist() == [100, 7, 0] and max(parts.sum(axis=1)) - min(parts.sum(axis=1)) <= 2
     assert mixture.targets([10, 100, 0]) == [20.0, 145.0, 0.0]
+
+
+def test_mixture_tree_deals_every_copy(spark):
+    """All copies of a block, whole ones too, are within the tree's quotas, in mix() and draw()."""
+    rows = [(i, "w", f"s{i % 20:02}") for i in range(1200)] + [(5000 + i, "w", "tiny") for i in range(40)]  # targets: 20 of 89 words, all 40 twice
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(mixture.SEED)), F.lit(mixture.BLOCKS)).alias("block")
+    held = {r.doc_id: (r.source, r.block) for r in table.select("doc_id", "source", block).collect()}
+    planned = mixture.mix(table, weights=(1,)).collect()
+    assert all(len(r.shards) == r.copies for r in planned)
+    assert all(r.copies == 2 for r in planned if r.doc_id >= 5000) and sum(r.copies for r in planned) == 20 * 89 + 80
+    assert sorted((r.doc_id, i, s) for r in planned for i, s in enumerate(r.shards)) == sorted((r.doc_id, r.mix_copy, r.mix_shard) for r in mixture.draw(table, weights=(1,)).collect())
+    units = {(*held[r.doc_id], i): s for r in planned for i, s in enumerate(r.shards)}
+    assert all(units[(*held[r.doc_id], i)] == s for r in planned for i, s in enumerate(r.shards))
+    names = sorted({s for s, _ in held.values()})
+    got = Counter((shard, source) for (source, _, _), shard in units.items())
+    parts = mixture.split_tree([sum(source == n for source, _, _ in units) for n in names], mixture.SHARDS, np.random.default_rng(mixture.SEED))
+    assert [[got[k, n] for n in names] for k in range(mixture.SHARDS)] == parts.tolist()
+    assert max(parts.sum(axis=1)) - min(parts.sum(axis=1)) <= 2
