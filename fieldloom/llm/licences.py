@@ -1,18 +1,21 @@
-"""Licence scans: runs of lines compared to licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: word windows compared to licence templates by the Dice coefficient over word bigrams.
 
 Texts and templates are normalised alike: A-Z lower-cased, words of letters, digits, dots and plus signs. A segment is a
-run of consecutive lines. The Dice coefficient of a segment with a words' bigrams (as multisets) and a template with b is
-at most 2 min(a, b) / (a + b), so only templates whose size is within these bounds are candidates; a segment grows while
-any template could still fit, and starts only on a line that holds a bigram of a template. The templates are a fixed,
-bounded list.
-
-Defined cases: null and empty texts hold no licence. Of several segments the best counts for each licence; ties go to the
-first. Texts of any length are scanned whole. Repeated rows are judged each.
+run of consecutive words anywhere in the text; it may start and end inside a line or span lines. The Dice coefficient of a
+segment with a words' bigrams (as multisets) and a template with b is at most 2 min(a, b) / (a + b), which bounds a. The
+best segment begins and ends with a bigram of the template (else a shorter one is better), so only such are compared, and
+only where enough of the template's bigrams stand within its bound. The templates are a fixed, bounded list.
+
+Defined cases: null and empty texts hold no licence. A segment inside one that fits another template better does not count
+(the first words of a CC BY-SA notice are most of a CC BY one). Of several segments the best counts for each licence; ties
+go to the first. Texts of any length are scanned whole. Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,8 +53,12 @@ TEMPLATES = {
 MIN_DICE = 0.8
 
 
+def lowered(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate({c: c + 32 for c in range(65, 91)})
+
+
 def normal_words(text: str) -> list[str]:
-    return WORD.findall(text.lower() if text.isascii() else text.translate({c: c + 32 for c in range(65, 91)}))
+    return WORD.findall(lowered(text))
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -63,44 +70,61 @@ class Templates:
         self.min_dice = min_dice
         self.grams = {name: bigrams(normal_words(t)) for name, t in texts.items()}
         self.sizes = {name: g.total() for name, g in self.grams.items()}
-        self.known = set().union(*self.grams.values()) if texts else set()
-        #: a segment of more bigrams fits no template
-        self.most = max((n * (2 - min_dice) / min_dice for n in self.sizes.values()), default=0)
-
-    def candidates(self, size: int) -> list[str]:
-        """The templates whose size allows the least Dice coefficient."""
-        return [name for name, n in self.sizes.items() if 2 * min(n, size) >= self.min_dice * (n + size)]
+        #: the templates that hold a bigram
+        self.known: dict[tuple[str, str], list[str]] = {}
+        for name, grams in self.grams.items():
+            for gram in grams:
+                self.known.setdefault(gram, []).append(name)
+        #: a segment with fewer bigrams of the template, or of more bigrams in all, does not fit it
+        self.least = {name: max(1, math.ceil(n * min_dice / (2 - min_dice) - 1e-9)) for name, n in self.sizes.items()}
+        self.most = {name: n * (2 - min_dice) / min_dice + 1e-9 for name, n in self.sizes.items()}
+
+    def fits(self, name: str, at: list[int], words: list[str]) -> Iterator[tuple[float, int, int]]:
+        """Dice coefficient, first and last bigram of the best segment from every start; at: where the template's bigrams stand."""
+        grams, n, least, most = self.grams[name], self.sizes[name], self.least[name], self.most[name]
+        for p in range(len(at) - least + 1):
+            first = at[p]
+            if at[p + least - 1] - first + 1 > most:
+                continue
+            best, end, common, seen = 0.0, first, 0, Counter()
+            for q in range(p, len(at)):
+                last = at[q]
+                if last - first + 1 > most:
+                    break
+                gram = words[last], words[last + 1]
+                seen[gram] += 1
+                common += seen[gram] <= grams[gram]
+                if (dice := 2 * common / (n + last - first + 1)) > best:
+                    best, end = dice, last
+                    if best == 1:
+                        break
+            if best >= self.min_dice:
+                yield best, first, end
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Licence, Dice coefficient, first line and number of lines of its best segment, for every licence found."""
+        words = normal_words(text or "")
+        stand: dict[str, list[int]] = {}
+        for i, names in enumerate(map(self.known.get, zip(words, words[1:]))):
+            for name in names or ():
+                stand.setdefault(name, []).append(i)
+        found = sorted((first, last, dice, name) for name, at in stand.items() if len(at) >= self.least[name] for dice, first, last in self.fits(name, at, words))
+        if not found:
+            return []
+        longest = max(self.most.values())
         best: dict[str, tuple[float, int, int]] = {}
-        lines = (text or "").split("\n")
-        words: dict[int, list[str]] = {}
-
-        def of(i: int) -> list[str]:
-            if i not in words:
-                words[i] = normal_words(lines[i])
-            return words[i]
-
-        for first in range(len(lines)):
-            words.pop(first - 1, None)
-            if len(lines[first]) < 3 or self.known.isdisjoint(zip(of(first), of(first)[1:])):
+        for first, last, dice, name in sorted(found, key=lambda x: (-x[2], x[0])):
+            if name in best:
                 continue
-            segment: list[str] = []
-            for last in range(first, len(lines)):
-                if last > first and not of(last):
-                    continue
-                segment = segment + of(last)
-                if len(segment) - 1 > self.most:
-                    break
-                if not (names := self.candidates(len(segment) - 1)):
-                    continue
-                grams = bigrams(segment)
-                for name in names:
-                    dice = 2 * (grams & self.grams[name]).total() / (self.sizes[name] + len(segment) - 1)
-                    if dice >= self.min_dice and dice > best.get(name, (0,))[0]:
-                        best[name] = dice, first, last - first + 1
-        return [(name, *found) for name, found in best.items()]
+            near = found[bisect_left(found, (first - longest,)) : bisect_left(found, (first + 1,))]
+            if not any(f <= first and e >= last and d > dice and other != name for f, e, d, other in near):
+                best[name] = dice, first, last
+        starts = [m.start() for m in WORD.finditer(lowered(text))]
+        out = []
+        for name, (dice, first, last) in best.items():
+            begin = starts[first]
+            out.append((name, dice, text.count("\n", 0, begin), text.count("\n", begin, starts[last + 1]) + 1))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:

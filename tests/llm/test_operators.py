@@ -168,6 +168,44 @@ def test_licences(spark):
     assert found["Apache-2.0"] == (1.0, 1, 2) and found["MIT"] == (1.0, 4, 1) and set(found) == {"Apache-2.0", "MIT"}
 
 
+def test_licences_inside_lines():
+    held = licences.Templates()
+    found = lambda text: {name: tuple(x) for name, *x in held.scan(text)}
+    assert found("This small tool is Released under the MIT License.") == {"MIT": (1.0, 0, 1)}
+    filler = "other words of a paragraph that goes on and on " * 30
+    for name, notice in licences.TEMPLATES.items():
+        assert found(filler + notice + " " + filler)[name] == (1.0, 0, 1)
+    half = len(licences.TEMPLATES["BSD-3-Clause"]) // 2
+    assert found("\n\nsome words " + licences.TEMPLATES["BSD-3-Clause"][:half].rsplit(" ", 1)[0] + "\n" + licences.TEMPLATES["BSD-3-Clause"][:half].rsplit(" ", 1)[1] + licences.TEMPLATES["BSD-3-Clause"][half:] + " " + filler) == {"BSD-3-Clause": (1.0, 2, 2)}
+    assert found("x Licensed under CC BY-SA 4.0. y") == {"CC-BY-SA-4.0": (1.0, 0, 1)}
+    assert set(found("Licensed under CC BY-SA 4.0. In parts it is Licensed under CC BY 4.0 only")) == {"CC-BY-SA-4.0", "CC-BY-4.0"}
+    assert found(filler) == {} and held.scan(None) == []
+
+
+def test_licences_equal_all_windows():
+    """Every word window of a text against each template, brute force."""
+    held, rng = licences.Templates(), np.random.default_rng(3)
+    pool = [w for t in licences.TEMPLATES.values() for w in licences.normal_words(t)][:60]
+    notices = [licences.normal_words(licences.TEMPLATES[n]) for n in ("MIT", "CC-BY-SA-4.0", "Apache-2.0", "BSD-3-Clause", "GPL-3.0")]
+    for _ in range(40):
+        words = [str(w) for w in rng.choice(pool, 25)]
+        for k in rng.choice(len(notices), 2):
+            notice = [w for w in notices[k] if rng.random() > 0.06]
+            words[(at := int(rng.integers(len(words)))) : at] = notice
+        grams, every = list(zip(words, words[1:])), []
+        for i in range(len(grams)):
+            for j in range(i, len(grams)):
+                part = Counter(grams[i : j + 1])
+                for name, want in held.grams.items():
+                    if (dice := 2 * (part & want).total() / (held.sizes[name] + j - i + 1)) >= held.min_dice:
+                        every.append((name, dice, i, j))
+        top = {name: max(d for n, d, *_ in every if n == name) for name, *_ in every}
+        covered = lambda name, d, i, j: any(o != name and f > d and a <= i and b >= j for o, f, a, b in every)
+        got = {name: dice for name, dice, *_ in held.scan(" ".join(words))}
+        free = {n for n, d, i, j in every if d == top[n] and not covered(n, d, i, j)}
+        assert set(got) <= set(top) and free <= set(got) and all(got[n] == top[n] for n in free)
+
+
 def test_mixture(spark, sf_dir, docs):
     rows = queries.op9_mixture(spark, sf_dir).collect()
     assert all(r.taken <= 2 * r.size for r in rows) and rows and {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in queries.op9_mixture(spark, sf_dir).collect()}
