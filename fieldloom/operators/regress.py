@@ -182,12 +182,12 @@ def support(df: DataFrame, cluster: str, household: str, exposures: list[str]) -
     return varies.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(every).alias("clusters_varying"), F.sum(F.when(every, F.col("households")).otherwise(0)).alias("households_varying"), F.sum(F.when(every, F.col("units")).otherwise(0)).alias("units_varying"))
 
 
-def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None, effects: list[str] = ()) -> dict[tuple[str, str], Fit]:
+def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None, effects: list[str] = (), effects_in: list[str] | None = None) -> dict[tuple[str, str], Fit]:
     """Many weighted least-squares models, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
 
     The table is read twice however many models there are: one pass sums the cross products of every column by scope, the
     other the clusters' scores of every model. All models use the rows where every column is present. Columns of effects
-    join each model and leave it where they are constant in a scope. Scopes must be few: their small matrices come here.
+    join each model (or those named in effects_in) and leave it where they are constant in a scope. Scopes must be few: their small matrices come here.
     """
     xs = list(dict.fromkeys(["_one", *[x for _, right in specs.values() for x in right], *effects]))
     ys = list(dict.fromkeys(y for y, _ in specs.values()))
@@ -204,7 +204,7 @@ def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str
         spread = {c: g[i, i] - g[0, i] ** 2 / g[0, 0] > ABSORBED * max(g[i, i], 1e-300) for i, c in enumerate(columns)}
         row = []
         for name, (y, right) in specs.items():
-            use = ["_one", *right, *[c for c in effects if spread[c] and c not in right]]
+            use = ["_one", *right, *[c for c in effects if spread[c] and c not in right and (effects_in is None or name in effects_in)]]
             at, end = [columns.index(c) for c in use], columns.index(y)
             sub = g[np.ix_(at, at)]
             rank, _ = scaled_rank(sub)

@@ -290,19 +290,6 @@ def r1_wide_cells(t):
     return cells.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.first("cell")).select("o_orderpriority", c("F").alias("f"), c("O").alias("o"), c("P").alias("p"))
 
 
-@query()
-def g10_model_grid(t):
-    """Two outcomes by three nested designs, pooled and by group."""
-    base = model_rows(t).cache()
-    fits = {}
-    for scope in ["pooled", 0, 1]:
-        rows = base if scope == "pooled" else base.where(c("n_regionkey") == scope)
-        for y in ("y", "filled"):
-            for i, x in enumerate((["l_discount"], ["l_discount", "l_tax"])):
-                fits[f"{y}/{i + 1}/{scope}"] = G.fit_explicit(rows, y, x, "l_quantity", "o_custkey")
-    return terms(t, fits)
-
-
 @query(f"select coalesce(n_regionkey::VARCHAR, 'ALL') n_regionkey, count(*) n, count(distinct o_custkey) clusters from {UNITS} group by grouping sets ((n_regionkey), ())")
 def g11_sample_flow(t):
     return A.with_pooled(t.units, "n_regionkey", [n_rows(), F.countDistinct("o_custkey").alias("clusters")])

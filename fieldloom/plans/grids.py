@@ -1,4 +1,4 @@
-"""Queries of model families, each fitted by two passes over the units: G12 to G15, G17, G19, G21 to G27, G40, G43, E18, E20, E21, R4, R5.
+"""Queries of model families, each fitted by two passes over the units: G10, G12 to G15, G17, G19, G21 to G27, G40, G43, E18, E20, E21, R4, R5.
 
 Units are line items; the community exposure is the share of fulfilled orders among the other orders of the customer, the
 household exposure the order's own status; regions are fixed effects. Results are rows (scope, model, term, ...).
@@ -50,6 +50,23 @@ def fitted(t, df: DataFrame, specs: dict, scope: str | None = "n_regionkey", eff
     return table(t, G.fit_grid(df, specs, "weight", "o_custkey", scope, effects))
 
 
+#: The main grid: every design holds the exposures and adds a block to the one before; the last one adds the fixed effects.
+OUTCOMES, EXPOSURES = ["y1", "y2", "low"], ["community", "community_broad"]
+DESIGNS = {"1": EXPOSURES, "2": [*EXPOSURES, *CONTROLS], "3": [*EXPOSURES, *CONTROLS, "years", "band_b", "band_c"], "4": [*EXPOSURES, *CONTROLS, "years", "band_b", "band_c"]}
+
+
+def grid_units(t) -> DataFrame:
+    """Units with every column of the main grid."""
+    return units(t).withColumns({"years": (c("year") - 1995).cast("double"), "band_b": (c("band") == "b").cast("double"), "band_c": (c("band") == "c").cast("double")})
+
+
+@query()
+def g10_model_grid(t):
+    """Three outcomes by four nested designs, pooled and by every region; the last design adds the region effects, which are constant within a region."""
+    specs = {f"{y}/{design}": (y, right) for y in OUTCOMES for design, right in DESIGNS.items()}
+    return table(t, G.fit_grid(grid_units(t), specs, "weight", "o_custkey", "n_regionkey", EFFECTS, [m for m in specs if m.endswith("/4")]))
+
+
 @query()
 def g12_binary_family(t):
     """Linear-probability models of binary outcomes, pooled and by region."""

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.operators import regress
-from fieldloom.plans import QUERIES
+from fieldloom.plans import QUERIES, grids
+from fieldloom.plans.base import Tables
 
 
 def test_grid_equals_single_fits(spark):
@@ -28,3 +29,18 @@ def test_grid_without_rows(spark):
 
 def test_second_route_agrees(spark, sf_dir):
     assert all(r.agrees for r in QUERIES["e21_second_route"](spark, sf_dir).collect())
+
+
+def test_model_grid_is_whole(spark, sf_dir):
+    """Every outcome, design and scope, and one model of a later region against a fit of its own."""
+    rows = QUERIES["g10_model_grid"](spark, sf_dir).collect()
+    assert {(r.scope, r.model) for r in rows} == {(s, f"{y}/{d}") for s in ("ALL", "0", "1", "2", "3", "4") for y in grids.OUTCOMES for d in "1234"}
+    assert all(r.status == "estimated" for r in rows)
+    k = {(r.scope, r.model): r.k for r in rows}
+    assert k["ALL", "y1/1"] == 3 and k["ALL", "y1/2"] == 5 and k["ALL", "y1/3"] == 8 and k["ALL", "y1/4"] == 12 and k["3", "y1/4"] == 8
+    df = grids.grid_units(Tables(spark, sf_dir)).na.drop(subset=["community", "community_broad"]).cache()
+    for scope, model, extra in (("ALL", "y1/4", grids.EFFECTS), ("3", "y2/3", []), ("4", "low/2", [])):
+        y, design = model.split("/")
+        want = regress.fit_explicit(df if scope == "ALL" else df.where(F.col("n_regionkey") == int(scope)), y, [*grids.DESIGNS[design], *extra], "weight", "o_custkey")
+        got = {r.term: (r.beta, r.se) for r in rows if (r.scope, r.model) == (scope, model)}
+        assert got.keys() == set(want.terms) and all(np.allclose(got[term], (beta, se), atol=1e-6) for term, beta, se, *_ in want.rows())
