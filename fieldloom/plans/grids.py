@@ -1,4 +1,4 @@
-"""Queries of model families, each fitted by two passes over the units: G10, G12 to G15, G17, G19, G21 to G27, G40, G43, E18, E20, E21, R4, R5.
+"""Queries of model families, each fitted by two passes over the units: G10 to G15, G17, G19, G21 to G27, G40, G43, E18, E20, E21, R4, R5.
 
 Units are line items; the community exposure is the share of fulfilled orders among the other orders of the customer, the
 household exposure the order's own status; regions are fixed effects. Results are rows (scope, model, term, ...).
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import smallmath as M
+from fieldloom.operators import aggregates as A
 from fieldloom.operators import joins as J
 from fieldloom.operators import regress as G
 
@@ -67,6 +68,31 @@ def g10_model_grid(t):
     return table(t, G.fit_grid(grid_units(t), specs, "weight", "o_custkey", "n_regionkey", EFFECTS, [m for m in specs if m.endswith("/4")]))
 
 
+_KNOWN = "select n_regionkey, o_custkey, l_extendedprice is not null y1, l_extendedprice / nullif(l_quantity, 0) is not null y2, a > 0 and b > 0 exposed, l_discount is not null and l_tax is not null block, l_shipdate is not null and l_quantity is not null trip"
+_OTHERS = "select *, count(*) filter (o_orderstatus in ('F', 'O')) over (partition by o_custkey) - (o_orderstatus in ('F', 'O'))::INT a, count(o_orderstatus) over (partition by o_custkey) - (o_orderstatus is not null)::INT b from orders"
+
+
+@query(
+    f"""with o as ({_OTHERS}), u as ({_KNOWN} from lineitem join o on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+    s as (select 'ALL' scope, * from u union all select n_regionkey::VARCHAR, * from u),
+    m as (select scope, outcome, design, o_custkey, case outcome when 'y2' then y2 else y1 end f1, f1 and exposed f2, f2 and (design = '1' or block) and (design < '3' or trip) f3 from s, (values ('y1'), ('y2'), ('low')) p(outcome), (values ('1'), ('2'), ('3'), ('4')) d(design)),
+    n as (select scope, outcome, design, count(*) n0, count(*) filter (f1) n1, count(*) filter (f2) n2, count(*) filter (f3) n3, count(distinct o_custkey) filter (f3) clusters from m group by all)
+    select scope, outcome, design, step, name, "left", excluded, clusters from n, lateral (values (0, 'start', n0, 0), (1, 'after_outcome', n1, n0 - n1), (2, 'after_exposure', n2, n1 - n2), (3, 'after_controls', n3, n2 - n3)) v(step, name, "left", excluded)"""
+)
+def g11_full_cascade(t):
+    """Rows left and excluded at each step, and the clusters left at the end, for every outcome, design and scope of the main grid."""
+    known = lambda names: F.lit(True) if not names else F.forall(F.array(*[c(x).isNotNull() for x in names]), lambda v: v)
+    # the last design's effects are dummies of the region
+    more = {d: [x for x in right if x not in EXPOSURES] + (["n_regionkey"] if d == "4" else []) for d, right in DESIGNS.items()}
+    models = F.array(*[F.struct(F.lit(y).alias("outcome"), F.lit(d).alias("design"), c(y).isNotNull().alias("f1"), known(EXPOSURES).alias("f2"), known(extra).alias("f3")) for y in OUTCOMES for d, extra in more.items()])
+    rows = grid_units(t).select("o_custkey", F.inline(models), F.array(F.lit("ALL"), c("n_regionkey").cast("string")).alias("scopes"))
+    rows = rows.select("*", F.explode("scopes").alias("scope")).drop("scopes").where("scope is not null")
+    by = ["scope", "outcome", "design"]
+    steps = A.cascade(rows, [("after_outcome", c("f1")), ("after_exposure", c("f2")), ("after_controls", c("f3"))], by)
+    clusters = rows.groupBy(*by).agg(F.countDistinct(F.when(c("f1") & c("f2") & c("f3"), c("o_custkey"))).alias("clusters"))
+    return steps.join(F.broadcast(clusters), by).select(*by, "step", "name", "left", "excluded", "clusters")
+
+
 @query()
 def g12_binary_family(t):
     """Linear-probability models of binary outcomes, pooled and by region."""
