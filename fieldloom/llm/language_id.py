@@ -5,7 +5,9 @@ hash of doc_id. It keeps at most top_words words and top_grams n-grams of each l
 in all), so its broadcast has a fixed bound. Prediction reads every whole text and nothing but the text.
 
 Defined cases: null text or a text without a letter is `und` with score 0; so is every text when there is no labelled
-row. Ties go to the language that sorts first. Very long texts are read in slices that do not cut words.
+row. Ties go to the language that sorts first. Very long texts are read in slices that do not cut words, and very long
+words by blocks of n-grams. Repeated rows are judged each; a null doc_id is not held out. Other columns may have any names;
+empty tables give none.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ MODEL_ROWS = 1_000_000
 #: Evidence counts as that of this many words at most, so that score tells sure from unsure texts.
 EVIDENCE = 20
 CACHE = 200_000
+#: Words of more letters are not kept in the cache; n-grams are listed by blocks of so many.
+LONG, LISTED = 1000, 1 << 16
 
 
 def words(text: str) -> Iterator[list[str]]:
@@ -41,9 +45,11 @@ def words(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[list[str]]:
+    """The n-grams of a word with marks at its ends, in lists of bounded length."""
     padded = f"<{word}>"
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    for at in range(0, len(padded) - n + 1, LISTED):
+        yield [padded[i : i + n] for i in range(at, min(at + LISTED, len(padded) - n + 1))]
 
 
 def held_out(doc_id) -> F.Column:
@@ -69,14 +75,22 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*[(*k, n) for k, n in counts.items()], strict=True)) or [()] * 4
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "size", "gram", "n"])
+
     for batch in batches:
-        counts: Counter = Counter()
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for size in range(1, LONGEST + 1):
-                for gram in grams(word, size):
-                    counts[lang, size, gram] += n
-        rows = list(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["lang", "size", "gram", "n"])
+                for some in grams(word, size):
+                    for gram in some:
+                        counts[lang, size, gram] += n
+                    if len(counts) > 200_000:
+                        yield out()
+    yield out()
 
 
 class Model:
@@ -111,15 +125,22 @@ class Model:
             weights.append(np.log((counts + 0.5) / (total + 0.5 * len(table) + 1)))
         return cls(langs, tables, weights)
 
+    def by_grams(self, word: str) -> np.ndarray:
+        """The weights of an unseen word: of the longest n-grams of which the model knows any, the mean."""
+        for size in range(LONGEST, 0, -1):
+            get, total, n = self.tables[size].get, np.zeros(len(self.langs)), 0
+            for some in grams(word, size):
+                if at := [i for g in some if (i := get(g)) is not None]:
+                    total += self.weights[size].take(at, axis=0).sum(axis=0)
+                    n += len(at)
+            if n:
+                return total / n
+        return np.zeros(len(self.langs))
+
     def unseen(self, word: str) -> int:
-        """The row of an unseen word: by the longest n-grams of which the model knows any; they count by their mean."""
+        """The row that keeps the weights of an unseen word."""
         row = self.at[word] = len(self.at)
-        for size in range(LONGEST, 0, -1):
-            get = self.tables[size].get
-            if at := [i for g in grams(word, size) if (i := get(g)) is not None]:
-                self.rows[row] = self.weights[size].take(at, axis=0).sum(axis=0) / len(at)
-                return row
-        self.rows[row] = 0
+        self.rows[row] = self.by_grams(word)
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -130,12 +151,15 @@ class Model:
             if len(some) > CACHE:
                 self.rows = np.vstack([self.rows, np.zeros((len(some), len(self.langs)))])
             counts = Counter(some)
+            for word in [w for w in counts if len(w) > LONG and w not in self.at]:
+                letter = letter or any(map(str.isalpha, word))
+                total += counts.pop(word) * self.by_grams(word)
             letter = letter or any(any(map(str.isalpha, w)) for w in counts)
             at = list(map(self.at.get, counts))
             if None in at:
                 at = [self.unseen(w) if i is None else i for w, i in zip(counts, at, strict=True)]
             n += len(some)
-            if some:
+            if counts:
                 total += np.array(list(counts.values())) @ self.rows[at]
         if not letter or not self.langs:
             return "und", 0.0
@@ -184,7 +208,7 @@ def identify(docs: DataFrame, **limits: int) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.4, **limits: int) -> DataFrame:
-    """docs without those that have no language: `und`, or a score below min_score."""
+    """docs without those that have no language: `und`, or a score below min_score; columns stay as they are."""
     model = fit(docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"))), **limits)
-    judged = predict(docs.withColumn("__text", F.col("text")), model, "__text", "__lang", "__score")
-    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
+    judged = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")

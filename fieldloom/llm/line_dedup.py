@@ -1,20 +1,17 @@
 """Line deduplication across documents with two Bloom filters.
 
-Every task adds the hashes of its lines to a filter of once-seen hashes and, when the first filter has a hash already, to
-one of twice-seen hashes. The tasks' filters are merged by segment: what one of them saw twice, and what two of them saw
-once. Only lines whose hash is in the merged twice-seen filter are suspects; only these move, as 16-byte digests, for the
-exact count and the choice of the document that keeps the line. The filter has at most MAX_BITS bits (its broadcast is
-bounded); beyond that more lines are suspects, and the results stay the same.
+The hash of every long line goes through a once-seen and a twice-seen Bloom filter, cut into segments that tasks own (see
+bloom). Only lines whose hash is in the twice-seen filter are suspects; only these move on, as 16-byte digests, for the
+exact count and the choice of the document that keeps the line. The filters grow with the lines and are never broadcast.
 
 Defined cases: a null or empty text is one empty line, which is never dropped. Documents count by row, so repeated rows
 count each and all keep the lines that their doc_id keeps. A null doc_id never outranks another; a line that only such
-rows hold stays. A key counts once a document.
+rows hold stays. A key counts once a document. Other columns may have any names; empty tables give none.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, per_row, written
+from . import bloom
+from .common import BROADCAST_ROWS, attach, named_join, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 DIGEST = 16
-#: Bits of a filter for each key, bits set by a key, bits in a segment, and the most bits of a filter.
-KEY_BITS, PROBES, SEGMENT_BITS, MAX_BITS = 16, 4, 1 << 20, 1 << 28
+#: A line's digest (hash and rest), and the document that holds it; none: its doc_id is null.
+LINE = np.dtype([("hash", np.uint64), ("rest", np.uint64), ("id", np.int64), ("text_hash", np.int64), ("none", bool)])
 
 
 def line_digest(line: bytes, min_chars: int) -> bytes | None:
@@ -39,102 +37,48 @@ def line_digest(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.blake2b(key.lower(), digest_size=DIGEST).digest()
 
 
-def document_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """doc_id, text_hash and keys: the distinct digests of a document's long lines, end to end."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
-    found = lambda texts: [[b"".join(sorted({d for line in (t or b"").split(b"\n") if (d := line_digest(line, min_chars))})) for t in texts]]
-    return per_row(rows, "text", found, {"keys": pa.binary()}, "keys binary").where(F.length("keys") > 0)
+def line_records(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+    """The distinct long lines of every document, dealt to the owners of their hashes."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    segments = bloom.segments_of(size // (min_chars + 1))
 
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for doc_id, text_hash, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    keys = {d for line in (text or b"").split(b"\n") if (d := line_digest(line, min_chars))}
+                    if keys:
+                        out = np.zeros(len(keys), LINE)
+                        halves = np.frombuffer(b"".join(sorted(keys)), np.uint64)
+                        out["hash"], out["rest"], out["id"], out["text_hash"], out["none"] = halves[::2], halves[1::2], doc_id or 0, text_hash, doc_id is None
+                        yield out
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions, PROBES a hash, all in one segment of the filter."""
-    segment = (hashes >> np.uint64(20)) % np.uint64(max(1, bits // SEGMENT_BITS))
-    out = []
-    for i in range(PROBES):
-        x = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * i)
-        out.append(segment * np.uint64(SEGMENT_BITS) + ((x >> np.uint64(33)) % np.uint64(SEGMENT_BITS)))
-    return np.stack(out, axis=1).astype(np.int64)
-
-
-def _add(bits: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bits, at.ravel() >> 3, (1 << (at.ravel() & 7)).astype(np.uint8))
-
-
-def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bits[at >> 3] >> (at & 7)) & 1).astype(bool).all(axis=1)
-
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
+    return rows.mapInArrow(lambda batches: bloom.dealt(records(batches), segments), bloom.DEALT)
 
-def _hashes(keys: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each key: the first half of its digest."""
-    return np.frombuffer(b"".join(keys), np.uint64)[::2]
 
+def _lines(records: np.ndarray) -> pa.RecordBatch:
+    keys = np.ascontiguousarray(np.stack([records["hash"], records["rest"]], axis=1)).tobytes()
+    key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(records), [None, pa.py_buffer(keys)]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(records["id"], pa.int64(), mask=records["none"]), pa.array(records["text_hash"], pa.int64()), key], names=["id", "text_hash", "key"])
 
-def twice_seen(keys: DataFrame, bits: int) -> np.ndarray:
-    """The twice-seen filter over all of a table of key lists."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            hashes, n = np.unique(_hashes(batch.column(0).to_pylist()), return_counts=True)
-            at = probes(hashes, bits)
-            _add(twice, at[(n > 1) | _has(once, at)])
-            _add(once, at)
-        size = SEGMENT_BITS // 8
-        used = [i for i in range(bits // SEGMENT_BITS) if once[i * size : (i + 1) * size].any()]
-        pack = lambda x: [zlib.compress(x[i * size : (i + 1) * size].tobytes(), 1) for i in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(pack(once), pa.binary()), pa.array(pack(twice), pa.binary())], names=["segment", "once", "twice"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for segment, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                once, twice = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (once, twice))
-                if segment in held:
-                    before, both = held[segment]
-                    held[segment] = before | once, both | twice | (before & once)
-                else:
-                    held[segment] = once, twice
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in held.values()], pa.binary())], names=["segment", "twice"])
-
-    parts = keys.select("keys").mapInArrow(local, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merged, "segment int, twice binary")
-    out, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
-    for segment, twice in parts.toLocalIterator():
-        out[segment * size : (segment + 1) * size] = np.frombuffer(zlib.decompress(twice), np.uint8)
-    return out
-
-
-def repeated_lines(lines: DataFrame, min_docs: int = 5) -> DataFrame:
-    """doc_id, text_hash and gone: the digests of the lines that the document loses."""
-    n = lines.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)) / DIGEST).first()[0]
-    bits = SEGMENT_BITS
-    while bits < min(n * KEY_BITS, MAX_BITS):
-        bits *= 2
-    twice = lines.sparkSession.sparkContext.broadcast(twice_seen(lines, bits))
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes, keys = [], [], []
-            for doc_id, text_hash, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for i in np.flatnonzero(_has(twice.value, probes(_hashes([held]), bits))).tolist():
-                    ids.append(doc_id)
-                    hashes.append(text_hash)
-                    keys.append(held[i * DIGEST : (i + 1) * DIGEST])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "text_hash", "key"])
-
-    found = written(lines.select(F.col("doc_id").cast("long"), "text_hash", "keys").mapInArrow(suspects, "doc_id long, text_hash long, key binary"), "line-suspects")
-    counted = found.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.max("doc_id").alias("keeper")).where((F.col("group_rows") >= min_docs) & F.col("keeper").isNotNull())
+def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """id, text_hash and gone: the digests of the lines that the document loses."""
+    found = written(bloom.suspects(line_records(docs, min_chars), LINE, _lines, "id long, text_hash long, key binary"), "line-suspects")
+    counted = found.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.max("id").alias("keeper")).where((F.col("group_rows") >= min_docs) & F.col("keeper").isNotNull())
     counted = written(counted, "line-repeats")
-    lost = attach(found, counted, "key", F.struct("doc_id", "text_hash"), found.count(), "inner").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("gone"))
+    lost = attach(found, counted, "key", F.struct("id", "text_hash"), found.count(), "inner").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("id", "text_hash").agg(F.collect_set("key").alias("gone"))
 
 
 def with_lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with __gone, the digests of the lines that each document loses (null: none)."""
-    lines = written(document_lines(docs, min_chars), "line-keys")
-    lost = written(repeated_lines(lines, min_docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone")), "line-lost")
-    n, keys = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    """row (all columns of docs) and gone, the digests of the lines that each document loses (null: none)."""
+    lost = written(repeated_lines(docs, min_chars, min_docs), "line-lost")
+    n, keys = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     side = F.broadcast(lost) if n <= BROADCAST_ROWS and keys <= 5 * BROADCAST_ROWS else lost.hint("shuffle_hash")
-    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), "left").drop("__id", "__hash")
+    return named_join(docs, side).select("row", "gone")
 
 
 def cut(text: bytes | None, gone: list[bytes] | None, min_chars: int = 40) -> tuple[int, int, bytes]:
@@ -159,7 +103,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     rows = with_lost_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), min_chars, min_docs)
-    return rows.select("doc_id", "text", "__gone").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.select("row.doc_id", "row.text", "gone").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -169,5 +113,6 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     def kept(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if g is None else cut(t.encode(), list(g), min_chars)[2].decode() for t, g in zip(text, gone, strict=True)], dtype=object)
 
-    marked = with_lost_lines(docs, min_chars, min_docs)
-    return marked.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept("text", "__gone"))).select(*docs.columns)
+    left = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept("row.text", "gone"))
+    marked = with_lost_lines(docs, min_chars, min_docs).select("row", left.alias("left"))
+    return marked.select(*[F.col("left").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

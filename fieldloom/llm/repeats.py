@@ -4,8 +4,8 @@ A `length`-byte string that starts at two places must be found without sorting a
 
 1. Anchors. Of the GRAM-byte grams of each such string, the one with the least hash is chosen (the rightmost of equal
    ones), so equal strings choose equal grams. The strings that chose one anchor start in a short run of places and
-   together span a stretch of bytes. Only anchors whose hash is in the twice-seen Bloom filter can hold a repeated
-   string, and only these move: no string is missed here.
+   together span a stretch of bytes. Only anchors whose hash is in the twice-seen Bloom filter (see bloom) can hold a
+   repeated string, and only these go on: no string is missed here.
 2. Equal stretches are counted together; one that occurs twice repeats all its strings. Different stretches with the same
    anchor hash may share some strings only. One copy of each is dealt to a bucket by the anchor hash, so that equal
    strings always meet, and buckets have a bounded size.
@@ -19,7 +19,7 @@ A `length`-byte string that starts at two places must be found without sorting a
    them equal, which go through steps 2 and 3. If over HOT different ones are left, their strings are counted by their
    digests, an exact way for the rest.
 
-A gram and a symbol are known by 64-bit hashes, a stretch by a 128-bit digest.
+A gram is known by a 64-bit hash, a stretch by a 128-bit digest; symbols are compared byte by byte.
 
 Defined cases: a null text is empty. Strings never cross documents. Texts shorter than `length` lose nothing. Documents
 are named by doc_id and text; rows that repeat both are copies of each other, so each loses all its strings of full
@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import attach, written
-from .line_dedup import MAX_BITS, KEY_BITS, SEGMENT_BITS, _has, probes, twice_seen
 
 GRAM, STEP, BUCKET_BYTES, HOT = 64, 50, 1 << 18, 1000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,6 +142,20 @@ def merge(a: Shard, b: Shard, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     return from_b, apart
 
 
+def symbols_of(text: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Dense ranks of the STEP-byte symbols at these places: equal ranks for equal bytes. Bytes are compared wherever hashes are equal."""
+    grams = np.lib.stride_tricks.sliding_window_view(text, STEP)
+    order, rank = ranks(hashes)
+    first = np.empty(int(rank.max(initial=-1)) + 1, np.int64)
+    first[rank[order[::-1]]] = places[order[::-1]]
+    for at in range(0, len(places), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        shared = places[some] != first[rank[some]]
+        if (grams[places[some][shared]] != grams[first[rank[some][shared]]]).any():
+            return np.unique(grams[places], axis=0, return_inverse=True)[1].ravel()  # a hash of two different symbols
+    return rank
+
+
 def repeated_starts(stretches: list[bytes], length: int) -> list[np.ndarray]:
     """For each of some different stretches, which of its strings of so many bytes are in another stretch, or twice in it."""
     sizes = np.array([len(s) for s in stretches])
@@ -152,7 +166,7 @@ def repeated_starts(stretches: list[bytes], length: int) -> list[np.ndarray]:
     inner = np.ones(len(text), bool)
     inner[(np.repeat(starts + sizes, STEP).reshape(-1, STEP) - np.arange(STEP)).ravel()] = False
     symbols = np.zeros(len(text), np.int64)
-    symbols[inner] = ranks(hashes[inner])[1] + 1
+    symbols[inner] = symbols_of(text, np.flatnonzero(inner), hashes[inner]) + 1
     cut = len(stretches) // 2
     at = int(starts[cut])
     a, b = Shard(starts[:cut], sizes[:cut], symbols[:at]), Shard(starts[cut:] - at, sizes[cut:], symbols[at:])
@@ -208,67 +222,73 @@ STRETCHES = "id long, text_hash long, hash long, first int, run int, digest bina
 SPANS = "id long, text_hash long, start int, end int"
 
 
-def suspects(texts: DataFrame, length: int) -> DataFrame:
-    """The stretches whose anchor's hash is in the twice-seen filter."""
-    n = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] * 2 / (length - GRAM + 2)
-    bits = SEGMENT_BITS
-    while bits < min(n * KEY_BITS, MAX_BITS):
-        bits *= 2
+#: A stretch as it is dealt to the owner of its anchor's hash; none: the document's doc_id is null.
+STRETCH = np.dtype([("hash", np.uint64), ("id", np.int64), ("text_hash", np.int64), ("first", np.int32), ("run", np.int32), ("digest", "V16"), ("none", bool)])
+#: A string of a stretch: its hash, the stretch's number and the string's place in it.
+STRING = np.dtype([("hash", np.uint64), ("number", np.int64), ("at", np.int32)])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(BLOCK + length)
-        for batch in batches:
-            made = [np.concatenate([x[0] for x in found]) for (t,) in _rows(batch) if (found := list(anchors(t or b"", length, grams)))]
-            yield pa.RecordBatch.from_arrays([pa.array([np.repeat(x, 2).tobytes() for x in made], pa.binary())], names=["keys"])
 
-    twice = texts.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text").mapInArrow(keys, "keys binary"), bits))
+def _stretches(records: np.ndarray) -> pa.RecordBatch:
+    digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(records), [None, pa.py_buffer(np.ascontiguousarray(records["digest"]).tobytes())]).cast(pa.binary())
+    id_ = pa.array(records["id"], pa.int64(), mask=records["none"])
+    longs = [pa.array(x, pa.int64()) for x in (records["text_hash"], np.ascontiguousarray(records["hash"]).view(np.int64))]
+    return pa.RecordBatch.from_arrays([id_, *longs, *[pa.array(records[c], pa.int32()) for c in ("first", "run")], digest], names=[x.split()[0] for x in STRETCHES.split(", ")])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def suspects(texts: DataFrame, length: int) -> DataFrame:
+    """The stretches whose anchor's hash is in the twice-seen filter."""
+    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    segments = bloom.segments_of(size * 2 // (length - GRAM + 2))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         grams = Grams(BLOCK + length)
         for batch in batches:
-            out = []
             for doc_id, text_hash, text in _rows(batch):
-                for hashes, *places in anchors(text or b"", length, grams):
-                    hit = np.flatnonzero(_has(twice.value, probes(hashes, bits)))
-                    for h, p, f, e in zip(hashes[hit].view(np.int64).tolist(), *(x[hit].tolist() for x in places), strict=True):
-                        out.append((doc_id, text_hash, h, f, e - f + 1, _digest(text, p, f, e, length)))
-                if len(out) > 50_000:
-                    yield _batch(STRETCHES, out)
-                    out = []
-            yield _batch(STRETCHES, out)
+                for hashes, places, first, last in anchors(text or b"", length, grams):
+                    out = np.zeros(len(hashes), STRETCH)
+                    digests = b"".join([_digest(text, p, f, e, length) for p, f, e in zip(places.tolist(), first.tolist(), last.tolist(), strict=True)])
+                    out["hash"], out["id"], out["text_hash"], out["first"], out["run"] = hashes, doc_id or 0, text_hash, first, last - first + 1
+                    out["digest"], out["none"] = np.frombuffer(digests, "V16"), doc_id is None
+                    yield out
 
-    return texts.mapInArrow(found, STRETCHES)
+    dealt = texts.mapInArrow(lambda batches: bloom.dealt(records(batches), segments), bloom.DEALT)
+    return bloom.suspects(dealt, STRETCH, _stretches, STRETCHES)
 
 
 CUTS = "id long, text_hash long, hash long, first int, times long, stretch binary"
 
 
 def shrunk(wide: DataFrame, length: int) -> DataFrame:
-    """The runs of strings of the stretches (CUTS) that may be repeated: as stretches, with their digest."""
+    """The runs of strings of the stretches (CUTS and a number) that may be repeated: as stretches, with their digest."""
     n = wide.agg(F.coalesce(F.sum((F.length("stretch") - length + 1) * F.least("times", F.lit(2))), F.lit(0))).first()[0]
-    bits = SEGMENT_BITS
-    while bits < min(n * KEY_BITS, MAX_BITS):
-        bits *= 2
-    string = lambda s, i: hashlib.blake2b(s[i : i + length], digest_size=16).digest()
-    strings = lambda s: b"".join(string(s, i) for i in range(len(s) - length + 1))
+    segments = bloom.segments_of(n)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([strings(s) * min(times, 2) for times, s in _rows(batch)], pa.binary())], names=["keys"])
+            for number, times, s in _rows(batch):
+                out = np.zeros(len(s) - length + 1, STRING)
+                out["hash"] = np.frombuffer(b"".join([hashlib.blake2b(s[i : i + length], digest_size=8).digest() for i in range(len(out))]), np.uint64)
+                out["number"], out["at"] = number, np.arange(len(out))
+                yield out if times == 1 else np.repeat(out, 2)
+
+    def places(records: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(records["number"], pa.int64()), pa.array(records["at"], pa.int32())], names=["number", "at"])
 
-    twice = wide.sparkSession.sparkContext.broadcast(twice_seen(wide.select("times", "stretch").mapInArrow(keys, "keys binary"), bits))
+    dealt = wide.select("number", "times", "stretch").mapInArrow(lambda batches: bloom.dealt(records(batches), segments), bloom.DEALT)
+    found = bloom.suspects(dealt, STRING, places, "number long, at int").groupBy("number").agg(F.array_sort(F.collect_set("at")).alias("held"))
+    found = written(found.withColumnRenamed("number", "s_number"), "hot-strings")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text_hash, h, first, times, s in _rows(batch):
-                hit = _has(twice.value, probes(np.frombuffer(strings(s), np.uint64)[::2], bits))
-                for start, end in spans_of(hit, 0, 1):
+            for doc_id, text_hash, h, first, times, s, held in _rows(batch):
+                for start, end in spans_of(np.isin(np.arange(len(s) - length + 1), held), 0, 1):
                     part = s[start : end + length - 1]
                     out.append((doc_id, text_hash, h, first + start, times, part, hashlib.blake2b(part, digest_size=16).digest()))
             yield _batch(f"{CUTS}, digest binary", out)
 
-    return wide.select([c.split()[0] for c in CUTS.split(", ")]).mapInArrow(runs, f"{CUTS}, digest binary")
+    joined = wide.join(found.hint("shuffle_hash"), F.col("number") == F.col("s_number"))
+    return joined.select([c.split()[0] for c in CUTS.split(", ")] + ["held"]).mapInArrow(runs, f"{CUTS}, digest binary")
 
 
 def solve_buckets(cuts: DataFrame, length: int) -> DataFrame:
@@ -336,7 +356,8 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     # 4. hot anchors
     hot = cuts.where("hot = 1").drop("hot")
     if hot.limit(1).count():
-        parts = written(shrunk(hot, length), "hot-stretches")
+        wide = written(hot.withColumn("number", F.monotonically_increasing_id()), "hot-numbered")
+        parts = written(shrunk(wide, length), "hot-stretches")
         kinds = parts.groupBy("digest").agg(F.first("hash").alias("hash"), F.sum("times").alias("times"), F.min(F.struct("id", "text_hash", "first")).alias("at"), F.first("stretch").alias("stretch"))
         kinds = written(kinds, "hot-kinds")
         again = attach(parts.drop("times"), kinds.where("times > 1").select("digest", F.col("times").alias("group_rows")), "digest", F.struct("id", "first"), parts.count(), "inner")

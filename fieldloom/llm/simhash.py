@@ -1,26 +1,31 @@
 """Near-duplicates by SimHash fingerprints, searched with BK-trees.
 
-Equal fingerprints are one node. By the pigeonhole principle two fingerprints within the radius agree on some `agree` of
-`radius + agree` blocks of bits, so the nodes are sharded by every choice of agreeing blocks and their values, and each
-shard has a BK-tree: children hang under their integer Hamming distance to the parent, and a search follows only the
-edges within the radius. Together the trees grow with the corpus, which rules out one broadcast of all of them; each tree
-(at most TREE nodes) is sent instead to the task that has the queries of its shard, and the queries of a larger shard go
-to each of its trees. A shard yields a spanning forest rather than all its pairs: found nodes leave the search, so a
-dense group costs one search a node. The forests are joined by components().
-
-similar_documents() links texts by the similarity of their shingle sets instead. At 0.8 fingerprints differ in about 10
-of 64 bits and in up to 20, where the pigeonhole principle gives no useful shards. There the shards are texts that share
-a band of minimum hashes; a shard's BK-tree proposes pairs within 20 bits, and the shingle sets decide each of them.
+Equal fingerprints are one node. By the pigeonhole principle two fingerprints within the radius agree on one of
+`radius + 1` blocks of bits, so the nodes are sharded by every block and its value; a shard of over SHARD nodes is sharded
+again by blocks of the bits that it leaves free, up to LEVELS times, after which few bits are free and its size is bounded.
+Each shard has a BK-tree: children hang under their integer Hamming distance to the parent, and a search follows only the
+edges within the radius. Together the trees grow with the corpus, which rules out a broadcast of all of them (see README);
+each goes to the task that searches it. A shard yields a spanning forest rather than all its pairs: found nodes leave the
+search, so a dense group costs one search a node. The forests are joined by components().
+
+similar_documents() links texts by their shingles instead. Two texts are similar if the Jaccard similarity of their sets
+of shingles, or the share of their words that stand in shingles of the other, is high enough. The second is at least
+about the first, and it holds where single words were edited throughout, each of which breaks as many shingles as one has
+words. Fingerprints of such texts differ in up to 26 of 64 bits, where the pigeonhole principle gives no useful shards, so
+shards are texts that share a band of minimum hashes. A shard's BK-tree proposes pairs within WIDE bits and the whole
+sequences of shingles decide each of them. Bands are taken in rounds: a shard whose texts are in one group already is
+skipped. A shard larger than a tree has several; their largest groups meet first, and then only texts outside the
+shard's main group ask the other trees, so that a dense group does not compare all its pairs.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; by similarity, texts without words are
-one group and a text of fewer words than a shingle is one shingle. A null doc_id never is a component's
-id unless all its members are null. Repeated rows share a component.
+one group and a text of fewer words than a shingle is one shingle. A null doc_id never is a component's id unless all its
+members are null. Repeated rows share a component. Very long texts are hashed in blocks. Other columns may have any names;
+empty tables give none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +36,17 @@ from pyspark.sql import functions as F
 from .common import attach, per_row, small_enough, without, written
 from .components import components
 
-TREE = 4096
+#: Nodes of a fingerprint shard, and how often a larger one is sharded again; then at most 23 bits are free.
+SHARD, LEVELS = 256, 5
+#: Texts of a tree, and shingles that they hold.
+TREE, TREE_SHINGLES = 4096, 1 << 21
 #: Shingles hashed at once.
 BLOCK = 1 << 16
-#: Bands of so many minimum hashes: a pair of similarity 0.8 shares one of them in 998 of 1,000 cases, one of 0.9 always.
-BANDS, BAND_ROWS = 16, 5
-#: Fingerprints of similar texts lie within so many bits (at 0.8 the mean is 10, the standard deviation 3).
-WIDE = 20
-#: Shingles held by the texts of one tree.
-TREE_SHINGLES = 1 << 21
-#: One agreeing block up to so many nodes; each further one for another 2**8 times as many.
-FEW = 1 << 18
+#: Bands of so many minimum hashes: 99.6 of 100 pairs with a Jaccard similarity of 0.5 share one, 97 of 100 with 0.4. The
+#: first ROUND of them find nearly all pairs of 0.8.
+BANDS, BAND_ROWS, ROUND = 20, 2, 5
+#: Fingerprints of similar texts lie within so many bits (at a Jaccard similarity of 0.5 the mean is 17, the deviation 3.6).
+WIDE = 26
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
@@ -72,19 +77,36 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
-
-
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have at least this Jaccard similarity; two empty ones do."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared >= similarity * (len(both) - shared)
+class Sketch:
+    """A text's shingle hashes, in order and as a sorted set."""
+
+    def __init__(self, text: bytes | None, shingle: int):
+        self.sequence = np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)])
+        self.set, self.shingle = np.unique(self.sequence), shingle
+
+    def words_in(self, other: Sketch) -> tuple[int, int]:
+        """How many words stand in shingles of the other text, and how many there are; a short text counts as one word."""
+        if not len(self.sequence):
+            return 0, 0
+        n = len(self.sequence)
+        held = other.set[np.minimum(np.searchsorted(other.set, self.sequence), len(other.set) - 1)] == self.sequence if len(other.set) else np.zeros(n, bool)
+        width = self.shingle if n > 1 else 1
+        steps = np.zeros(n + width, np.int64)
+        steps[:n] += held
+        steps[width:] -= held
+        return int((np.cumsum(steps) > 0).sum()), n + width - 1
+
+    def like(self, other: Sketch, similarity: float) -> bool:
+        """Whether the texts have at least this similarity; two without words do."""
+        both = np.concatenate([self.set, other.set])
+        both.sort(kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        if shared >= similarity * (len(both) - shared):
+            return True
+        if not shared:
+            return False
+        (a, n), (b, m) = self.words_in(other), other.words_in(self)
+        return a + b >= similarity * (n + m)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -145,60 +167,56 @@ class Tree:
         return edges, root
 
 
+def _masks(level: int, radius: int) -> list[int]:
+    """For each way to choose a block of the free bits so many times, the bits that are held equal."""
+    masks = [0]
+    for _ in range(level):
+        more = []
+        for mask in masks:
+            free = [i for i in range(64) if not mask >> i & 1]
+            cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+            more += [mask | sum(1 << i for i in free[cuts[k] : cuts[k + 1]]) for k in range(radius + 1)]
+        masks = more
+    return masks
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges a, b between distinct fingerprints (fp) that join the same components as all pairs within the radius."""
-    n = fps.count()
-    agree = 1
-    while agree < 4 and n > FEW << (8 * (agree - 1)):
-        agree += 1
-    blocks = radius + agree
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in some) for some in combinations(range(blocks), agree)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for i, m in enumerate(masks)])
-    nodes = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.value")
-    sizes = nodes.groupBy("table", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    nodes = nodes.join(sizes, ["table", "value"]).withColumn("trees", F.ceil(F.col("n") / TREE).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    whole = nodes.select("table", "value", own.alias("tree"), F.lit(0).alias("asks"), "fp")
-    # the fingerprints of a shard with several trees ask each of the others
-    asks = nodes.where("trees > 1").withColumn("own", own).select("table", "value", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree")).where("tree <> own").select("table", "value", "tree", F.lit(1).alias("asks"), "fp")
-    shards = whole.unionByName(asks).repartition("table", "value", "tree").sortWithinPartitions("table", "value", "tree", "asks")
+    large, done = fps.select("fp", F.lit(0).alias("path")), None
+    for level in range(1, LEVELS + 1):
+        masks = F.array(*[F.lit(signed(m)).cast("long") for m in _masks(level, radius)])
+        nodes = large.select("fp", F.explode(F.sequence(F.col("path") * (radius + 1), F.col("path") * (radius + 1) + radius)).alias("path"))
+        nodes = written(nodes.withColumn("key", F.xxhash64("path", F.col("fp").bitwiseAND(masks[F.col("path")]))), "simhash-nodes")
+        sizes = written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1"), "simhash-shards")
+        nodes = written(attach(nodes, sizes, "key", F.col("fp"), nodes.count(), "inner"), "simhash-sized")
+        fits = F.lit(True) if level == LEVELS else F.col("group_rows") <= SHARD
+        some = nodes.where(fits).select(F.xxhash64("key", F.lit(level)).alias("key"), "fp")
+        done = some if done is None else done.unionByName(some)
+        large = nodes.where(~fits).select("fp", "path")
+        if not large.limit(1).count():
+            break
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, tree, root, a, b = None, [], None, [], [], []
+        key, members, a, b = None, [], [], []
 
-        def planted() -> None:
-            nonlocal tree, root
-            tree = Tree(members)
-            edges, root = tree.forest(radius)
+        def spanned() -> None:
+            edges, _ = Tree(members).forest(radius)
             a.extend(members[i] for i, _ in edges)
             b.extend(members[j] for _, j in edges)
-            tree = Tree(members) if len(members) >= TREE // 4 else None  # small ones are never asked
 
         for batch in batches:
-            for *shard, asks, fp in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                fp &= (1 << 64) - 1
+            for shard, fp in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if shard != key:
-                    if len(members) > 1 and not root:
-                        planted()
-                    key, members, tree, root = shard, [], None, []
-                if not asks:
-                    members.append(fp)
-                    continue
-                if not root:
-                    planted()
-                    tree = tree or Tree(members)
-                for i in {root[i] for i in tree.near(fp, radius)}:
-                    a.append(fp)
-                    b.append(members[i])
+                    spanned()
+                    key, members = shard, []
+                members.append(fp & ((1 << 64) - 1))
             yield _edges(a, b)
             a, b = [], []
-        if len(members) > 1 and not root:
-            planted()
+        spanned()
         yield _edges(a, b)
 
-    return shards.select("table", "value", "tree", "asks", "fp").mapInArrow(search, "a long, b long")
+    return done.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
 def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -243,112 +261,175 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_hash, row_hash, node (digest of the shingle set), fp (SimHash of the set), shingles, bands."""
+    """doc_id, text_hash, row_hash, node (digest of the sequence of shingles), fp (SimHash of their set), shingles, bands."""
 
     def made(texts: list[bytes | None]) -> list[list]:
         out = [[], [], [], []]
         for text in texts:
-            own = shingle_set(text, shingle)
-            out[0].append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
-            out[1].append(np.array([majority([own])], np.uint64).view(np.int64)[0])
-            out[2].append(len(own))
-            out[3].append(band_keys(own))
+            own = Sketch(text, shingle)
+            out[0].append(xxhash.xxh64_intdigest(own.sequence.tobytes()) - (1 << 63))
+            out[1].append(np.array([majority([own.set])], np.uint64).view(np.int64)[0])
+            out[2].append(len(own.sequence))
+            out[3].append(band_keys(own.set))
         return out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"), F.col("text").alias("text"))
     return per_row(rows, "text", made, {"node": pa.int64(), "fp": pa.int64(), "shingles": pa.int64(), "bands": pa.list_(pa.int64())}, "node long, fp long, shingles long, bands array<long>")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges a, b between nodes that join the same components as all similar pairs that share a band. nodes: a written table."""
-    keys = nodes.select("node", "fp", "shingles", "least.row_hash", F.explode("bands").alias("key"))
-    shards = keys.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.sum("shingles").alias("load"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who_else")).where("group_rows > 1")
-    # bands with the same members are one shard
-    shards = shards.groupBy("group_rows", "load", "who", "who_else").agg(F.min("key").alias("key"))
-    trees = F.ceil(F.greatest(F.col("group_rows") / TREE, F.col("load") / TREE_SHINGLES)).cast("int")
-    shards = written(shards.select("key", "group_rows", trees.alias("trees")), "simhash-shards")
-    members = attach(keys, shards, "key", F.col("node"), nodes.count() * BANDS, "inner")
-    own = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
-    members = written(members.select("key", "trees", own.alias("tree"), "node", "fp", "row_hash"), "simhash-members")
-    whole = members.select("key", "tree", F.lit(0).alias("asks"), "node", "fp", "row_hash")
-    # the texts of a shard with several trees ask those that come before their own
-    asks = members.where("trees > 1 and tree > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("tree") - 1)).alias("tree"), F.lit(1).alias("asks"), "node", "fp", "row_hash")
-    wanted = small_enough(written(members.select(F.col("row_hash").alias("want")).distinct(), "simhash-wanted"))
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"), F.col("text").alias("text"))
-    texts = texts.join(wanted, texts["row_hash"] == wanted["want"], "left_semi").dropDuplicates(["row_hash"])
-    rows = whole.unionByName(asks).join(texts, "row_hash").select("key", "tree", "asks", "node", "fp", "text")
-    rows = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks")
+def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    made = pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    edges.clear()
+    return made
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of rows; the last column holds texts, as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            *others, texts = part.columns
+            yield list(zip(*(x.to_pylist() for x in others), texts.cast(pa.binary()).to_pylist(), strict=True))
+
+
+def spanning(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges a, b that span the groups among the texts of each tree. rows: key, tree, node, fp, text, sorted by tree."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, tree, root, edges = None, [], None, [], []
+        shard, members, edges = None, [], []
 
-        def planted() -> None:
-            nonlocal tree, root
-            tree, root = Tree([fp for _, fp, _ in members]), [-1] * len(members)
+        def spanned() -> None:
+            if len(members) < 2:
+                return
+            tree, met = Tree([fp for _, fp, _ in members]), [False] * len(members)
             for start in range(len(members)):
-                if root[start] >= 0:
+                if met[start]:
                     continue
-                root[start], todo = start, [start]
+                met[start], todo = True, [start]
                 tree.leave(start)
                 while todo:
                     at = todo.pop()
                     for i in tree.near(members[at][1], WIDE):
-                        if alike(members[at][2], members[i][2], similarity):
+                        if members[at][2].like(members[i][2], similarity):
                             tree.leave(i)
-                            root[i] = start
+                            met[i] = True
                             edges.append((members[i][0], members[at][0]))
                             todo.append(i)
 
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
-            edges.clear()
-            return made
+        for some in _read(batches):
+            for key, tree, node, fp, text in some:
+                if (key, tree) != shard:
+                    spanned()
+                    shard, members = (key, tree), []
+                members.append((node, fp & ((1 << 64) - 1), Sketch(text, shingle)))
+            yield _pairs(edges)
+        spanned()
+        yield _pairs(edges)
+
+    return rows.mapInArrow(search, "a long, b long")
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                texts = part.column(5).cast(pa.binary()).to_pylist()
-                for *shard, asks, node, fp, text in zip(*(part.column(i).to_pylist() for i in range(5)), texts, strict=True):
-                    if shard != key:
-                        if len(members) > 1 and not root:
-                            planted()
-                        key, members, tree, root = shard, [], None, []
-                    member = (node, fp & ((1 << 64) - 1), shingle_set(text, shingle))
-                    if not asks:
-                        members.append(member)
-                        continue
-                    if not root:
-                        planted()
-                        tree = Tree([fp for _, fp, _ in members])
-                    met = set()
-                    for i in tree.near(member[1], WIDE):
-                        if root[i] not in met and alike(member[2], members[i][2], similarity):
-                            met.add(root[i])
-                            edges.append((node, members[i][0]))
-            yield batch_of()
-        if len(members) > 1 and not root:
-            planted()
-        yield batch_of()
+
+def answers(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges a, b from each text that asks a tree to one member of each other group in it that it is similar to.
+
+    rows: key, tree, asks (0: a member, 1: asks), root (the group of the text), node, fp, text; sorted, members first.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, members, tree, edges = None, [], None, []
+        for some in _read(batches):
+            for key, number, asks, root, node, fp, text in some:
+                if (key, number) != shard:
+                    shard, members, tree = (key, number), [], None
+                fp &= (1 << 64) - 1
+                own = Sketch(text, shingle)
+                if not asks:
+                    members.append((node, fp, own, root))
+                    continue
+                tree = tree or Tree([m[1] for m in members])
+                met = {root}
+                for i in tree.near(fp, WIDE):
+                    other, _, sketch, group = members[i]
+                    if group not in met and own.like(sketch, similarity):
+                        met.add(group)
+                        edges.append((node, other))
+            yield _pairs(edges)
 
     return rows.mapInArrow(search, "a long, b long")
 
 
+def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the text of their row_hash instead of it."""
+    wanted = small_enough(written(rows.select(F.col("row_hash").alias("want")).distinct(), "simhash-wanted"))
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"), F.col("text").alias("text"))
+    texts = texts.join(wanted, texts["row_hash"] == wanted["want"], "left_semi").dropDuplicates(["row_hash"])
+    return rows.join(texts, "row_hash").drop("row_hash")
+
+
+def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with root, the group that the edges put them in."""
+    roots = written(components(edges).withColumnRenamed("node", "from"), "simhash-roots")
+    return nodes.drop("root").join(roots, nodes["node"] == roots["from"], "left").drop("from").withColumn("root", F.coalesce("root", "node"))
+
+
+def band_links(docs: DataFrame, nodes: DataFrame, known: DataFrame | None, first: int, last: int, shingle: int, similarity: float) -> DataFrame:
+    """Edges a, b between nodes that, with the known ones, join the same groups as all similar pairs that share one of these bands."""
+    keys = nodes.select("node", "fp", "shingles", "row_hash", "root", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
+    shards = keys.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.sum("shingles").alias("load"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who_else"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    # bands with the same members are one shard
+    shards = shards.groupBy("group_rows", "load", "who", "who_else").agg(F.min("key").alias("key"))
+    trees = F.ceil(F.greatest(F.col("group_rows") / TREE, F.col("load") / TREE_SHINGLES)).cast("int")
+    shards = written(shards.select("key", "group_rows", trees.alias("trees")), "simhash-shards")
+    members = attach(keys, shards, "key", F.col("node"), nodes.count() * (last - first), "inner")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("trees")).cast("int")
+    members = written(members.select("key", "trees", own.alias("tree"), "node", "fp", "row_hash"), "simhash-members")
+    rows = _with_texts(members.select("key", "tree", "node", "fp", "row_hash"), docs).select("key", "tree", "node", "fp", "text")
+    edges = written(spanning(rows.repartition("key", "tree").sortWithinPartitions("key", "tree"), shingle, similarity), "simhash-edges")
+    several = members.where("trees > 1")
+    if not several.limit(1).count():
+        return edges
+
+    def asked(asks: DataFrame, several: DataFrame) -> DataFrame:
+        columns = ["key", "tree", "asks", "root", "node", "fp", "row_hash"]
+        asks = written(asks.withColumn("asks", F.lit(1)).select(columns), "simhash-asks")
+        wanted = asks.select("key", "tree").distinct()
+        rows = several.withColumn("asks", F.lit(0)).select(columns).join(wanted, ["key", "tree"], "left_semi").unionByName(asks)
+        rows = _with_texts(rows, docs).select(*columns[:-1], "text")
+        return answers(rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks"), shingle, similarity)
+
+    grouped = lambda e: written(with_roots(several, e if known is None else e.unionByName(known)), "simhash-several")
+    # the largest group of each tree asks the tree before it and the first one
+    now = grouped(edges)
+    sizes = now.groupBy("key", "tree", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "row_hash")).alias("one"))
+    chief = sizes.groupBy("key", "tree").agg(F.max_by(F.struct("root", "one"), F.struct("n", "root")).alias("c")).where("tree > 0")
+    chief = chief.select("key", F.explode(F.array_distinct(F.array(F.lit(0), F.col("tree") - 1))).alias("tree"), "c.root", "c.one.*")
+    edges = written(edges.unionByName(asked(chief, now)), "simhash-edges")
+    # texts outside a shard's main group ask all its other trees
+    now = grouped(edges)
+    main = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rest = now.join(main, "key").where("root <> main").withColumn("own", F.col("tree")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).where("tree <> own")
+    return written(edges.unionByName(asked(rest, now)), "simhash-edges")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, text_hash, first (the member that stands for its group: the smallest doc_id, nulls last) and
-    class_nodes (distinct shingle sets in the group). Groups are the components of the pairs whose sets of shingles have at
-    least this Jaccard similarity."""
+    class_nodes (distinct sequences of shingles in the group). Groups are the components of the pairs of texts with at
+    least this similarity."""
     rows = written(sketches(docs, shingle), "simhash-sketches")
     member = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash"), F.col("row_hash"))
     nodes = rows.groupBy("node").agg(F.min(member).alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("node_rows"))
-    nodes = written(nodes, "simhash-sets")
-    roots = written(components(similar_links(docs, nodes, shingle, similarity)).withColumnRenamed("node", "from"), "simhash-roots")
-    known = nodes.join(roots, nodes["node"] == roots["from"], "left").select("node", "least", "node_rows", F.coalesce("root", "node").alias("root"))
-    classes = known.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("group_rows"))
+    nodes = written(nodes.select("*", F.col("least.row_hash").alias("row_hash"), F.col("node").alias("root")), "simhash-texts")
+    edges = None
+    for first, last in ((0, ROUND), (ROUND, BANDS)):
+        more = band_links(docs, nodes, edges, first, last, shingle, similarity)
+        edges = more if edges is None else edges.unionByName(more)
+        nodes = written(with_roots(nodes, edges), "simhash-grouped")
+    classes = nodes.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("group_rows"))
     classes = written(classes.withColumn("class_nodes", F.col("group_rows")), "simhash-classes")
-    table = attach(known, classes, "root", F.col("node"), nodes.count()).select("node", "first", "class_nodes", F.col("node_rows").alias("group_rows"))
+    table = attach(nodes.select("node", "root", "node_rows"), classes, "root", F.col("node"), nodes.count()).select("node", "first", "class_nodes", F.col("node_rows").alias("group_rows"))
     return attach(rows, written(table, "simhash-table"), "node", F.struct("doc_id", "text_hash"), rows.count()).select("doc_id", "text_hash", "first", "class_nodes")
 
 
 def keep_similar_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of similar texts, that with the smallest doc_id; columns stay as they are."""
+    """docs with one document of each group of similar texts (see similar_documents), that with the smallest doc_id; columns stay as they are."""
     return _first_of(docs, similar_documents(docs, shingle, similarity))

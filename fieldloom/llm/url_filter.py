@@ -1,13 +1,15 @@
 """URL filtering with a bit-parallel wildcard automaton.
 
 Every rule is a glob over host + separator + path: its host and all subdomains, then any path that starts with its own.
-All rules are packed into Shift-And masks of as many 64-bit words as needed, and one pass over the characters of a batch
+In either, `*` stands for any run of characters (in a host within it) and `?` for any one. All rules are packed into Shift-And masks of as many 64-bit words as needed, and one pass over the characters of a batch
 of URLs simulates all of them at once: a state moves on by a shift, the shift carries between words, and wildcard states
-keep themselves. The tables (rules, bytes) are bounded by the rule list, which is a parameter.
+keep themselves. Paths are followed as far as a rule can reach. The tables (rules, bytes) are bounded by the rule list, a
+parameter.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule. When no rule fits, the URL
 is allowed. Of the fitting rules the longest (host and path together) wins; of equally long ones the first.
-Repeated rows are judged each.
+Repeated rows are judged each, very long urls in blocks of bounded size. Other columns may have any names; empty tables
+give none.
 """
 
 from __future__ import annotations
@@ -43,43 +45,57 @@ RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("
 
 
 class Automaton:
-    """Shift-And masks of the rules. A rule's states: a leading wildcard, then one for each code of `.host | path`."""
+    """Shift-And masks of the rules. A rule's states: the start, then one for each code of `.host | path`; a `*` adds none
+    but keeps the state before it alive."""
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
         codes = [[*b"." + r.host.encode(), SEPARATOR, *r.path.encode()] for r in rules]
         n = sum(len(c) + 1 for c in codes)
         self.words = max(1, -(-n // 64))
-        self.table, self.start, self.loops, self.ends = np.zeros((CODES, self.words), np.uint64), np.zeros(self.words, np.uint64), np.zeros(self.words, np.uint64), []
+        self.table, self.loops, self.start, self.ends = np.zeros((CODES, self.words), np.uint64), np.zeros((CODES, self.words), np.uint64), np.zeros(self.words, np.uint64), []
         at = 0
         for c in codes:
             self._set(self.start, at)
-            self._set(self.loops, at)  # the wildcard before the host: any code but the separator
-            for code in range(CODES - 1):
-                self._set(self.table[code], at)
-            for i, code in enumerate(c):
-                self._set(self.table[code], at + 1 + i)
-            at += len(c) + 1
-            self.ends.append(((at - 1) // 64, np.uint64(1) << np.uint64((at - 1) % 64)))
+            self._any(self.loops, at)  # whatever stands before the host
+            for code in c:
+                if code == ord("*"):
+                    self._any(self.loops, at)
+                    continue
+                at += 1
+                if code == ord("?"):
+                    self._any(self.table, at)
+                else:
+                    self._set(self.table[code], at)
+            self.ends.append((at // 64, np.uint64(1) << np.uint64(at % 64)))
+            at += 1
+        #: how much of a path can matter
+        self.reach = None if any("*" in r.path for r in rules) else max((len(r.path.encode()) for r in rules), default=0)
 
     @staticmethod
     def _set(mask: np.ndarray, at: int) -> None:
         mask[at // 64] |= np.uint64(1) << np.uint64(at % 64)
 
+    def _any(self, table: np.ndarray, at: int) -> None:
+        """Any code but the separator."""
+        for code in range(CODES - 1):
+            self._set(table[code], at)
+
     def matches(self, urls: list[list[int]]) -> np.ndarray:
         """urls as codes -> for each URL and rule, whether the rule's last state was reached (a rule's path may go on)."""
         width = max(map(len, urls), default=0)
         grid = np.full((len(urls), width), CODES, np.int16)
         for i, u in enumerate(urls):
             grid[i, : len(u)] = u
-        table = np.vstack([self.table, np.zeros((1, self.words), np.uint64)])  # past the end no state lives on
+        # past the end no state lives on
+        table, loops = (np.vstack([x, np.zeros((1, self.words), np.uint64)]) for x in (self.table, self.loops))
         state = np.tile(self.start, (len(urls), 1))
         seen = np.zeros_like(state)
         one, top = np.uint64(1), np.uint64(63)
         for column in grid.T:
             moved = state << one
             moved[:, 1:] |= state[:, :-1] >> top
-            state = (moved | state & self.loops) & table[column]
+            state = moved & table[column] | state & loops[column]
             seen |= state
         return np.stack([(seen[:, w] & bit) != 0 for w, bit in self.ends], axis=1) if self.rules else np.zeros((len(urls), 0), bool)
 
@@ -91,7 +107,7 @@ def judge(hosts: list[bytes], paths: list[bytes], automaton: Automaton) -> list[
     out, block, longest = [-1] * len(hosts), [], 0
 
     def flush() -> None:
-        hit = automaton.matches([[*b"." + hosts[i], SEPARATOR, *paths[i]] for i in block])
+        hit = automaton.matches([[*b"." + hosts[i], SEPARATOR, *paths[i][: automaton.reach]] for i in block])
         for k, i in enumerate(block):
             out[i] = next((r for r in ranks if hit[k, r]), -1)
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldloom.llm import components, decontaminate, exact_dedup, language_id, licences, line_dedup, mixture, queries, repeats, simhash, url_filter, warc
+from fieldloom.llm import bloom, components, decontaminate, exact_dedup, language_id, licences, line_dedup, mixture, queries, repeats, simhash, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest int"
 LONG = "this line is certainly longer than forty characters, and it repeats"
@@ -45,6 +45,12 @@ def test_exact_edges(edges):
     assert kept.columns == edges.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_exact_ids_at_the_ends_of_the_range(spark):
+    low = -(2**63)
+    rows = exact_dedup.exact_dedup(spark.createDataFrame([(low, "a"), (None, "a"), (low, "b"), (2**63 - 1, "B"), (None, "c"), (None, "C")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in rows) == [(False, low, low, 2, True), (False, low, 2**63 - 1, 2, False), (False, 2**63 - 1, 2**63 - 1, 2, True), (True, 0, low, 2, False), (True, 0, 0, 2, False), (True, 0, 0, 2, True)]
+
+
 def test_minimal_perfect_hash_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     levels, slots = exact_dedup.build_hash(keys)
@@ -107,9 +113,11 @@ def test_simhash_equals_brute_force(docs):
     assert kept == {find(i) for i in fps}
 
 
-@pytest.mark.parametrize("tree", [4096, 3])
-def test_simhash_links_large_shards(spark, monkeypatch, tree):
-    monkeypatch.setattr(simhash, "TREE", tree)
+@pytest.mark.parametrize(("shard", "levels"), [(256, 5), (3, 5), (1, 2)])
+def test_simhash_links_large_shards(spark, monkeypatch, shard, levels):
+    """All fingerprints by one search, by shards of shards, and by the last level's large shards."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     near = [0xABCDEF0123456789 ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)] + [1 << i for i in range(20, 26)] + [0x5555555555555555]
     signed = [x - (1 << 64) if x >> 63 else x for x in near]
     df = spark.createDataFrame([(x,) for x in signed], "fp long").distinct()
@@ -118,6 +126,56 @@ def test_simhash_links_large_shards(spark, monkeypatch, tree):
     assert sorted(groups.values()) == [1, 6, 66]
 
 
+def test_components_of_a_long_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5001), (5001, 5000), (7, 7)]
+    rows = components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {r.node: r.root for r in rows} == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1400)} | {5001: 5000} and len(rows) == 700
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pigeonhole_masks_leave_few_bits_free():
+    assert [len(simhash._masks(level, 4)) for level in range(4)] == [1, 5, 25, 125]
+    assert min(m.bit_count() for m in simhash._masks(1, 4)) == 12
+    assert all(64 - m.bit_count() <= 23 for m in simhash._masks(5, 4))
+
+
+def test_bloom_suspects_hold_every_repeat(spark, monkeypatch):
+    """Many more keys than a segment holds: all that occur twice are suspects, and few others."""
+    monkeypatch.setattr(bloom, "SEGMENT_KEYS", 64)
+    monkeypatch.setattr(bloom, "CHUNK", 50)
+    kind = np.dtype([("hash", np.uint64), ("place", np.int64)])
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    hashes = np.concatenate([values, values[:500], np.repeat(values[500:501], 3000)])
+    rng.shuffle(hashes)
+    table = spark.createDataFrame([(int(h),) for h in hashes], "h long").repartition(5)
+
+    def records(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 37):
+                h = batch.column(0)[at : at + 37].to_numpy().astype(np.uint64)
+                out = np.zeros(len(h), kind)
+                out["hash"] = h
+                yield out
+
+    columns = lambda r: bloom.pa.RecordBatch.from_arrays([bloom.pa.array(r["hash"].astype(np.int64))], names=["h"])
+    segments = bloom.segments_of(len(hashes))
+    dealt = table.mapInArrow(lambda batches: bloom.dealt(records(batches), segments), bloom.DEALT)
+    assert dealt.select("segment").distinct().count() > 100
+    got, all_of = Counter(r.h for r in bloom.suspects(dealt, kind, columns, "h long").collect()), Counter(map(int, hashes))
+    assert all(got[h] == n for h, n in all_of.items() if n > 1)
+    assert sum(n for h, n in got.items() if all_of[h] == 1) < 60
+
+
+def test_symbols_are_compared_byte_by_byte():
+    text = np.frombuffer(bytes(range(200)) * 2, np.uint8)
+    places = np.arange(0, 300, 10)
+    forged = np.zeros(len(places), np.uint64)  # every hash collides
+    symbols = repeats.symbols_of(text, places, forged)
+    parts = [text[p : p + repeats.STEP].tobytes() for p in places]
+    assert len(set(symbols)) == len(set(parts)) and len(set(zip(symbols, parts))) == len(set(parts))
+
+
 @pytest.mark.parametrize("hot", [1000, 1, 0])
 def test_repeats_equal_brute_force(docs, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -135,6 +193,14 @@ def test_repeats_equal_brute_force(docs, monkeypatch, hot):
     assert {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(some).collect()} == want
 
 
+def test_decontamination_in_rounds(spark, docs, sf_dir, monkeypatch):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = sorted(decontaminate.decontaminate(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "ROUND_GRAMS", 100)
+    monkeypatch.setattr(decontaminate, "ROUND_WINDOWS", 100)
+    assert sorted(decontaminate.decontaminate(docs, bench).collect()) == want and any(r.contaminated for r in want)
+
+
 def test_decontamination_edges(spark, edges):
     bench = spark.createDataFrame([(5, "SAME text"), (5, "same text"), (11, "word " * 12), (9, "!!"), (12, None)], "item_id long, text string")
     out = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(edges, bench).collect()}
@@ -154,6 +220,58 @@ def test_url_filter_cases(spark):
     assert got == [("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), (None, "allow"), ("org/", "allow"), (None, "allow"), (None, "allow"), ("com/de/", "block"), ("com/fr/", "allow"), (None, "allow"), (None, "allow"), ("org/", "allow"), ("org/", "allow")]
 
 
+def test_url_globs_over_several_words(spark):
+    """Wildcards in hosts and paths, with rules that need several mask words, against a regular expression for each."""
+    import re
+
+    rules = [url_filter.Rule("ads*.example.com", "/", "block"), url_filter.Rule("shop.net", "/*/print", "block"), url_filter.Rule("?og.org", "/a?c", "block"), url_filter.Rule("a" * 150 + ".com", "/x", "block"), url_filter.Rule("*tracker*", "/", "block")]
+    urls = ["http://ads.example.com/", "http://www.ads12.example.com/x", "http://bads.example.com/", "http://ads.evil.com/.example.com/", "http://shop.net/a/b/print?x", "http://shop.net/print", "http://dog.org/abcd", "http://og.org/abc", "http://x.dog.org/a/c", f"http://{'a' * 150}.com/x/y", f"http://{'a' * 149}.com/x", "http://my.tracker.io/", "http://my-tracker/", "http://x.io/tracker"]
+    to_regex = lambda t, any_: "".join(any_ + "*" if ch == "*" else any_ if ch == "?" else re.escape(ch) for ch in t)
+    want = []
+    for url in urls:
+        host, _, path = url.split("://", 1)[1].partition("/")
+        path = ("/" + path).split("?")[0]
+        fits = [r for r in rules if re.fullmatch("(.*\\.)?" + to_regex(r.host, "[^/]"), host) and re.match(to_regex(r.path, "."), path)]
+        want.append(max(fits, key=lambda r: len(r.name)).name if fits else None)
+    assert url_filter.Automaton(rules).words > 3
+    rows = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert [r.rule for r in sorted(rows, key=lambda r: r.page_id)] == want and sum(x is not None for x in want) > 5
+    assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_language_score_by_brute_force(docs):
+    """Words by log frequency, unseen ones by their longest known n-grams, without caches or matrices."""
+    model = language_id.fit(docs.limit(60).where("doc_id % 2 = 0"), top_words=200, top_grams=300)
+    for text in [r.text for r in docs.limit(100).collect() if r.text][:25] + ["zzq unseenword é", "x" * 3000 + " and"]:
+        found = language_id.WORD.findall(text.lower())
+        total = np.zeros(len(model.langs))
+        for w in found:
+            if w in model.tables[0]:
+                total += model.weights[0][model.tables[0][w]]
+                continue
+            for size in range(language_id.LONGEST, 0, -1):
+                padded = f"<{w}>"
+                at = [model.tables[size][g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in model.tables[size]]
+                if at:
+                    total += sum(model.weights[size][i] for i in at) / len(at)
+                    break
+        scaled = total / len(found) * min(len(found), language_id.EVIDENCE)
+        lang, score = model.predict(text)
+        assert lang == model.langs[int(np.argmax(scaled))] and abs(score - 1 / np.exp(scaled - scaled.max()).sum()) < 1e-9
+
+
+def test_language_of_one_endless_word(spark, docs):
+    model = language_id.fit(docs)
+    lang, score = model.predict("straße" * 300_000)
+    assert lang in model.langs and 0 <= score <= 1
+    assert model.predict("9" * 100_000 + "_") == ("und", 0.0)
+
+
+def test_warc_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (0, "v", "same")], "page_id long, url string, html string")
+    assert sorted(warc.round_trip(pages).select("page_id", "record_type").collect()) == [(0, "revisit"), (1, "response"), (1, "response")]
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "u\r\nv", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "w", None), (4, "x", ""), (None, "y", "<p>é</p>"), (5, "z", "a\r\n\r\nb")], "page_id long, url string, html string")
     out = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
@@ -217,6 +335,41 @@ def test_mixture(spark, sf_dir, docs):
     assert mixture.targets([10, 100, 0]) == [20.0, 145.0, 0.0]
 
 
+def test_mixture_of_many_sources(spark, monkeypatch):
+    """Sources in several groups of the tree: targets as by hand, quotas of shards exact, all copies dealt."""
+    monkeypatch.setattr(mixture, "GROUP", 5)
+    rows = [(i, "w " * (i % 7 + 1), None if i % 23 == 22 else f"s{i % 23:02}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixture.mix(table).collect()
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len(text.split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, mixture.targets([size[n] for n in names]), strict=True))
+    source = {i: s for i, _, s in rows}
+    assert all(abs(r.target - want[source[r.doc_id]]) < 1e-6 and r.source_size == size[source[r.doc_id]] for r in planned)
+    assert all(len(r.shards) == r.copies and r.taken == r.size * r.copies for r in planned)
+    taken = Counter()
+    for r in planned:
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[n] - want[n]) <= 7 for n in names)
+    quotas = spark.createDataFrame([(n, i, 10 * i + 1) for i, n in enumerate(names)], "source string, rank long, n long")
+    ends = {r.e_source: r.ends for r in mixture.deal(quotas, 16, 7).collect()}
+    assert all(ends[n][-1] == 10 * i + 1 for i, n in enumerate(names))
+    loads = np.diff(np.array([[0, *ends[n]] for n in names]), axis=1).sum(axis=0)
+    assert loads.sum() == sum(10 * i + 1 for i in range(len(names))) and loads.max() - loads.min() <= 4
+
+
+def test_mixture_without_ids(spark):
+    """Rows without an id are dealt by their texts."""
+    table = spark.createDataFrame([(None, f"word{i} " * 3, f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    rows = mixture.mix(table).collect()
+    sums = Counter()
+    for r in rows:
+        sums[r.target] += r.taken
+    assert len(rows) == 300 and all(abs(n - t) <= 3 for t, n in sums.items())
+
+
 def test_mixture_tree_deals_every_copy(spark):
     """All copies of a block, whole ones too, are within the tree's quotas, in mix() and draw()."""
     rows = [(i, "w", f"s{i % 20:02}") for i in range(1200)] + [(5000 + i, "w", "tiny") for i in range(40)]  # targets: 20 of 89 words, all 40 twice

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from fieldloom.llm import language_id, mixture, simhash
+from fieldloom.llm import decontaminate, language_id, line_dedup, mixture, simhash
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,16 +50,29 @@ def test_exact_stage(chain):
 
 
 def shingles(text):
+    """The five-word shingles of a text, in order."""
     words = SPACED.findall((text or "").translate(LOWER))
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def words_in(a, b):
+    """How many words of a stand in shingles of the set b, and how many there are."""
+    width = 5 if len(a) > 1 else min(1, len(a))
+    held = {i + k for i, x in enumerate(a) if x in b for k in range(width)}
+    return len(held), len(a) + width - 1 if a else 0
 
 
 def similar(a, b):
-    return 5 * len(a & b) >= 4 * len(a | b)
+    """A Jaccard similarity, or a share of words in common shingles, of 0.8 or more."""
+    sets = set(a), set(b)
+    if 5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1]):
+        return True
+    (x, n), (y, m) = words_in(a, sets[1]), words_in(b, sets[0])
+    return x + y > 0 and 5 * (x + y) >= 4 * (n + m)
 
 
 def groups(texts):
-    """The smallest id of each text's group: components of all pairs of a similarity of 0.8 or more."""
+    """The smallest id of each text's group: components of all similar pairs."""
     sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
 
     def find(i):
@@ -91,7 +104,7 @@ def test_near_copies_of_one_hot_text(spark, monkeypatch):
     """Copies with a few edits, some of them beyond the threshold, in a group that spans several trees."""
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-    texts = [edited(base, rng.choice([0, 1, 2, 3, 6, 12]), rng) for _ in range(60)]
+    texts = [edited(base, rng.choice([0, 1, 2, 3, 6, 12, 40, 80]), rng) for _ in range(60)]
     texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.choice([1, 4, 60]))) for _ in range(40)]
     texts += [None, "", " \t", "a b", "A b", "x" * 10000, "long " * 30000, "long " * 29999, "\u00e9 \u00e8 " * 9]
     rows = [(i, t, "x", i) for i, t in enumerate(texts)]
@@ -107,6 +120,54 @@ def test_near_copies_of_one_hot_text(spark, monkeypatch):
     assert simhash.keep_similar_one(docs.limit(0)).count() == 0
 
 
+def test_near_stage_catches_near_copies(spark):
+    """Of all pairs at sf0.01 with a Jaccard similarity of 0.35 to under 1, at least 0.9 are in one group; pairs below are in none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = {r.doc_id: r.first.id for r in simhash.similar_documents(docs).collect()}
+    sets = {r.doc_id: set(shingles(r.text)) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, held in sets.items():
+        for x in held:
+            holders[x].append(i)
+    shared = Counter()
+    for some in holders.values():
+        shared.update((a, b) for k, b in enumerate(some) for a in some[:k])
+    caught = Counter()
+    for (a, b), n in shared.items():
+        jaccard = n / len(sets[a] | sets[b])
+        if 0.35 <= jaccard < 1:
+            caught[first[a] == first[b]] += 1
+    assert sum(caught.values()) > 80 and caught[True] >= 0.9 * sum(caught.values())
+    alone = {i for i in sets if sets[i]} - {i for pair, n in shared.items() for i in pair if n / len(sets[pair[0]] | sets[pair[1]]) >= 0.3}
+    assert all(first[i] == i for i in alone) and len(alone) > 500
+
+
+CLASHING = ("row", "id", "text_hash", "stays", "side_id", "gone", "shingles", "node", "fp", "mix_copy", "kept_words", "__text", "__id", "words", "key", "lang_pred")
+
+
+def test_stages_keep_columns_with_clashing_names(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert rows and all(r[c] == i for r in rows for i, c in enumerate(CLASHING) if c != "mix_copy"), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+    assert {r.key for r in line_dedup.drop_repeated_lines(docs).collect()} == {CLASHING.index("key")}
+    cut = decontaminate.cut_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    assert {r.row for r in cut.collect()} == {0} and cut.columns.count("kept_words") == 1
+
+
+def test_stages_on_empty_tables(spark, sf_dir):
+    docs = spark.createDataFrame([], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
+
+
 def test_benchmark_stage(spark, sf_dir, chain):
     before, after = chain["decontamination"]
     windows = set()
