@@ -11,7 +11,7 @@ from fieldloom.llm.common import shared_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language."""
+    """Drops documents without a language: no letter, or a score of the best one under 0.4."""
     return language_id.keep_identified(docs)
 
 
@@ -21,7 +21,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: sets of five-word shingles with a similarity of 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: a similarity of 0.8 or more by five-word shingles, either of their sets
+    (Jaccard) or as the share of words in common shingles, which also holds for copies with edits throughout."""
     return simhash.keep_similar_one(docs, shingle=5, similarity=0.8)
 
 
