@@ -272,10 +272,15 @@ def shrunk(wide: DataFrame, length: int) -> DataFrame:
                 yield out if times == 1 else np.repeat(out, 2)
 
     def places(records: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(records["number"], pa.int64()), pa.array(records["at"], pa.int32())], names=["number", "at"])
+        """One row for each stretch, with the places of its strings."""
+        records = records[np.argsort(records["number"], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate(([True], records["number"][1:] != records["number"][:-1]))) if len(records) else np.zeros(0, np.int64)
+        held = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(records)), pa.int32()), pa.array(records["at"], pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(records["number"][cuts], pa.int64()), held], names=["number", "held"])
 
     dealt = wide.select("number", "times", "stretch").mapInArrow(lambda batches: bloom.dealt(records(batches), segments), bloom.DEALT)
-    found = bloom.suspects(dealt, STRING, places, "number long, at int").groupBy("number").agg(F.array_sort(F.collect_set("at")).alias("held"))
+    found = bloom.suspects(dealt, STRING, places, "number long, held array<int>")
+    found = found.groupBy("number").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"))
     found = written(found.withColumnRenamed("number", "s_number"), "hot-strings")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
