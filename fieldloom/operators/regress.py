@@ -246,3 +246,71 @@ def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str
                 else:
                     fit.cov = crv1(sub, inner, clusters, fit.n, fit.k)
     return fits
+
+
+def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None) -> dict[tuple[str, str], Fit]:
+    """Many models with absorbed cluster effects, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
+
+    Within sums are a cluster's cross products less those of its means, so one aggregate by cluster holds all that the
+    models and their scores need; no row is demeaned. Singleton clusters go. All models use the rows where every column is
+    present; a model whose first regressor is absorbed, or whose rank is short, is refused. t(G - 1) law.
+    """
+    xs = list(dict.fromkeys(x for _, right in specs.values() for x in right))
+    columns = xs + list(dict.fromkeys(y for y, _ in specs.values()))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    rows = df.na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0)
+    rows = rows.select(F.col(scope).cast("string").alias("_scope") if scope else F.lit("ALL").alias("_scope"), F.col(cluster).alias("_cluster"), F.col(weight).alias("_w"), *[F.col(x).cast("double").alias(x) for x in columns])
+    sums = rows.groupBy("_scope", "_cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *[F.sum(F.col("_w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(columns)], *[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs])
+    if scope:
+        names = [x for x in sums.columns if x not in ("_scope", "_cluster")]
+        pooled = sums.groupBy("_cluster").agg(*[F.sum(x).alias(x) for x in names]).withColumn("_scope", F.lit("ALL"))
+        sums = sums.where("_scope is not null").unionByName(pooled.select(sums.columns))
+    sums = sums.where("n >= 2")
+    within = lambda i, j: F.col(f"g{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")
+    # totals tell what is absorbed from what is only small
+    grams = sums.groupBy("_scope").agg(F.sum("n"), F.count(F.lit(1)), *[F.sum(within(i, j)) for i, j in pairs], *[F.sum(f"g{i}_{i}") for i in range(len(columns))]).collect()
+    fits, betas, kept = {}, [], {}
+    for level, n, clusters, *values in grams:
+        g = np.zeros((len(columns), len(columns)))
+        for (i, j), v in zip(pairs, values, strict=False):
+            g[i, j] = g[j, i] = v
+        total, row = values[len(pairs) :], []
+        for name, (y, right) in specs.items():
+            at, end, beta = [columns.index(x) for x in right], columns.index(y), np.zeros(len(xs))
+            varies = [i for i in at if g[i, i] > ABSORBED * max(total[i], 1e-300)]
+            sub = g[np.ix_(varies, varies)]
+            rank, _ = scaled_rank(sub)
+            if at[0] not in varies:
+                fits[level, name] = Fit("non_estimable_exposure_absorbed", n=n, clusters=clusters)
+            elif rank < len(varies) or clusters < 2 or n <= len(varies):
+                fits[level, name] = Fit("non_estimable_rank_deficient", n=n, clusters=clusters, rank=rank)
+            else:
+                beta[varies] = np.linalg.solve(sub, g[varies, end])
+                fits[level, name] = Fit("estimated", [columns[i] for i in varies], beta[varies], None, n, clusters, len(varies), rank, "t")
+                kept[level, name] = (varies, sub)
+            row += [float(b) for b in beta]
+        betas.append((level, row))
+    if not kept:
+        return fits
+    table = df.sparkSession.createDataFrame(betas, "_level string, _beta array<double>")
+    scored, products, place = sums.join(F.broadcast(table), F.col("_scope") == F.col("_level")), [], {}
+    scores = {}
+    for s, (name, (y, right)) in enumerate(specs.items()):
+        at = [columns.index(x) for x in right]
+        for k in at:
+            value = within(k, columns.index(y))
+            for j in at:
+                value = value - F.col("_beta")[s * len(xs) + j] * within(k, j)
+            scores[f"c{s}_{k}"] = value
+        for k in at:
+            for j in at:
+                if k <= j:
+                    place[name, k, j] = len(products)
+                    products.append(F.sum(F.col(f"c{s}_{k}") * F.col(f"c{s}_{j}")).alias(f"m{len(products)}"))
+    for level, *m in scored.select("_scope", *[v.alias(k) for k, v in scores.items()]).groupBy("_scope").agg(*products).collect():
+        for name in specs:
+            if (level, name) in kept:
+                at, sub = kept[level, name]
+                fit = fits[level, name]
+                fit.cov = crv1(sub, np.array([[m[place[name, min(i, j), max(i, j)]] for j in at] for i in at]), fit.clusters, fit.n, fit.k)
+    return fits

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import aggregates, estimates, grids, jobs, joins, quality, recode, spatial, stages
+from . import absorbed, aggregates, audits, estimates, grids, jobs, joins, quality, recode, spatial, stages
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "estimates", "grids", "jobs", "joins", "quality", "recode", "spatial", "stages"]
+__all__ = ["ORACLES", "QUERIES", "absorbed", "aggregates", "audits", "estimates", "grids", "jobs", "joins", "quality", "recode", "spatial", "stages"]

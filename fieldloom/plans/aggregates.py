@@ -117,10 +117,12 @@ def a17_two_level(t):
     return clusters.agg(F.round(F.avg("m"), 8).alias("mean"), F.round(F.stddev_samp("m"), 8).alias("sd"), F.round(F.min("m"), 8).alias("low"), F.round(F.max("m"), 8).alias("high"))
 
 
-@query("select y, p, round(sum(w), 2) total, row_number() over (order by y, p)::INT i from (select year(o_orderdate)::INT y, o_orderpriority p, o_totalprice w from orders) group by 1, 2")
+@query(f"with k as (select n_regionkey, o_custkey, count(*) filter (where o_totalprice > 200000) high, count(*) filter (where o_orderstatus = 'P') partial from {HOUSEHOLDS} group by 1, 2) select n_regionkey, sum(high)::BIGINT events_high, count(*) filter (where high = 0) without_high, sum(partial)::BIGINT events_partial, count(*) filter (where partial = 0) without_partial from k group by 1")
 def a22_event_counts(t):
-    out = t.orders.groupBy(F.year("o_orderdate").alias("y"), c("o_orderpriority").alias("p")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return out.withColumn("i", F.row_number().over(Window.orderBy("y", "p")))  # a few dozen rows
+    """Events of two outcomes by region, and the clusters without any."""
+    events = {"high": c("o_totalprice") > 200000, "partial": c("o_orderstatus") == "P"}
+    clusters = t.households.groupBy("n_regionkey", "o_custkey").agg(*[F.count_if(v).alias(k) for k, v in events.items()])
+    return clusters.groupBy("n_regionkey").agg(*[x for k in events for x in (F.sum(k).alias(f"events_{k}"), F.count_if(c(k) == 0).alias(f"without_{k}"))])
 
 
 @query("select variable, level, count(*) n, round(avg(o_totalprice), 7) mean, round(stddev_samp(o_totalprice), 4) sd from (select 'o_orderpriority' variable, o_orderpriority as level, o_totalprice from orders union all select 'o_orderstatus', o_orderstatus, o_totalprice from orders) group by 1, 2")

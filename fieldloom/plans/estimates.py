@@ -14,7 +14,9 @@ from fieldloom.operators import weights as W
 from fieldloom.sources import fixed_width as X
 from fieldloom.sources import tables as T
 
+from .absorbed import fit_sql
 from .base import HOUSEHOLDS, UNITS, n_rows, query
+from .quality import new_folder
 
 c = F.col
 TERMS = "model string, status string, term string, beta double, se double, n long, clusters long, k int"
@@ -82,13 +84,27 @@ def e4_explicit_regression(t):
     return terms(t, {"region_effects": G.fit_explicit(rows, "y", ["l_discount", "l_tax", *fe], "l_quantity", "o_custkey")})
 
 
-@query(GRAM_SQL.format("round(b, 7) beta, n, clusters") .replace("from (", "from (select (sw * sxy - sx * sy) / (sw * sxx - sx * sx) b, n, clusters from (select sum(w) sw, sum(w * x) sx, sum(w * y) sy, sum(w * x * y) sxy, sum(w * x * x) sxx, count(*) n, count(distinct g) clusters from (", 1) + "))")
+@query(
+    f"""with u as ({GRAM_SQL.format('*')}), m as (select sum(w) sw, sum(w * x) sx, sum(w * y) sy, sum(w * x * y) sxy, sum(w * x * x) sxx, count(*) n from u),
+    b as (select *, sw * sxx - sx * sx det, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) b1, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) b0 from m),
+    s as (select g, sum(w * (y - b0 - b1 * x)) s0, sum(w * x * (y - b0 - b1 * x)) s1 from u, b group by 1), e as (select sum(s0 * s0) m00, sum(s0 * s1) m01, sum(s1 * s1) m11, count(*) clusters from s)
+    select round(b1, 6) beta, round(sqrt((sx * sx * m00 - 2 * sx * sw * m01 + sw * sw * m11) / (det * det) * (clusters / (clusters - 1)) * ((n - 1) / (n - 2))), 6) se, n, clusters from b, e"""
+)
 def e5_cluster_robust(t):
+    """The slope of one regressor and its cluster-robust standard error, with the small-sample factor."""
     f = G.fit_explicit(model_rows(t), "y", ["l_discount"], "l_quantity", "o_custkey")
-    return t.spark.createDataFrame([(round(float(f.beta[1]), 7), f.n, f.clusters)], "beta double, n long, clusters long")
+    _, (_, b, se, *_) = f.rows()
+    return t.spark.createDataFrame([(round(b, 6), round(se, 6), f.n, f.clusters)], "beta double, se double, n long, clusters long")
 
 
-@query()
+def _absorbed_sql(select: str) -> str:
+    """The absorbed fit of both regressors, one row each."""
+    rows = f"select 1 one, o_custkey g, l_quantity w, l_extendedprice / 1000 y, {{}} x, {{}} z from {UNITS}"
+    pairs = (("l_discount", "l_tax"), ("l_tax", "l_discount"))
+    return " union all ".join(f"select {select.format(term=x)} from {fit_sql(rows.format(x, z), 'one', True)}" for x, z in pairs)
+
+
+@query(_absorbed_sql("'absorbed' model, 'estimated' status, '{term}' term, round(beta, 7) beta, round(se, 7) se, n, clusters, 2 k"))
 def e6_absorbed_regression(t):
     return terms(t, {"absorbed": G.fit_absorbed(model_rows(t), "y", ["l_discount"], ["l_tax"], "l_quantity", "o_custkey")})
 
@@ -112,7 +128,7 @@ def e7_absorbed_fe(t):
     return t.spark.createDataFrame([(round(b1, 6), round(b2, 6), round(se, 6), f.n, f.clusters)], "beta_x double, beta_z double, se_x double, n long, clusters long")
 
 
-@query()
+@query(_absorbed_sql("'{term}' term, round(se, 7) se, round(se * sqrt((n - 2) / (n - 2 - clusters)), 7) se_full"))
 def e8_full_dummy_sensitivity(t):
     f = G.fit_absorbed(model_rows(t), "y", ["l_discount"], ["l_tax"], "l_quantity", "o_custkey")
     scale = G.full_dummy_scale(f.n, f.k, f.clusters)
@@ -137,7 +153,7 @@ def e10_inflation(t):
     return t.spark.createDataFrame([(x, round(float(v), 7), round(float(r), 7)) for x, v, r in zip(["l_discount", "l_tax", "y"], G.inflation(g), G.dependence(g), strict=True)], "term string, vif double, r_squared double")
 
 
-@query()
+@query(_absorbed_sql("'{term}' term, round(beta, 7) beta"))
 def e14_partial_regression(t):
     rows = W.demean(model_rows(t), "o_custkey", ["l_discount", "l_tax", "y"], c("l_quantity"))
     g, _ = G.gram(rows, ["l_discount", "l_tax", "y"], "l_quantity")
@@ -164,9 +180,13 @@ def e19_support(t):
     return G.support(t.units, "o_custkey", "o_orderkey", ["l_discount"])
 
 
-@query("select corr(l_discount, l_tax) > -1 has_r, round(corr(l_discount, l_tax), 8) r, max(abs(l_quantity - l_quantity)) identity_gap from lineitem")
+@query(f"select round(corr(date_diff('day', o_orderdate::DATE, l_shipdate::DATE), year(l_shipdate)), 8) r, max(abs((year(o_orderdate) - 1900) * 12 + month(o_orderdate) - 1 - date_diff('month', DATE '1900-01-01', o_orderdate::DATE)))::INT identity_gap from {UNITS}")
 def e22_identity_check(t):
-    return t.lineitem.agg((F.corr("l_discount", "l_tax") > -1).alias("has_r"), F.round(F.corr("l_discount", "l_tax"), 8).alias("r"), F.max(F.abs(c("l_quantity") - c("l_quantity"))).alias("identity_gap"))
+    """How the time since the order and the year go together, and whether the month index counts months from its epoch."""
+    days = F.date_diff(c("l_shipdate").cast("date"), c("o_orderdate").cast("date"))
+    counted = F.months_between(F.trunc("o_orderdate", "month"), F.lit("1900-01-01").cast("date")).cast("int")
+    gap = F.abs(C.month_index(F.year("o_orderdate"), F.month("o_orderdate")) - 1 - counted)
+    return t.units.agg(F.round(F.corr(days, F.year("l_shipdate")), 8).alias("r"), F.max(gap).cast("int").alias("identity_gap"))
 
 
 # functions
@@ -236,7 +256,9 @@ def q5_unchanged_columns(t):
 
 @query("select (select count(*) from orders) total, (select sum(n) from (select count(*) n from orders group by o_orderstatus))::BIGINT parts")
 def q6_counts_reconcile(t):
-    return t.orders.groupBy("o_orderstatus").agg(n_rows()).agg(F.sum("n").alias("total"), F.sum("n").alias("parts"))
+    """The table's rows against the sum of its parts, counted apart."""
+    parts = t.orders.groupBy("o_orderstatus").agg(n_rows()).agg(F.sum("n").alias("parts"))
+    return t.orders.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(parts))  # one row each
 
 
 @query("select l_orderkey, count(distinct l_returnflag) n_values from lineitem group by 1 having count(distinct l_returnflag) > 1")
@@ -249,10 +271,12 @@ def q9_rules(t):
     return K.rules(t.lineitem, {"implies": (c("l_quantity") > 45) & (c("l_quantity") <= 40), "domain": ~c("l_discount").isin(0.0, 1.0) & (c("l_discount") > 0.1), "positive": c("l_extendedprice") <= 0})
 
 
-@query("select n_regionkey from nation where false")
+@query(f"with t as (select n_regionkey, sum(o_totalprice) t from {HOUSEHOLDS} group by 1) select n_regionkey, round(sum(o_totalprice / t), 9) total, abs(sum(o_totalprice / t) - 1) < 1e-9 holds from {HOUSEHOLDS} join t using (n_regionkey) group by 1")
 def q11_weight_totals(t):
     weighted = W.equal_group_weights(t.households, "n_regionkey", "o_totalprice")
-    return K.weight_totals(weighted, "n_regionkey", "w", 1.0).select("n_regionkey")
+    failing = K.weight_totals(weighted, "n_regionkey", "w", 1.0).select("n_regionkey", F.lit(False).alias("holds"))
+    totals = weighted.groupBy("n_regionkey").agg(F.round(F.sum("w"), 9).alias("total"))
+    return totals.join(failing, "n_regionkey", "left").withColumn("holds", F.coalesce("holds", F.lit(True)))
 
 
 @query("select o_custkey, count(*) n from orders group by 1 having count(*) < 5")
@@ -263,17 +287,19 @@ def q12_small_cells(t):
 # sources
 
 
-@query()
+@query("select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) o_totalprice from orders")
 def s4_fixed_width_layers(t):
-    """Orders as fixed-width records, and the typed layer that is read from them."""
+    """Orders written as compressed fixed-width text, read back, cut into raw fields and typed."""
     layout = [("o_orderkey", 1, 12, "bigint"), ("o_custkey", 13, 24, "bigint"), ("o_orderstatus", 25, 26, "string"), ("o_totalprice", 27, 42, "double")]
-    return X.typed_layer(X.raw_layer(X.to_lines(t.orders, layout), layout), layout)
+    folder = new_folder(t.spark, "records")
+    X.to_lines(t.orders.withColumn("o_totalprice", F.round("o_totalprice", 2)), layout).write.text(folder, compression="gzip")
+    return X.typed_layer(X.raw_layer(t.spark.read.text(folder), layout), layout)
 
 
-@query("select 42 as length, count(*) n_lines, 0 n_non_ascii from orders")
+@query("select length(props)::INT as length, count(*) n_lines, count(*) filter (where regexp_matches(props, '[^\\x00-\\x7F]')) n_non_ascii from events group by 1")
 def s6_line_lengths(t):
-    layout = [("o_orderkey", 1, 12, "bigint"), ("o_custkey", 13, 24, "bigint"), ("o_orderstatus", 25, 26, "string"), ("o_totalprice", 27, 42, "double")]
-    return X.line_lengths(X.to_lines(t.orders, layout))
+    """The lengths of the records of a text column."""
+    return X.line_lengths(t.events, "props")
 
 
 @query()

@@ -16,9 +16,11 @@ def j1_one_to_one_report(t):
     return J.join_report(t.orders.select("o_orderkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query(f"select n_name, count(*) n, count(*) filter (where c_custkey is null) n_unmatched from {HOUSEHOLDS} group by 1")
+@query("select o_orderpriority, count(*) n, count(*) filter (where c_custkey is null) n_unmatched from orders left join (select * from customer where c_acctbal >= 0) on o_custkey = c_custkey group by 1")
 def j2_many_to_one(t):
-    return t.households.groupBy("n_name").agg(n_rows(), F.count_if(F.col("c_custkey").isNull()).alias("n_unmatched"))
+    """Orders attached to the customers that are listed; those without one are counted."""
+    listed = t.customer.where("c_acctbal >= 0").select("c_custkey")
+    return t.orders.join(listed, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("o_orderpriority").agg(n_rows(), F.count_if(F.col("c_custkey").isNull()).alias("n_unmatched"))
 
 
 @query("with a as (select l_orderkey k, sum(l_extendedprice) v from lineitem group by 1), b as (select o_orderkey k, o_totalprice v from orders) select k, round(abs(a.v - b.v), 4) abs_difference from a join b using (k)")
@@ -84,9 +86,12 @@ def j10_theta_self_join(t):
     return asks.join(means, "k", "left").select(F.col("k").alias("o_orderkey"), "others_rate")
 
 
-@query("select l_suppkey % 50 r, l_partkey % 40 c, count(*) n from lineitem group by 1, 2 order by 1, 2")
+@query("with g as (select p_partkey % 50 r, p_size c, round(avg(p_retailprice), 6) v from part group by 1, 2) select s_suppkey, v from supplier left join g on g.r = s_suppkey % 50 and g.c = s_nationkey + 1")
 def j12_cell_lookup(t):
-    return t.lineitem.groupBy((F.col("l_suppkey") % 50).alias("r"), (F.col("l_partkey") % 40).alias("c")).agg(n_rows())
+    """The value of the cell that holds each point; points in cells without a value stay."""
+    grid = t.part.groupBy((F.col("p_partkey") % 50).alias("r"), F.col("p_size").alias("c")).agg(F.round(F.avg("p_retailprice"), 6).alias("v"))
+    points = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 50).alias("r"), (F.col("s_nationkey") + 1).alias("c"))
+    return points.join(grid, ["r", "c"], "left").select("s_suppkey", "v")
 
 
 @query(f"with g as (select n_regionkey, sum(o_totalprice) total from {HOUSEHOLDS} group by 1) select o_orderkey, round(o_totalprice / total, 12) share from {HOUSEHOLDS} join g using (n_regionkey)")

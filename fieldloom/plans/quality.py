@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -22,8 +23,13 @@ c = F.col
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints/fieldloom')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; on one machine, without such a setting, in a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = "/tmp/checkpoints/fieldloom"
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 @query("select o_orderkey, o_totalprice from orders")
@@ -172,11 +178,26 @@ def e11_condition_number(t):
     return t.spark.createDataFrame([(float(np.sqrt(values[-1] / values[0])), scaled, rank, n)], "raw double, scaled double, rank int, n long")
 
 
-@query("select unnest(['l_quantity', 'l_extendedprice']) term, round(corr(l_quantity, l_extendedprice) ** 2, 6) r_squared, corr(l_quantity, l_extendedprice) ** 2 > 0.999999 dependent from lineitem")
+def _minor(rows: tuple[int, ...], columns: tuple[int, ...]) -> str:
+    """The determinant of a part of the correlation matrix, as SQL."""
+    if not rows:
+        return "1.0"
+    rest = ((-1) ** k * 1.0 for k in range(len(columns)))
+    return "(" + " + ".join(f"{sign} * {'1.0' if rows[0] == j else f'r{min(rows[0], j)}{max(rows[0], j)}'} * {_minor(rows[1:], columns[:k] + columns[k + 1 :])}" for (k, j), sign in zip(enumerate(columns), rest)) + ")"
+
+
+_ALL = tuple(range(len(NUMBERS)))
+_ON_OTHERS = {i: f"1 - {_minor(_ALL, _ALL)} / {_minor(_ALL[:i] + _ALL[i + 1 :], _ALL[:i] + _ALL[i + 1 :])}" for i in _ALL}
+
+
+@query(
+    f"with m as (select {', '.join(f'corr({NUMBERS[i]}, {NUMBERS[j]}) r{i}{j}' for i in _ALL for j in _ALL if i < j)} from lineitem), s as ("
+    + " union all ".join(f"select '{NUMBERS[i]}' term, {x} r from m" for i, x in _ON_OTHERS.items()) + ") select term, round(r, 6) r_squared, r > 0.999999 dependent from s"
+)
 def e12_exact_dependence(t):
+    """R squared of each column on all others."""
     g, _ = centred(t)
-    pair = G.dependence(g[:2, :2])
-    return t.spark.createDataFrame([(x, round(float(r), 6), bool(r > 0.999999)) for x, r in zip(NUMBERS[:2], pair, strict=True)], "term string, r_squared double, dependent boolean")
+    return t.spark.createDataFrame([(x, round(float(r), 6), bool(r > 0.999999)) for x, r in zip(NUMBERS, G.dependence(g), strict=True)], "term string, r_squared double, dependent boolean")
 
 
 @query("with s as (select stddev_pop(l_extendedprice) sd, corr(l_quantity, l_extendedprice) r from lineitem) select round(sd, 4) total_sd, round(sd * sqrt(1 - r * r), 4) residual_sd, round(1 - r * r, 6) share from s")
@@ -202,8 +223,8 @@ def e15_equal_column_spaces(t):
 def r2_prevalence_cells(t):
     """Design-based share of fulfilled orders by region as a cell with its interval."""
     rows = t.households.withColumn("w", c("o_totalprice") / 1000)
-    out = S.design_proportion(rows, (c("o_orderstatus") == "F").cast("int"), "w", "c_nationkey", "o_custkey")
-    return out.select("n", F.format_string("%.1f%% [%.1f, %.1f]", 100 * c("mean"), 100 * c("low"), 100 * c("high")).alias("cell"))
+    out = S.design_proportion(rows, (c("o_orderstatus") == "F").cast("int"), "w", "c_nationkey", "o_custkey", ["n_regionkey"])
+    return out.select("n_regionkey", "n", F.format_string("%.1f%% [%.1f, %.1f]", 100 * c("mean"), 100 * c("low"), 100 * c("high")).alias("cell"))
 
 
 @query("select o_orderpriority, round_even(100 * count(*) / sum(count(*)) over (), 1) share from orders group by 1")
