@@ -304,7 +304,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def spanning(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges a, b that span the groups among the texts of each tree. rows: key, tree, node, fp, text, sorted by tree."""
+    """Edges a, b between the groups that similar texts of each tree were in. rows: key, tree, root (the group), fp, text, sorted by tree."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, members, edges = None, [], []
@@ -324,15 +324,16 @@ def spanning(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                         if members[at][2].like(members[i][2], similarity):
                             tree.leave(i)
                             met[i] = True
-                            edges.append((members[i][0], members[at][0]))
+                            if members[i][0] != members[at][0]:
+                                edges.append((members[i][0], members[at][0]))
                             todo.append(i)
 
         for some in _read(batches):
-            for key, tree, node, fp, text in some:
+            for key, tree, root, fp, text in some:
                 if (key, tree) != shard:
                     spanned()
                     shard, members = (key, tree), []
-                members.append((node, fp & ((1 << 64) - 1), Sketch(text, shingle)))
+                members.append((root, fp & ((1 << 64) - 1), Sketch(text, shingle)))
             yield _pairs(edges)
         spanned()
         yield _pairs(edges)
@@ -341,29 +342,29 @@ def spanning(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def answers(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges a, b from each text that asks a tree to one member of each other group in it that it is similar to.
+    """Edges a, b from the group of each text that asks a tree to each other group in it with a member that it is similar to.
 
-    rows: key, tree, asks (0: a member, 1: asks), root (the group of the text), node, fp, text; sorted, members first.
+    rows: key, tree, asks (0: a member, 1: asks), root (the group of the text), fp, text; sorted, members first.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, members, tree, edges = None, [], None, []
         for some in _read(batches):
-            for key, number, asks, root, node, fp, text in some:
+            for key, number, asks, root, fp, text in some:
                 if (key, number) != shard:
                     shard, members, tree = (key, number), [], None
                 fp &= (1 << 64) - 1
                 own = Sketch(text, shingle)
                 if not asks:
-                    members.append((node, fp, own, root))
+                    members.append((root, fp, own))
                     continue
                 tree = tree or Tree([m[1] for m in members])
                 met = {root}
                 for i in tree.near(fp, WIDE):
-                    other, _, sketch, group = members[i]
+                    group, _, sketch = members[i]
                     if group not in met and own.like(sketch, similarity):
                         met.add(group)
-                        edges.append((node, other))
+                        edges.append((root, group))
             yield _pairs(edges)
 
     return rows.mapInArrow(search, "a long, b long")
@@ -378,13 +379,16 @@ def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with root, the group that the edges put them in."""
-    roots = written(components(edges).withColumnRenamed("node", "from"), "simhash-roots")
-    return nodes.drop("root").join(roots, nodes["node"] == roots["from"], "left").drop("from").withColumn("root", F.coalesce("root", "node"))
+    """nodes with root, their group, merged by edges between groups."""
+    merged = written(components(edges), "simhash-roots")
+    groups = nodes.groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("group_rows")).join(merged, "node")
+    table = groups.select(F.col("node").alias("root"), F.col("root").alias("into"), "group_rows")
+    found = attach(nodes, table, "root", F.col("node"), nodes.count())
+    return found.withColumn("root", F.coalesce("into", "root")).select(nodes.columns)
 
 
-def band_links(docs: DataFrame, nodes: DataFrame, known: DataFrame | None, first: int, last: int, shingle: int, similarity: float) -> DataFrame:
-    """Edges a, b between nodes that, with the known ones, join the same groups as all similar pairs that share one of these bands."""
+def band_links(docs: DataFrame, nodes: DataFrame, first: int, last: int, shingle: int, similarity: float) -> DataFrame:
+    """Edges a, b between groups (roots) of nodes, which merge these as all similar pairs that share one of these bands do."""
     keys = nodes.select("node", "fp", "shingles", "row_hash", "root", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
     shards = keys.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.sum("shingles").alias("load"), F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who_else"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     # bands with the same members are one shard
@@ -393,22 +397,22 @@ def band_links(docs: DataFrame, nodes: DataFrame, known: DataFrame | None, first
     shards = written(shards.select("key", "group_rows", trees.alias("trees")), "simhash-shards")
     members = attach(keys, shards, "key", F.col("node"), nodes.count() * (last - first), "inner")
     own = F.pmod(F.xxhash64("node", "key"), F.col("trees")).cast("int")
-    members = written(members.select("key", "trees", own.alias("tree"), "node", "fp", "row_hash"), "simhash-members")
-    rows = _with_texts(members.select("key", "tree", "node", "fp", "row_hash"), docs).select("key", "tree", "node", "fp", "text")
+    members = written(members.select("key", "trees", own.alias("tree"), "root", "node", "fp", "row_hash"), "simhash-members")
+    rows = _with_texts(members.select("key", "tree", "root", "fp", "row_hash"), docs).select("key", "tree", "root", "fp", "text")
     edges = written(spanning(rows.repartition("key", "tree").sortWithinPartitions("key", "tree"), shingle, similarity), "simhash-edges")
     several = members.where("trees > 1")
     if not several.limit(1).count():
         return edges
 
     def asked(asks: DataFrame, several: DataFrame) -> DataFrame:
-        columns = ["key", "tree", "asks", "root", "node", "fp", "row_hash"]
+        columns = ["key", "tree", "asks", "root", "fp", "row_hash"]
         asks = written(asks.withColumn("asks", F.lit(1)).select(columns), "simhash-asks")
         wanted = asks.select("key", "tree").distinct()
         rows = several.withColumn("asks", F.lit(0)).select(columns).join(wanted, ["key", "tree"], "left_semi").unionByName(asks)
         rows = _with_texts(rows, docs).select(*columns[:-1], "text")
         return answers(rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks"), shingle, similarity)
 
-    grouped = lambda e: written(with_roots(several, e if known is None else e.unionByName(known)), "simhash-several")
+    grouped = lambda e: written(with_roots(several, e), "simhash-several")
     # the largest group of each tree asks the tree before it and the first one
     now = grouped(edges)
     sizes = now.groupBy("key", "tree", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "row_hash")).alias("one"))
@@ -430,11 +434,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     member = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash"), F.col("row_hash"))
     nodes = rows.groupBy("node").agg(F.min(member).alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("node_rows"))
     nodes = written(nodes.select("*", F.col("least.row_hash").alias("row_hash"), F.col("node").alias("root")), "simhash-texts")
-    edges = None
     for first, last in ((0, ROUND), (ROUND, BANDS)):
-        more = band_links(docs, nodes, edges, first, last, shingle, similarity)
-        edges = more if edges is None else edges.unionByName(more)
-        nodes = written(with_roots(nodes, edges), "simhash-grouped")
+        nodes = written(with_roots(nodes, band_links(docs, nodes, first, last, shingle, similarity)), "simhash-grouped")
     classes = nodes.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("group_rows"))
     classes = written(classes.withColumn("class_nodes", F.col("group_rows")), "simhash-classes")
     table = attach(nodes.select("node", "root", "node_rows"), classes, "root", F.col("node"), nodes.count()).select("node", "first", "class_nodes", F.col("node_rows").alias("group_rows"))
