@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import attach, written
 
+#: Edges that one task contracts: at most about 100 bytes each are held.
+TOGETHER = 1 << 18
+
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition, contracted: each node with the smallest one that it reaches here."""
@@ -35,6 +38,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in made], names=["a", "b"])
 
 
+def _contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges, contracted within each partition and then within as many of these together as hold TOGETHER edges; whether that was one task, which settles them."""
+    edges = written(edges.mapInArrow(_stars, "a long, b long"), "edges")
+    tasks = max(1, -(-edges.count() // TOGETHER))
+    return written(edges.coalesce(tasks).mapInArrow(_stars, "a long, b long"), "contracted"), tasks == 1
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every node hangs under one root, and no root under another."""
     ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("low"), F.lit(1).alias("top")))
@@ -45,12 +55,13 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that it reaches) for every node with an edge to a smaller one. edges: a, b long.
 
-    Partitions contract their own edges first. Each step is written to the shared folder; a hub's rows are dealt out, so no
-    task sees a whole star.
+    Partitions contract their own edges first, and again after each step, a bounded number of edges a task; a graph that
+    shrinks to one such task ends there. Each step is written to the shared folder; a hub's rows are dealt out, so no task
+    sees a whole star.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges.mapInArrow(_stars, "a long, b long"), "edges")
-    while not _settled(edges):
+    edges, whole = _contracted(edges)
+    while not (whole or _settled(edges)):
         total = edges.count()
         # large-star: larger neighbours of a node go to the smallest node around it
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -61,5 +72,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("group_rows")), "least")
         joined = attach(large, least, "a", F.col("b"), total)
         small = joined.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small.mapInArrow(_stars, "a long, b long"), "small-star")
+        edges, whole = _contracted(small)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -126,7 +126,10 @@ def test_simhash_links_large_shards(spark, monkeypatch, shard, levels):
     assert sorted(groups.values()) == [1, 6, 66]
 
 
-def test_components_of_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("together", [1 << 18, 50])
+def test_components_of_a_long_chain_and_a_hub(spark, monkeypatch, together):
+    """By one task at last, and by rounds of steps of several tasks."""
+    monkeypatch.setattr(components, "TOGETHER", together)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5001), (5001, 5000), (7, 7)]
     rows = components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
     assert {r.node: r.root for r in rows} == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1400)} | {5001: 5000} and len(rows) == 700
