@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs that read corpora and return DataFrames.
+"""Training-data operators: Spark jobs that read corpora and return DataFrames.
 
 Nothing outside this subpackage imports it.
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, licences, line_dedup, mixture, repeats, simhash, url_filter, warc
+from . import chat, decontaminate, exact_dedup, importance, language_id, licences, line_dedup, mixture, repeats, simhash, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    one_more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(one_more)
+    return chat.digests(chat.read_back(chat.format_chats(chat.table_log(turns))))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, min_words=20)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_warc, op3_line_dedup, op4_simhash, op5_repeats, op6_decontaminate, op7_url_filter, op8_licence_scan, op9_mixture, op10_exact_dedup)
+    f.__name__: f for f in (op1_language_id, op2_warc, op3_line_dedup, op4_simhash, op5_repeats, op6_decontaminate, op7_url_filter, op8_licence_scan, op9_mixture, op10_exact_dedup, op11_chat_format, op12_importance, op13_whitening)
 }
 
 #: The Base32 digits of a SHA-1 digest in hex: each group of five hex digits makes four.
@@ -67,6 +82,12 @@ _URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example
 _URL_CASES = sorted(_URL_RULES, key=lambda r: -len(r[0] + r[1]))
 _FITS = "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '{1}')"
 
+#: The rest of every control string of the chat template after its first character, and the crc32 of w, bit by bit.
+_GUARDED = r"([<\[])(\\*(?:\|endoftext\|>|\|im_start\|>|\|im_sep\|>|\|im_end\|>|/INST\]|INST\]|/s>|s>))"
+_ESCAPED = f"length(regexp_replace({{}}, '{_GUARDED}', '\\1\\\\\\2', 'g'))"
+_BITS = "list_transform(range(4 * length(h)), lambda i: (('0x' || substr(h, 1 + 2 * (i // 8)::INT, 2))::INT >> (i % 8)::INT) & 1)"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT)"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": f"""
         with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) hex from pages)
@@ -103,4 +124,21 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
             row_number() over (partition by t order by doc_id desc) = 1 kept, sha256(t) text_sha256
         from d""",
+    "op11_chat_format": f"""
+        with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') t from conversations
+            union all select -1, i, case i when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(i)),
+        g as (select conv_id, count(*) n, string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t) s, coalesce(string_agg(t, '' order by turn, role, t) filter (role = 'assistant'), '') a,
+            sum({_ESCAPED.format("role")} + {_ESCAPED.format("t")} + {len("<|im_start|><|im_sep|><|im_end|>")}) f from c group by conv_id)
+        select conv_id, n n_turns, sha256(s) turns_sha256, length(a) loss_chars, sha256(a) loss_sha256, f::BIGINT formatted_chars from g""",
+    "op12_importance": f"""
+        with d as (select doc_id, {_TOKENS} w from documents), dw as (select doc_id, unnest(w) x from d), bw as (select unnest({_TOKENS}) x from benchmark),
+        v as (select x, {_CRC32} % 10000 bucket from (select x, hex(encode(x)) h from (select x from dw union select x from bw))),
+        s as (select bucket, count(*) n from dw join v using (x) group by 1), t as (select bucket, count(*) n from bw join v using (x) group by 1),
+        g as (select i bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((select coalesce(sum(n), 0) from s)::DOUBLE + 10000) / ((coalesce(s.n, 0)::DOUBLE + 1) * ((select coalesce(sum(n), 0) from t)::DOUBLE + 10000))))::BIGINT gain
+            from range(10000) r(i) left join s on s.bucket = i left join t on t.bucket = i),
+        k as (select doc_id, sum(gain) weight from dw join v using (x) join g using (bucket) group by 1),
+        e as (select doc_id, len(w)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT h from d left join k using (doc_id)),
+        f as (select doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT score, n_features >= 20 enough from e),
+        r as (select *, row_number() over (partition by enough order by score desc, doc_id nulls last, n_features) place, count(*) over (partition by enough) n from f)
+        select doc_id, n_features, weight, score, case when enough and place <= 10 * n // 100 then place end rank from r""",
 }
