@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.smallmath import chi2_p, normal_p, normal_quantile, t_p, t_quantile
@@ -34,6 +34,7 @@ class Fit:
     k: int = 0
     rank: int = 0
     law: str = "normal"
+    more: dict = field(default_factory=dict)
 
     def rows(self) -> list[tuple]:
         """(term, beta, se, p, low, high), named, never by place."""
@@ -62,7 +63,7 @@ def scaled_rank(g: np.ndarray) -> tuple[int, float]:
     values = np.clip(np.linalg.eigvalsh(g / np.outer(d, d)), 0, None)
     top = values.max(initial=0)
     rank = int((values > RANK_TOLERANCE * top).sum()) if top > 0 else 0
-    low = values.min(initial=0)
+    low = values.min() if len(values) else 0.0
     return rank, float(np.sqrt(top / low)) if low > RANK_TOLERANCE * top else float("inf")
 
 
@@ -252,7 +253,8 @@ def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight
     """Many models with absorbed cluster effects, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
 
     Within sums are a cluster's cross products less those of its means, so one aggregate by cluster holds all that the
-    models and their scores need; no row is demeaned. Singleton clusters go. All models use the rows where every column is
+    models and their scores need. Columns are taken as differences from their cluster's plain mean first (the rows are dealt
+    by cluster once, for both), so that the products keep their digits at any level of a column. Singleton clusters go. All models use the rows where every column is
     present; a model whose first regressor is absorbed, or whose rank is short, is refused. t(G - 1) law.
     """
     xs = list(dict.fromkeys(x for _, right in specs.values() for x in right))
@@ -260,15 +262,20 @@ def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     rows = df.na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0)
     rows = rows.select(F.col(scope).cast("string").alias("_scope") if scope else F.lit("ALL").alias("_scope"), F.col(cluster).alias("_cluster"), F.col(weight).alias("_w"), *[F.col(x).cast("double").alias(x) for x in columns])
-    sums = rows.groupBy("_scope", "_cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *[F.sum(F.col("_w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(columns)], *[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs])
+    level = [v or 0.0 for v in rows.agg(*[F.avg(x) for x in columns]).first()]
+    near = {f"p{i}": F.avg(x).over(Window.partitionBy("_cluster")) for i, x in enumerate(columns)}
+    rows = rows.withColumns(near).withColumns({x: F.col(x) - F.col(f"p{i}") for i, x in enumerate(columns)})
+    sums = rows.groupBy("_scope", "_cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *[F.max(f"p{i}").alias(f"p{i}") for i in range(len(columns))], *[F.sum(F.col("_w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(columns)], *[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs])
     if scope:
         names = [x for x in sums.columns if x not in ("_scope", "_cluster")]
-        pooled = sums.groupBy("_cluster").agg(*[F.sum(x).alias(x) for x in names]).withColumn("_scope", F.lit("ALL"))
+        pooled = sums.groupBy("_cluster").agg(*[(F.max(x) if x[0] == "p" else F.sum(x)).alias(x) for x in names]).withColumn("_scope", F.lit("ALL"))
         sums = sums.where("_scope is not null").unionByName(pooled.select(sums.columns))
     sums = sums.where("n >= 2")
     within = lambda i, j: F.col(f"g{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")
-    # totals tell what is absorbed from what is only small
-    grams = sums.groupBy("_scope").agg(F.sum("n"), F.count(F.lit(1)), *[F.sum(within(i, j)) for i, j in pairs], *[F.sum(f"g{i}_{i}") for i in range(len(columns))]).collect()
+    # the spread of the clusters' means tells what is absorbed from what is only small
+    off = lambda i: F.col(f"p{i}") + F.col(f"s{i}") / F.col("w") - F.lit(float(level[i]))
+    between = [F.sum(F.col("w") * off(i) * off(i)) - F.sum(F.col("w") * off(i)) * F.sum(F.col("w") * off(i)) / F.sum("w") for i in range(len(columns))]
+    grams = sums.groupBy("_scope").agg(F.sum("n"), F.count(F.lit(1)), *[F.sum(within(i, j)) for i, j in pairs], *between).collect()
     fits, betas, kept = {}, [], {}
     for level, n, clusters, *values in grams:
         g = np.zeros((len(columns), len(columns)))
@@ -277,7 +284,7 @@ def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight
         total, row = values[len(pairs) :], []
         for name, (y, right) in specs.items():
             at, end, beta = [columns.index(x) for x in right], columns.index(y), np.zeros(len(xs))
-            varies = [i for i in at if g[i, i] > ABSORBED * max(total[i], 1e-300)]
+            varies = [i for i in at if g[i, i] > ABSORBED * max(g[i, i] + total[i], 1e-300)]
             sub = g[np.ix_(varies, varies)]
             rank, _ = scaled_rank(sub)
             if at[0] not in varies:

@@ -9,9 +9,9 @@ from fieldloom.operators import contracts as K
 from fieldloom.operators import joins as J
 from fieldloom.operators import runs
 from fieldloom.sources import tables as T
+from fieldloom.sources.tables import new_folder
 
 from .base import HOUSEHOLDS, UNITS, n_rows, query
-from .quality import new_folder
 
 c = F.col
 

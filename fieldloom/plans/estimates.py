@@ -13,10 +13,10 @@ from fieldloom.operators import survey as S
 from fieldloom.operators import weights as W
 from fieldloom.sources import fixed_width as X
 from fieldloom.sources import tables as T
+from fieldloom.sources.tables import new_folder
 
 from .absorbed import fit_sql
 from .base import HOUSEHOLDS, UNITS, n_rows, query
-from .quality import new_folder
 
 c = F.col
 TERMS = "model string, status string, term string, beta double, se double, n long, clusters long, k int"

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 import numpy as np
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calendar as C
@@ -15,6 +11,7 @@ from fieldloom.operators import joins as J
 from fieldloom.operators import regress as G
 from fieldloom.operators import survey as S
 from fieldloom.sources import tables as T
+from fieldloom.sources.tables import new_folder
 
 from . import spatial
 from .base import HOUSEHOLDS, UNITS, n_rows, query
@@ -22,16 +19,6 @@ from .base import HOUSEHOLDS, UNITS, n_rows, query
 c = F.col
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; on one machine, without such a setting, in a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        folder = "/tmp/checkpoints/fieldloom"
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("select o_orderkey, o_totalprice from orders")
 def s1_pruned_scan(t):
     return T.read_table(t.spark, f"{t.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])

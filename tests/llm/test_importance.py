@@ -24,7 +24,8 @@ def plain(docs, target, runs=(1, 1), buckets=10_000, percent=10, min_words=20, s
 
     made = [(doc_id, words(text)) for doc_id, text in docs]
     s, t = Counter(b for _, w in made for b in features(w)), Counter(b for text in target for b in features(words(text)))
-    ratio = lambda b: (t[b] + 1.0) * (sum(s.values()) + buckets) / ((s[b] + 1.0) * (sum(t.values()) + buckets))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    ratio = lambda b: (t[b] + 1.0) * (s_all + buckets) / ((s[b] + 1.0) * (t_all + buckets))
     rows = []
     for at, (doc_id, w) in enumerate(made):
         f = features(w)
