@@ -32,12 +32,3 @@ def demean(df: DataFrame, cluster: str, columns: list[str], weight: Column | Non
     means = df.groupBy(cluster).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m_{c}") for c in columns])
     out = df.join(means, cluster)
     return out.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
-
-
-def demean_two_way(df: DataFrame, first: str, second: str, column: str, passes: int = 25) -> DataFrame:
-    """Alternating projections on two classifications, checkpointed every few passes so that the plan stays short."""
-    for i in range(passes):
-        df = demean(demean(df, first, [column]), second, [column])
-        if i % 5 == 4 and df.sparkSession.sparkContext.getCheckpointDir():
-            df = df.checkpoint()
-    return df

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import aggregates as A
+from fieldloom.operators import two_way as V
 from fieldloom.operators import weights as W
 
 from .base import HOUSEHOLDS, UNITS, n_rows, query
@@ -231,11 +232,23 @@ def w8_lag_span(t):
     return t.orders.select("o_orderkey", F.date_diff("o_orderdate", before).alias("days"))
 
 
-@query()
+def two_way_sql(rows: str, passes: int) -> str:
+    """The means m of cells (part, g, y, n, m) after so many passes, as r: the passes one after the other."""
+    steps = ["r0 as (" + rows + ")"]
+    for i in range(2 * passes):
+        own = "part, g" if i % 2 == 0 else "part, y"
+        steps.append(f"r{i + 1} as (select part, g, y, n, m - sum(n * m) over p / sum(n) over p m from r{i} window p as (partition by {own}))")
+    return ", ".join(steps) + f", r as (select * from r{2 * passes})"
+
+
+@query(
+    "with o as (select o_orderkey, o_custkey g, year(o_orderdate) y, o_totalprice x from orders), " + two_way_sql("select 0 part, g, y, count(*) n, avg(x) m from o group by g, y", 25)
+    + " select o_orderkey, round(x - avg(x) over (partition by g, y) + m, 4) + 0.0 d from o join r using (g, y)"
+)
 def w9_two_way_demeaning(t):
-    rows = t.households.select("o_orderkey", "c_nationkey", F.year("o_orderdate").alias("y"), "o_totalprice")
-    cells = rows.groupBy("c_nationkey", "y").agg(F.avg("o_totalprice").alias("m"))
-    return W.demean_two_way(cells, "c_nationkey", "y", "m", passes=3)
+    """25 passes over customers and years, on the cells of both."""
+    rows = V.demean_two_way(t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_totalprice"), "o_custkey", "y", "o_totalprice")
+    return rows.select("o_orderkey", (F.round("o_totalprice", 4) + F.lit(0.0)).alias("d"))
 
 
 @query(f"with k as (select n_regionkey, n_name, count(*) n from {HOUSEHOLDS} group by 1, 2) select n_regionkey, n_name, round(100.0 * n / sum(n) over (partition by n_regionkey), 8) share from k")

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from fieldloom.functions import calendar as C
 from fieldloom.operators import exposure as X
 from fieldloom.operators import spatial as S
+from fieldloom.operators import two_way as V
 from fieldloom.operators.joins import top_by
+from fieldloom.sources.tables import stored
 
+from .aggregates import two_way_sql
 from .base import n_rows, query
 
 c = F.col
@@ -221,6 +224,27 @@ def g36_window_validation(t):
     return windows(t).groupBy("product", "window", "status").agg(n_rows(), F.count("exposure").alias("n_exposed"), stat(F.avg, "mean"), stat(F.stddev_samp, "sd"), stat(F.min, "lowest"), stat(F.max, "highest"), F.count_if(c("interview_year_used")).alias("n_interview_year"))
 
 
+@query(
+    f"""with {EXPOSURES}, gs as (select ex.product || '/' || ex."window" part, d.cluster g, (event - 1) // 12 + 1900 y, exposure x, interview - event age from ex join d using (o_orderkey) where status = 'eligible_complete'),
+    gw as (select part, g, count(*) n, sum(x * x) - sum(x) * sum(x) / count(*) ss from gs group by 1, 2), """
+    + two_way_sql("select part, g, y, count(*) n, avg(x) m from gs group by 1, 2, 3", 25)
+    + """, gl as (select gs.part, x - avg(x) over (partition by gs.part, gs.g, gs.y) + m d from gs join r on gs.part = r.part and gs.g = r.g and gs.y = r.y),
+    gt as (select part, count(*) n, stddev_samp(x) total, corr(age, y) c from gs group by 1)
+    select split_part(part, '/', 1) product, split_part(part, '/', 2) AS "window", gt.n, clusters, clusters_2plus, round(total, 5) total_sd, round(within_sd, 5) within_sd, round(residual_sd, 5) residual_sd, round(c, 6) age_year_corr
+    from gt join (select part, count(*) clusters, count(*) filter (n > 1) clusters_2plus, sqrt(sum(ss) filter (n > 1) / (sum(n) filter (n > 1) - 1)) within_sd from gw group by 1) using (part) join (select part, sqrt(sum(d * d) / (count(*) - 1)) residual_sd from gl group by 1) using (part)"""
+)
+def g36_exposure_variation(t):
+    """How much each exposure varies: in all, within clusters of two and more, and after clusters and event years (25 passes)."""
+    dates = unit_dates(t).select(c("o_orderkey").alias("unit"), c("cluster"), C.year_of(c("event")).alias("y"), (c("interview") - c("event")).alias("age"))
+    rows = windows(t).where(c("status") == "eligible_complete").join(dates, c("o_orderkey") == c("unit")).select(F.concat_ws("/", "product", "window").alias("by"), "cluster", "y", "age", "exposure")
+    rows = stored(rows, "window-exposures")
+    plain = rows.groupBy("by").agg(F.stddev_samp("exposure").alias("total"), F.corr("age", "y").alias("c"))
+    spread = V.fit_two_way(rows, "cluster", "y", "exposure", "by").spread()
+    out = spread.join(plain, c("_by") == c("by"))
+    label, sd = F.split("by", "/"), lambda x, n: F.round(F.sqrt(c(x) / (c(n) - 1)), 5)
+    return out.select(label[0].alias("product"), label[1].alias("window"), "n", "clusters", "clusters_2plus", F.round("total", 5).alias("total_sd"), sd("within", "n_2plus").alias("within_sd"), sd("left", "n").alias("residual_sd"), F.round("c", 6).alias("age_year_corr"))
+
+
 @query(f"""with {EXPOSURES} , j as (select ex.*, o_totalprice > 100000 measured, o_orderstatus <> 'P' classified from ex join orders using (o_orderkey)),
     v as (select product, "window", count(*) n, count(*) filter (where measured) n1, count(*) filter (where measured and classified) n2, count(*) filter (where measured and classified and status = 'eligible_complete') n3 from j group by 1, 2)
     select product, "window", unnest(['start', 'measured', 'classified', 'eligible']) step, unnest([n, n1, n2, n3]) n from v""")
