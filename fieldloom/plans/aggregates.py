@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import aggregates as A
+from fieldloom.operators import quantiles as N
 from fieldloom.operators import two_way as V
 from fieldloom.operators import weights as W
 
@@ -59,13 +60,15 @@ Q = [0, 0.01, 0.05, 0.5, 0.95, 0.99, 1]
 
 @query("select o_orderpriority, " + ", ".join(f"round(quantile_cont(o_totalprice, {q}), 4) q{i}" for i, q in enumerate(Q)) + " from orders group by 1")
 def a8_quantiles(t):
-    out = t.orders.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(*map(F.lit, map(float, Q)))).alias("q"))
+    out = N.quantiles(t.orders, "o_totalprice", list(map(float, Q)), "o_orderpriority")
     return out.select("o_orderpriority", *[F.round(c("q")[i], 4).alias(f"q{i}") for i in range(len(Q))])
 
 
 @query("select l_shipmode, n, mean, sd, p90 from (select l_linestatus l_shipmode, count(l_tax) n, round(avg(l_tax), 8) mean, round(stddev_samp(l_tax), 8) sd, round(quantile_cont(l_tax, 0.9), 8) p90 from lineitem group by 1)")
 def a9_describe(t):
-    return t.lineitem.groupBy(c("l_linestatus").alias("l_shipmode")).agg(F.count("l_tax").alias("n"), F.round(F.avg("l_tax"), 8).alias("mean"), F.round(F.stddev_samp("l_tax"), 8).alias("sd"), F.round(F.percentile("l_tax", 0.9), 8).alias("p90"))
+    rows = t.lineitem.select(c("l_linestatus").alias("l_shipmode"), "l_tax")
+    plain = rows.groupBy("l_shipmode").agg(F.count("l_tax").alias("n"), F.round(F.avg("l_tax"), 8).alias("mean"), F.round(F.stddev_samp("l_tax"), 8).alias("sd"))
+    return plain.join(N.quantiles(rows, "l_tax", [0.9], "l_shipmode").drop("n"), "l_shipmode").select("l_shipmode", "n", "mean", "sd", F.round(c("q")[0], 8).alias("p90"))
 
 
 @query("select l_returnflag, round(stddev_samp(l_extendedprice), 4) sample, round(stddev_pop(l_extendedprice), 4) population, max(abs(l_discount - l_tax)) gap from lineitem group by 1")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import joins as J
+from fieldloom.operators.quantiles import quantiles
+from fieldloom.sources.tables import stored
 
 from .base import HOUSEHOLDS, UNITS, n_rows, query
 
@@ -28,8 +30,10 @@ EXPOSED = f"o as (select o_orderkey, o_custkey, n_regionkey, {V} v from {HOUSEHO
 def g7_community_exposure(t):
     """The exposure of every unit through its household: all units keep their row; the distribution by region."""
     units = t.lineitem.select("l_orderkey").join(exposed(t).select("o_orderkey", "n_regionkey", "others_rate"), c("l_orderkey") == c("o_orderkey"))
-    at = lambda q, name: F.round(F.percentile("others_rate", F.lit(q)), 7).alias(name)
-    return units.groupBy("n_regionkey").agg(n_rows(), F.count_if(c("others_rate").isNull()).alias("n_missing"), F.round(F.avg("others_rate"), 7).alias("mean"), at(0.05, "p5"), at(0.5, "p50"), at(0.95, "p95"))
+    units = stored(units.select("n_regionkey", "others_rate"), "unit-exposures")
+    plain = units.groupBy("n_regionkey").agg(n_rows(), F.count_if(c("others_rate").isNull()).alias("n_missing"), F.round(F.avg("others_rate"), 7).alias("mean"))
+    at = lambda i, name: F.round(c("q")[i], 7).alias(name)
+    return plain.join(quantiles(units, "others_rate", [0.05, 0.5, 0.95], "n_regionkey").drop("n"), "n_regionkey", "left").select(*plain.columns, at(0, "p5"), at(1, "p50"), at(2, "p95"))
 
 
 @query(f"with {EXPOSED}, f as (select *, rate is not null a, rate is not null and v is not null b from e) select unnest(['start', 'community', 'common']) step, unnest([count(*), count(*) filter (where a), count(*) filter (where b)]) n, unnest([count(distinct o_custkey), count(distinct o_custkey) filter (where a), count(distinct o_custkey) filter (where b)]) clusters from f")

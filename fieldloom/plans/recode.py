@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.operators import recode as R
+from fieldloom.operators.quantiles import quantiles
 
 from .base import HOUSEHOLDS, Tables, query
 
@@ -150,9 +151,9 @@ def p21_right_closed_bins(t):
 
 @query(f"with e as (select n_regionkey, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) q from {HOUSEHOLDS} group by 1) select n_regionkey, case when o_totalprice <= q[1] then 1 when o_totalprice <= q[2] then 2 when o_totalprice <= q[3] then 3 else 4 end as quarter, count(*) n from {HOUSEHOLDS} join e using (n_regionkey) group by 1, 2")
 def p22_quantile_bins(t):
-    edges = t.households.groupBy("n_regionkey").agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    edges = quantiles(t.households, "o_totalprice", [0.25, 0.5, 0.75], "n_regionkey").drop("n")
     x, q = F.col("o_totalprice"), F.col("q")
-    return t.households.join(F.broadcast(edges), "n_regionkey").groupBy("n_regionkey", F.when(x <= q[0], 1).when(x <= q[1], 2).when(x <= q[2], 3).otherwise(4).alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
+    return t.households.join(edges, "n_regionkey").groupBy("n_regionkey", F.when(x <= q[0], 1).when(x <= q[1], 2).when(x <= q[2], 3).otherwise(4).alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select l_quantity::INT::VARCHAR as month, count(*) n from lineitem group by 1")
