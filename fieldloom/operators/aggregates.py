@@ -12,7 +12,7 @@ def weighted_shares(df: DataFrame, category: str, weight: Column, by: list[str]
     """n and 100 * sum of weights over the group's total, per category. Totals come from the small per-category table."""
     parts = df.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     total = parts.groupBy(*by).agg(F.sum("w").alias("total"))
-    joined = parts.join(F.broadcast(total), list(by)) if by else parts.crossJoin(F.broadcast(total))  # the total is one row
+    joined = parts.join(total, list(by)) if by else parts.crossJoin(F.broadcast(total))  # the total is one row
     return joined.select(*by, category, "n", (100 * F.col("w") / F.col("total")).alias("share"))
 
 

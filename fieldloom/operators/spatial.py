@@ -116,14 +116,16 @@ def extract(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: l
     """The area-weighted mean of the valid pixels (value not NULL, 0 to 100) under each cluster's disk, for each layer.
 
     Returns one row per cluster and layer, with total_area, valid_fraction, n_cells, n_cells_valid, status (full, partial,
-    missing) and reason. layers is the catalogue of grids, one tuple per grid. Only valid pixels meet the weights, by an
-    equi-join on the cell; areas that no layer changes are summed once per cluster.
+    missing) and reason. layers is the catalogue of grids, one tuple per grid. A cell is one row with the list of its valid
+    layers, so a weight meets it once, by an equi-join on the cell; what they give is dealt by cluster and only there becomes a
+    row a layer, which sums need no other shuffle. Areas that no layer changes are summed once per cluster.
     """
     total = weights.groupBy(key).agg(F.sum("area").alias("total_area"), F.count(F.lit(1)).alias("n_cells"), F.bool_or("in_grid").alias("_any"))
     catalogue = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, layer, strict=True)]) for layer in layers])
     wanted = total.select("*", F.inline(catalogue))
-    valid = pixels.where(F.col("value").between(0, 100)).select("row", "col", *names, "value")
-    sums = weights.where("in_grid").join(valid, ["row", "col"]).groupBy(key, *names).agg(F.sum("area").alias("_valid"), F.sum(F.col("area") * F.col("value")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    valid = pixels.where(F.col("value").between(0, 100)).groupBy("row", "col").agg(F.collect_list(F.struct(*names, "value")).alias("_layers"))
+    met = weights.where("in_grid").join(valid, ["row", "col"]).select(key, "area", "_layers").repartition(key).select(key, "area", F.inline("_layers"))
+    sums = met.groupBy(key, *names).agg(F.sum("area").alias("_valid"), F.sum(F.col("area") * F.col("value")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     share = F.coalesce(F.col("_valid") / F.col("total_area"), F.lit(0.0))
     status = F.when(F.col("_valid").isNull(), "missing").when(share >= FULL, "full").otherwise("partial")
     reason = F.when(F.col("_valid").isNotNull(), F.when(share >= FULL, "").otherwise("incomplete")).when(F.col("_any"), "nodata").otherwise("outside_grid")

@@ -24,7 +24,7 @@ def design_mean(df: DataFrame, y: Column, weight: str, stratum: str, cluster: st
     rows = df.select(*by, F.col(stratum).alias("s"), F.col(cluster).alias("c"), F.col(weight).alias("w"), y.cast("double").alias("y")).where("y is not null")
     clusters = rows.groupBy(*by, "s", "c").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.count(F.lit(1)).alias("n"))
     total = clusters.groupBy(*by).agg(F.sum("w").alias("total_w"), (F.sum("wy") / F.sum("w")).alias("mean"))
-    both = clusters.join(F.broadcast(total), list(by)) if by else clusters.crossJoin(F.broadcast(total))  # the total is one row
+    both = clusters.join(total, list(by)) if by else clusters.crossJoin(F.broadcast(total))  # the total is one row
     z = both.withColumn("z", (F.col("wy") - F.col("mean") * F.col("w")) / F.col("total_w"))
     strata = z.groupBy(*by, "s").agg(F.var_samp("z").alias("v"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.first("mean").alias("mean"))
     return strata.groupBy(*by).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("k") * F.col("v"))).alias("se"), (F.sum("k") - F.count(F.lit(1))).alias("df"), F.sum("n").alias("n"))

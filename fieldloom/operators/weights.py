@@ -1,6 +1,6 @@
 """Group weights and within-cluster transformations.
 
-Few groups and many clusters ask for different plans: group totals are aggregated and broadcast, since a window over a
+Few groups and many clusters ask for different plans: group totals are aggregated and joined (small, so Spark broadcasts them by their size), since a window over a
 handful of groups would put each of them into one task; cluster means are aggregated and joined by cluster.
 """
 
@@ -18,7 +18,7 @@ def equal_group_weights(df: DataFrame, group: str, weight: str, scaled: bool = F
         factor = F.lit(float(n or 0) / max(k, 1))
     else:
         factor = F.lit(1.0)
-    return df.join(F.broadcast(total.drop("_n")), group).withColumn(name, F.col(weight) / F.col("_t") * factor).drop("_t")
+    return df.join(total.drop("_n"), group).withColumn(name, F.col(weight) / F.col("_t") * factor).drop("_t")
 
 
 def drop_singletons(df: DataFrame, cluster: str) -> DataFrame:

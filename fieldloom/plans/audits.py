@@ -182,6 +182,35 @@ def g42_compare_runs(t):
     return runs.compare_runs(first, second, "k", ["mean", "n"], 0.0)
 
 
+DAMAGED = {
+    "k % 7 = 0": ("status", "'refused'"), "k % 10 = 1": ("mean", "cast('nan' as double)"), "k % 10 = 2": ("mean", "mean + 0.5"), "k % 10 = 3": ("mean", "null"), "k % 19 = 0": ("segment", "null"), "k % 23 = 0": ("n", "n + 2"),
+}
+
+
+def _damaged(column: str) -> str:
+    return "case " + " ".join(f"when {k} then {v}" for k, (x, v) in DAMAGED.items() if x == column) + f" else {column} end {column}"
+
+
+@query(
+    f"""with a as (select o_custkey k, any_value(c_mktsegment) segment, case when count(*) > 8 then 'estimated' else 'few_rows' end status, avg(o_totalprice) mean, count(*) n, 1.5::DOUBLE dropped from orders join customer on o_custkey = c_custkey group by 1),
+    b0 as (select k, {", ".join(_damaged(x) for x in ("segment", "status", "mean", "n"))}, 'x' AS added from a where k % 11 <> 0), b as (select * from b0 union all select * from b0 where k % 29 = 0 union all select -k, segment, status, mean, n, added from b0 where k % 31 = 1),
+    bn as (select *, count(*) over (partition by k) times from b), j as (select a.k ak, bn.k bk, coalesce(times, 1) > 1 twice, a.segment s1, bn.segment s2, a.status t1, bn.status t2, a.mean m1, bn.mean m2, a.n n1, bn.n n2 from a full join (select distinct on (k) * from bn) bn on a.k = bn.k),
+    v as (select * from j where ak is not null and bk is not null and not twice),
+    text as (select item, case when u is not distinct from v then 'same' when v is null then 'text to missing' else 'differs' end outcome from (select unnest(['segment', 'status']) item, unnest([s1, t1]) u, unnest([s2, t2]) v from v)),
+    num as (select item, case when v is null then 'finite to missing' when isnan(v) then 'finite to nan' when abs(u - v) <= 1e-9 then 'same' else 'differs' end outcome, case when not isnan(v) then abs(u - v) end gap from (select unnest(['mean', 'n']) item, unnest([m1, n1]) u, unnest([m2, n2]) v from v))
+    select 'columns' AS section, 'dropped' item, 'only_a' outcome, count(distinct 1) n, null::DOUBLE largest from a union all select 'columns', 'added', 'only_b', count(distinct 1), null from b
+    union all select 'keys', null, case when bk is null then 'only_a' else 'only_b' end, count(*), null from j where ak is null or bk is null group by 3 union all select 'keys', null, 'repeated_in_b', count(*), null from j where twice group by 3
+    union all select 'values', item, outcome, count(*), null from text group by 2, 3 union all select 'values', item, outcome, count(*), round(max(gap), 9) from num group by 2, 3"""
+)
+def g42_run_report(t):
+    """Two runs of a table of fits by cluster, the second with other columns, keys, statuses, labels and numbers: the whole report."""
+    rows = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).groupBy(c("o_custkey").alias("k"))
+    first = rows.agg(F.min("c_mktsegment").alias("segment"), F.when(F.count(F.lit(1)) > 8, "estimated").otherwise("few_rows").alias("status"), F.avg("o_totalprice").alias("mean"), n_rows(), F.lit(1.5).alias("dropped"))
+    second = first.where("k % 11 <> 0").selectExpr("k", *[_damaged(x) for x in ("segment", "status", "mean", "n")], "'x' added")
+    second = second.unionByName(second.where("k % 29 = 0")).unionByName(second.where("k % 31 = 1").withColumn("k", -c("k")))
+    return runs.report(first, second, "k", ["segment", "status", "mean"]).counts.withColumn("largest", F.round("largest", 9))
+
+
 @query(
     f"""with h as (select n_regionkey::VARCHAR r, * from {HOUSEHOLDS}), s as (select 'ALL' scope, * from h union all select r, * from h)
     select 'characteristics' part, scope, 'balance' item, printf('%.2f (%.2f)', avg(c_acctbal), stddev_samp(c_acctbal)) cell from s group by 2

@@ -71,7 +71,7 @@ def j9_interval_lookup(t):
     rows = t.households.select("o_orderkey", F.col("c_nationkey").alias("nation"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("long").alias("s"), F.year("o_orderdate").cast("long").alias("year"), F.expr(STATUS).cast("double").alias("v"))
     panel = rows.groupBy("nation", "year").agg(F.avg("v").alias("v"))
     spread = J.spread_years(rows, F.col("s"), F.lit(12), ["o_orderkey", "nation"])
-    found = spread.join(F.broadcast(panel), ["nation", "year"], "left")
+    found = spread.join(panel, ["nation", "year"], "left")
     whole = F.count(F.lit(1)) == F.count("v")
     return found.groupBy("o_orderkey").agg(F.when(whole, F.round(F.sum(F.col("weight") * F.col("v")), 8)).alias("exposure"), F.count("v").alias("n_years"))
 
@@ -97,7 +97,7 @@ def j12_cell_lookup(t):
 @query(f"with g as (select n_regionkey, sum(o_totalprice) total from {HOUSEHOLDS} group by 1) select o_orderkey, round(o_totalprice / total, 12) share from {HOUSEHOLDS} join g using (n_regionkey)")
 def j13_group_total(t):
     total = t.households.groupBy("n_regionkey").agg(F.sum("o_totalprice").alias("total"))
-    return t.households.join(F.broadcast(total), "n_regionkey").select("o_orderkey", F.round(F.col("o_totalprice") / F.col("total"), 12).alias("share"))
+    return t.households.join(total, "n_regionkey").select("o_orderkey", F.round(F.col("o_totalprice") / F.col("total"), 12).alias("share"))
 
 
 @query("with c as (select o_orderkey, unnest(['early', 'middle', 'late']) candidate, unnest([0, 6, 12]) shift, year(o_orderdate) * 12 + month(o_orderdate) m from orders where o_orderkey % 6 = 0 union all select o_orderkey, 'reported', 0, year(o_orderdate) * 12 + month(o_orderdate) from orders where o_orderkey % 6 <> 0) select o_orderkey, candidate, m + shift as month from c")

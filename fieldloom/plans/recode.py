@@ -135,7 +135,7 @@ def p18_dummies(t):
 def p19_group_local_dummies(t):
     rows = t.households.select("n_regionkey", F.year("o_orderdate").alias("y"))
     first = rows.groupBy("n_regionkey").agg(F.min("y").alias("first_year"))
-    return rows.join(F.broadcast(first), "n_regionkey").groupBy("n_regionkey", "y", "first_year").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") > F.col("first_year")).cast("int")).alias("n_dummy"))
+    return rows.join(first, "n_regionkey").groupBy("n_regionkey", "y", "first_year").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") > F.col("first_year")).cast("int")).alias("n_dummy"))
 
 
 @query("select l_orderkey, l_partkey, l_linenumber, l_discount * (l_quantity > 25)::INT x_high, l_discount * (l_quantity <= 25)::INT x_low from lineitem")

@@ -84,4 +84,4 @@ def with_provenance(df: DataFrame) -> DataFrame:
 def decode(df: DataFrame, column: str, labels: DataFrame, variable: str) -> DataFrame:
     """Adds <column>_label from a label table (variable, code, label)."""
     own = labels.where(F.col("variable") == variable).select(F.col("code").alias("_code"), F.col("label").alias(f"{column}_label"))
-    return df.join(F.broadcast(own), F.col(column) == F.col("_code"), "left").drop("_code")
+    return df.join(own, F.col(column) == F.col("_code"), "left").drop("_code")
