@@ -36,3 +36,14 @@ def overlap_months(start: Column, months: Column, year: Column) -> Column:
     """How many months of a window (start as a month index) fall in a calendar year."""
     first = month_index(year, F.lit(1))
     return F.greatest(F.lit(0), F.least(start + months - 1, first + 11) - F.greatest(start, first) + 1)
+
+
+#: Days before each month of a common year.
+BEFORE_MONTH = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
+
+
+def day_models(year: Column, month: Column, day: Column) -> dict[str, Column]:
+    """Day numbers by three models of month lengths: months of 30 days, those of a common year, those of the year itself."""
+    start = 365 * (year - 1) + F.floor((year - 1) / 4) - F.floor((year - 1) / 100) + F.floor((year - 1) / 400)
+    common = F.get(F.array(*map(F.lit, BEFORE_MONTH)), (month - 1).cast("int"))
+    return {"thirty": start + 30 * (month - 1) + day, "common": start + common + day, "leap": start + common + day + (is_leap(year) & (month > 2)).cast("int")}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import regress as G
+from fieldloom.operators.own_samples import Model, own_sample_grid
 
 from .base import UNITS, query
 
@@ -100,14 +101,17 @@ def g20_cluster_effects_model(t):
     f"""with x as ({grid_sql(scopes=False)}) select outcome, exposure, weight, design, round(beta, 6) beta, round(se, 6) se, 'exact' agreement from x where exposure <> 'filled'"""
 )
 def g44_primary_cells(t):
-    """All 24 pooled cells by two routes, the aggregate by cluster and demeaned rows, and how well they agree."""
+    """All 24 pooled cells by two routes, columns that share one sample and models that each sum their own, and how well they agree."""
     df, exposures, rows = units(t), EXPOSURES[:2], []
-    for (_, model), f in grid(t, "o_custkey", OUTCOMES, exposures, None, df).items():
-        y, x, w, design = model.split("/")
-        second = G.fit_absorbed(df, y, [x], [CONTROL[x]] if design == "controlled" else [], w, "o_custkey")
-        (_, b, se, *_), (_, b2, se2, *_) = f.rows()[0], second.rows()[0]
+    first = {model: f for (_, model), f in grid(t, "o_custkey", OUTCOMES, exposures, None, df).items()}
+    listed = []
+    for name in first:
+        y, x, w, design = name.split("/")
+        listed.append(Model(name, y, (x,), (CONTROL[x],) if design == "controlled" else (), None, w))
+    for name, second in own_sample_grid(df, listed, "o_custkey").items():
+        (_, b, se, *_), (_, b2, se2, *_) = first[name].rows()[0], second.rows()[0]
         gap = max(abs(b - b2), abs(se - se2))
-        rows.append((y, x, w, design, round(b, 6), round(se, 6), "exact" if gap <= 1e-9 else "rounded" if gap <= 1e-6 else "discrepant"))
+        rows.append((*name.split("/"), round(b, 6), round(se, 6), "exact" if gap <= 1e-9 else "rounded" if gap <= 1e-6 else "discrepant"))
     return t.spark.createDataFrame(rows, "outcome string, exposure string, weight string, design string, beta double, se double, agreement string")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calendar as C
+from fieldloom.operators import attribution as A
 from fieldloom.operators import exposure as X
 from fieldloom.operators import spatial as S
 from fieldloom.operators import two_way as V
@@ -224,6 +225,53 @@ def g36_window_validation(t):
     return windows(t).groupBy("product", "window", "status").agg(n_rows(), F.count("exposure").alias("n_exposed"), stat(F.avg, "mean"), stat(F.stddev_samp, "sd"), stat(F.min, "lowest"), stat(F.max, "highest"), F.count_if(c("interview_year_used")).alias("n_interview_year"))
 
 
+#: Candidate interview months: how far each lies from the stated one.
+CANDIDATES = {"stated": 0, "early": -6, "late": 12}
+#: The order of the rules.
+STATUSES = ["unmatched_cluster", "dates_missing", "birth_after_interview", "window_outside_years", "postnatal_incomplete", "spatial_missing_year", "spatial_partial_year", "eligible_complete"]
+CANDIDATE_DATES = DATES.replace("    d as (", "    d0 as (", 1).replace("from orders),", "from orders), d as (select o_orderkey * 4 + k o_orderkey, cluster, event, interview + s interview from d0, (values (0, 0), (1, -6), (2, 12)) v(k, s)),", 1)
+CANDIDATE_EXPOSURES = EXPOSURES.replace(DATES, CANDIDATE_DATES)
+CANDIDATE_NAMES = "case ex.o_orderkey % 4 when 0 then 'stated' when 1 then 'early' else 'late' end"
+
+
+def candidate_windows(t) -> DataFrame:
+    """The windows of every order under each candidate: unit, candidate, product, window, status."""
+    listed = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("s")) for i, s in enumerate(CANDIDATES.values())])
+    dates = unit_dates(t).withColumn("v", F.explode(listed)).select((c("o_orderkey") * 4 + c("v.k")).alias("key"), "cluster", "event", (c("interview") + c("v.s")).alias("interview"))
+    panel = extraction(t, ["MEAN"]).select("cluster", "product", "year", "value", c("status").alias("state"), "valid_fraction")
+    rows = X.exposures(dates, panel, PRODUCTS, YEARS, "key", "cluster", "event", "interview")
+    return rows.select(F.floor(c("key") / 4).alias("unit"), F.get(F.array(*map(F.lit, CANDIDATES)), (c("key") % 4).cast("int")).alias("candidate"), "product", "window", "status")
+
+
+@query(
+    f"""with {CANDIDATE_EXPOSURES}, jj as (select {CANDIDATE_NAMES} candidate, product, "window", status, o_totalprice p, o_orderstatus s, o_orderpriority r from ex join orders on ex.o_orderkey // 4 = orders.o_orderkey),
+    ff as (select *, unnest(['price', 'status', 'priority']) outcome from jj)
+    select candidate, product, "window", outcome, case when status = 'unmatched_cluster' then status when s = 'P' and outcome <> 'price' then 'not_in_universe'
+        when case outcome when 'price' then p <= 100000 when 'status' then p <= 50000 else r like '4%' end then 'outcome_missing' when status <> 'eligible_complete' then status else 'included' end category, count(*) n from ff group by 1, 2, 3, 4, 5"""
+)
+def g37_exclusion_flow(t):
+    """For each candidate, product, window and outcome how many records each rule excludes first; the numbers sum to all records."""
+    orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    rows = candidate_windows(t).join(orders, c("unit") == c("o_orderkey"))
+    rules = {s: c("status") == s for s in STATUSES[:-1]}
+    open_status = c("o_orderstatus") == "P"
+    outcomes = {
+        "price": {"outcome_missing": c("o_totalprice") <= 100000}, "status": {"not_in_universe": open_status, "outcome_missing": c("o_totalprice") <= 50000},
+        "priority": {"not_in_universe": open_status, "outcome_missing": c("o_orderpriority").startswith("4")},
+    }
+    return A.exclusion_flow(rows, ["candidate", "product", "window"], rules, outcomes, 1)
+
+
+@query(
+    f"""with {CANDIDATE_EXPOSURES}, jj as (select o_orderkey // 4 u, {CANDIDATE_NAMES} candidate, product, "window", list_position({STATUSES}, status) p from ex),
+    pw as (select product, "window", u, min(p) filter (candidate = 'stated') a, min(p) filter (candidate = 'early') b, min(p) filter (candidate = 'late') d from jj group by 1, 2, 3)
+    select product, "window", ({STATUSES})[a] stated, ({STATUSES})[b] early, ({STATUSES})[d] late, ({STATUSES})[least(a, b, d)] decided_by, count(*) n from pw where a <> b or a <> d group by 1, 2, 3, 4, 5, 6"""
+)
+def g37_candidate_patterns(t):
+    """Orders whose status depends on the candidate, by pattern, and the rule that decides."""
+    return A.candidate_patterns(candidate_windows(t), ["unit"], "candidate", "status", list(CANDIDATES), STATUSES, ["product", "window"])
+
+
 @query(
     f"""with {EXPOSURES}, gs as (select ex.product || '/' || ex."window" part, d.cluster g, (event - 1) // 12 + 1900 y, exposure x, interview - event age from ex join d using (o_orderkey) where status = 'eligible_complete'),
     gw as (select part, g, count(*) n, sum(x * x) - sum(x) * sum(x) / count(*) ss from gs group by 1, 2), """

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calendar
+from fieldloom.operators import calendars as Q
 from fieldloom.operators import recode as R
 from fieldloom.sources import fixed_width
 
@@ -88,6 +89,22 @@ def g31_calendar_audit(t):
     return rows.groupBy("month", "leap").agg(n_rows(), F.min("residual").alias("least"), F.max("residual").alias("most"), (F.min("residual") == F.max("residual")).alias("constant"))
 
 
+@query(
+    """with o as (select year(o_orderdate) y, month(o_orderdate) m, day(o_orderdate) d, date_diff('day', date '0001-01-01', o_orderdate::DATE) + 1 stated from orders),
+    b as (select *, 365 * (y - 1) + (y - 1) // 4 - (y - 1) // 100 + (y - 1) // 400 s, [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][m] c from o),
+    r as (select unnest(['thirty', 'common', 'leap']) model, m AS month, unnest([stated - s - 30 * (m - 1) - d, stated - s - c - d, stated - s - c - d - ((y % 4 = 0 and (y % 100 <> 0 or y % 400 = 0)) and m > 2)::INT]) residual from b),
+    a as (select * from r union all select model, null, residual from r),
+    k as (select model, month, residual, count(*) n from a group by 1, 2, 3), g as (select model, month, sum(n)::BIGINT n, min(residual)::BIGINT least, max(residual)::BIGINT most, max(n) n_modal, (arg_max(residual, n * 1000 - residual))::BIGINT modal from k group by 1, 2)
+    select model, month, n, least, modal, most, n_modal, n - n_modal unexplained, least = most constant, model = (select min(model) from g where month is null and n_modal = (select max(n_modal) from g where month is null)) chosen from g"""
+)
+def g31_month_models(t):
+    """Three models of month lengths against the days since a fixed start: residuals by month, and the model that explains them."""
+    date = c("o_orderdate").cast("date")
+    year, month = F.year(date), F.month(date)
+    stated = F.date_diff(date, F.lit("0001-01-01").cast("date")) + 1
+    return Q.month_models(t.orders, stated, month, calendar.day_models(year, month, F.dayofmonth(date)))
+
+
 @query(f"with k as (select n_regionkey, o_custkey, count(distinct n_nationkey) places, avg((o_orderstatus <> 'P')::INT) share from {HOUSEHOLDS} group by 1, 2) select n_regionkey, count(*) clusters, count(*) filter (where places > 1) n_ambiguous, count(*) filter (where share = 0) n_none, count(*) filter (where share = 1) n_all, round(avg(share), 6) mean_share from k group by 1")
 def g32_identifier_audit(t):
     """Whether a cluster's id determines its place, and what share of each cluster's rows is measured."""
