@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +29,22 @@ def design_mean(df: DataFrame, y: Column, weight: str, stratum: str, cluster: st
     return strata.groupBy(*by).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("k") * F.col("v"))).alias("se"), (F.sum("k") - F.count(F.lit(1))).alias("df"), F.sum("n").alias("n"))
 
 
-def logit_interval(p: float, se: float, df: int, confidence: float = 0.95) -> tuple[float, float]:
-    """A proportion's interval on the logit scale, with the t law."""
-    if not 0 < p < 1:
-        return p, p
-    half = t_quantile(confidence, df) * se / (p * (1 - p))
-    centre = math.log(p / (1 - p))
-    return tuple(1 / (1 + math.exp(-(centre + s * half))) for s in (-1, 1))
+@F.pandas_udf("double")
+def t_half(df: pd.Series) -> pd.Series:
+    """How many standard errors a 95 % interval of the t law reaches; one value a distinct number of degrees of freedom."""
+    known = {d: t_quantile(0.95, d) if d > 0 else float("nan") for d in df.dropna().unique()}
+    return df.map(known)
+
+
+def logit_interval(p: Column, se: Column, df: Column) -> tuple[Column, Column]:
+    """A proportion's interval on the logit scale, with the t law; the proportion itself at 0 and 1."""
+    half, centre = t_half(df.cast("double")) * se / (p * (1 - p)), F.log(p / (1 - p))
+    inside = (p > 0) & (p < 1)
+    return tuple(F.when(inside, 1 / (1 + F.exp(-(centre + s * half)))).otherwise(p) for s in (-1, 1))
 
 
 def design_proportion(df: DataFrame, y: Column, weight: str, stratum: str, cluster: str, by: list[str] = ()) -> DataFrame:
-    """design_mean of a 0/1 value with low and high, its logit interval; one row per group reaches the driver."""
+    """design_mean of a 0/1 value with low and high, its logit interval; groups stay where they are."""
     out = design_mean(df, y, weight, stratum, cluster, by)
-    rows = [(*r, *logit_interval(r["mean"], r["se"], r["df"])) for r in out.collect()]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    return df.sparkSession.createDataFrame(rows, f"{fields}, low double, high double")
+    low, high = logit_interval(F.col("mean"), F.col("se"), F.col("df"))
+    return out.withColumns({"low": low, "high": high})

@@ -58,6 +58,18 @@ DESIGN = f"""
     select round(first(m), 8) mean, round(sqrt(sum(k * v)), 8) se, (sum(k) - count(*))::BIGINT df, sum(n)::BIGINT n from v"""
 
 
+def interval_sql(source: str, keys: str = "") -> str:
+    """source (mean, se, df, n and keys) with low and high: the t law's quantile by Newton steps on Simpson sums of its density."""
+    density = "exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * pow(1 + {x} * {x} / df, -(df + 1) / 2.0)"
+    area = f"q / 6000 * list_sum(list_transform(range(2001), lambda i: (case when i = 0 or i = 2000 then 1 when i % 2 = 1 then 4 else 2 end) * {density.format(x='(q * i / 2000)')}))"
+    steps, last = f"q0 as (select *, 2.0::DOUBLE q from ({source}))", "q0"
+    for i in range(1, 7):
+        steps += f", q{i} as (select * exclude (q), q - ({area} - 0.475) / ({density.format(x='q')}) q from {last})"
+        last = f"q{i}"
+    bound = lambda sign: f"1 / (1 + exp(-(ln(mean / (1 - mean)) {sign} q * se / (mean * (1 - mean)))))"
+    return f"with {steps} select {keys}mean, se, df, n, {bound('-')} low, {bound('+')} high from {last}"
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({x: F.round(x, digits) for x in columns})
 
@@ -67,10 +79,10 @@ def e1_design_mean(t):
     return rounded(S.design_mean(t.households.withColumn("w", c("o_totalprice") / 1000), c("c_acctbal"), "w", "c_nationkey", "o_custkey"), 8, "mean", "se")
 
 
-@query(DESIGN.format(y="(o_orderstatus = 'F')::INT"))
+@query(f"select round(mean, 8) mean, round(se, 8) se, df, n, round(low, 6) low, round(high, 6) high from ({interval_sql(DESIGN.format(y="(o_orderstatus = 'F')::INT").replace('round(first(m), 8)', 'first(m)').replace('round(sqrt(sum(k * v)), 8)', 'sqrt(sum(k * v))'))})")
 def e2_design_proportion(t):
     out = S.design_proportion(t.households.withColumn("w", c("o_totalprice") / 1000), (c("o_orderstatus") == "F").cast("int"), "w", "c_nationkey", "o_custkey")
-    return rounded(out, 8, "mean", "se").drop("low", "high")
+    return rounded(rounded(out, 8, "mean", "se"), 6, "low", "high")
 
 
 @query("select c_nationkey from customer group by 1 having count(*) = 1")
@@ -319,9 +331,3 @@ def r1_wide_cells(t):
 @query(f"select coalesce(n_regionkey::VARCHAR, 'ALL') n_regionkey, count(*) n, count(distinct o_custkey) clusters from {UNITS} group by grouping sets ((n_regionkey), ())")
 def g11_sample_flow(t):
     return A.with_pooled(t.units, "n_regionkey", [n_rows(), F.countDistinct("o_custkey").alias("clusters")])
-
-
-@query()
-def g16_weight_variants(t):
-    rows = W.equal_group_weights(model_rows(t), "n_regionkey", "l_quantity", scaled=True).withColumn("one", F.lit(1.0))
-    return terms(t, {name: G.fit_explicit(rows, "y", ["l_discount", "l_tax"], name, "o_custkey") for name in ("w", "l_quantity", "one")})

@@ -1,4 +1,4 @@
-"""Queries of model families, each fitted by two passes over the units: G10 to G15, G17, G19, G21 to G27, G40, G43, E18, E20, E21, R4, R5.
+"""Queries of model families, each fitted by two passes over the units: G10 to G17, G19, G21 to G27, G40, G43, E18, E20, E21, R4, R5.
 
 Units are line items; the community exposure is the share of fulfilled orders among the other orders of the customer, the
 household exposure the order's own status; regions are fixed effects. Results are rows (scope, model, term, ...).
@@ -14,8 +14,9 @@ from fieldloom.functions import smallmath as M
 from fieldloom.operators import aggregates as A
 from fieldloom.operators import joins as J
 from fieldloom.operators import regress as G
+from fieldloom.operators import weights as W
 
-from .base import HOUSEHOLDS, query
+from .base import HOUSEHOLDS, n_rows, query
 
 c = F.col
 RESULT = "scope string, model string, status string, term string, beta double, se double, p double, low double, high double, n long, clusters long, k int"
@@ -34,6 +35,7 @@ def units(t) -> DataFrame:
     return rows.select(
         "l_orderkey", "o_custkey", "n_regionkey", "support", "community", "community_broad", value.cast("double").alias("household"), "l_discount", "l_tax", c("l_quantity").alias("weight"),
         (c("l_extendedprice") / 10000).alias("y1"), (c("l_extendedprice") / c("l_quantity") / 1000).alias("y2"), (c("l_extendedprice") < 30000).cast("double").alias("low"), (c("l_extendedprice") < 5000).cast("double").alias("severe"),
+        (c("l_extendedprice") < 15000).cast("double").alias("middle"), (c("l_extendedprice") / c("l_quantity") < 1100).cast("double").alias("severe_unit"), ((c("l_extendedprice") < 5000) & (c("l_quantity") < 3)).cast("double").alias("severe_both"),
         F.when(c("l_quantity") <= 10, "a").when(c("l_quantity") <= 30, "b").otherwise("c").alias("band"), F.year("l_shipdate").alias("year"),
         *[(c("n_regionkey") == i).cast("double").alias(f"region_{i}") for i in range(1, REGIONS)],
     )
@@ -95,24 +97,38 @@ def g11_full_cascade(t):
 
 @query()
 def g12_binary_family(t):
-    """Linear-probability models of binary outcomes, pooled and by region."""
-    return fitted(t, units(t), {y: (y, ["community", *CONTROLS]) for y in ("low", "severe")})
+    """15 linear-probability models: three binary outcomes, pooled and by region."""
+    return fitted(t, units(t), {y: (y, ["community", *CONTROLS]) for y in ("low", "middle", "severe")})
+
+
+SEVERE = ("severe", "severe_unit", "severe_both")
 
 
 @query()
 def g13_severe_family(t):
-    """Severe outcomes, pooled, with the number of events and of regions without any."""
-    df = units(t)
-    counts = df.groupBy("n_regionkey").agg(F.sum("severe").alias("e")).agg(F.sum("e").alias("events"), F.count_if(c("e") == 0).alias("regions_without"))
-    events, without = counts.first()
-    return fitted(t, df, {"severe": ("severe", ["community", *CONTROLS])}, None).withColumns({"events": F.lit(events), "regions_without": F.lit(without)})
+    """Three severe outcomes, pooled, each with its events, their share, and the regions that have none."""
+    df = units(t).na.drop(subset=["community", *CONTROLS])
+    sums = df.groupBy("n_regionkey").agg(n_rows(), *[F.sum(y).alias(y) for y in SEVERE])
+    each = F.array(*[F.struct(F.lit(y).alias("outcome"), c(y).alias("e")) for y in SEVERE])
+    events = sums.select("n", F.inline(each)).groupBy("outcome").agg(F.sum("e").cast("long").alias("events"), F.round(F.sum("e") / F.sum("n"), 8).alias("prevalence"), F.count_if(c("e") == 0).alias("regions_without"), F.count(F.lit(1)).alias("regions"))
+    return fitted(t, df, {y: (y, ["community", *CONTROLS]) for y in SEVERE}, None).join(events, c("model") == c("outcome"), "left").drop("outcome")
 
 
 @query()
 def g14_exposure_variants(t):
-    """The same models with the exposure swapped for its broader coding."""
+    """Six models: three outcomes with the exposure and with its broader coding."""
     df = units(t)
-    return fitted(t, df, {f"{y}_{x}": (y, [x, *CONTROLS]) for y in ("y1", "y2") for x in ("community", "community_broad")}, None)
+    return fitted(t, df, {f"{y}_{x}": (y, [x, *CONTROLS]) for y in OUTCOMES for x in EXPOSURES}, None)
+
+
+@query()
+def g16_weight_variants(t):
+    """Nine models: three outcomes under equal region totals (A), the stated weight (B) and none (C)."""
+    df = units(t).na.drop(subset=["community", *CONTROLS])
+    df, fits = W.equal_group_weights(df, "n_regionkey", "weight", scaled=True, name="equal").withColumn("one", F.lit(1.0)), {}
+    for label, w in (("A", "equal"), ("B", "weight"), ("C", "one")):
+        fits |= {(label, m): f for (_, m), f in G.fit_grid(df, {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, w, "o_custkey", None, EFFECTS).items()}
+    return table(t, fits)
 
 
 @query()
@@ -122,11 +138,14 @@ def g15_household_baseline(t):
 
 @query()
 def g17_support_sensitivity(t):
-    """The main model on units whose community exposure rests on at least 1, 5 and 10 other households."""
+    """Nine models: three outcomes on all units with an exposure and on those whose exposure rests on at least 5 and 10 other
+    households; how many units each keeps, and their percent of all with one."""
     df, fits = units(t), {}
     for least in (1, 5, 10):
-        fits |= {(f"support_{least}", m): f for (_, m), f in G.fit_grid(df.where(c("support") >= least), {y: (y, ["community", *CONTROLS]) for y in ("y1", "low")}, "weight", "o_custkey", None, EFFECTS).items()}
-    return table(t, fits)
+        fits |= {(f"support_{least}", m): f for (_, m), f in G.fit_grid(df.where(c("support") >= least), {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, "weight", "o_custkey", None, EFFECTS).items()}
+    whole = {m: f.n for (label, m), f in fits.items() if label == "support_1"}
+    kept = t.spark.createDataFrame([(label, m, f.n, round(100 * f.n / max(whole[m], 1), 6)) for (label, m), f in fits.items()], "scope string, model string, retained_n long, retained_percent double")
+    return table(t, fits).join(kept, ["scope", "model"])
 
 
 @query()
