@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import absorbed, aggregates, audits, designs, estimates, grids, jobs, joins, own_samples, quality, recode, spatial, stages
+from . import absorbed, aggregates, audits, designs, estimates, final, grids, jobs, joins, own_samples, quality, recode, spatial, stages
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "absorbed", "aggregates", "audits", "designs", "estimates", "grids", "jobs", "joins", "own_samples", "quality", "recode", "spatial", "stages"]
+__all__ = ["ORACLES", "QUERIES", "absorbed", "aggregates", "audits", "designs", "estimates", "final", "grids", "jobs", "joins", "own_samples", "quality", "recode", "spatial", "stages"]
