@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.smallmath import t_quantile
 
@@ -29,7 +30,7 @@ def design_mean(df: DataFrame, y: Column, weight: str, stratum: str, cluster: st
     return strata.groupBy(*by).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("k") * F.col("v"))).alias("se"), (F.sum("k") - F.count(F.lit(1))).alias("df"), F.sum("n").alias("n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_half(df: pd.Series) -> pd.Series:
     """How many standard errors a 95 % interval of the t law reaches; one value a distinct number of degrees of freedom."""
     known = {d: t_quantile(0.95, d) if d > 0 else float("nan") for d in df.dropna().unique()}
