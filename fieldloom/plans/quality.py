@@ -15,8 +15,14 @@ from fieldloom.sources.tables import new_folder
 
 from . import spatial
 from .base import HOUSEHOLDS, UNITS, n_rows, query
+from .estimates import interval_sql
 
 c = F.col
+REGION_MEANS = f"""
+    with r as (select n_regionkey, c_nationkey s, o_custkey c, o_totalprice / 1000 w, (o_orderstatus = 'F')::INT y from {HOUSEHOLDS}), k as (select n_regionkey, s, c, sum(w) w, sum(w * y) wy, count(*) n from r group by 1, 2, 3),
+    t as (select n_regionkey, sum(wy) / sum(w) m, sum(w) ww from k group by 1), z as (select n_regionkey, s, (wy - m * w) / ww z, n, m from k join t using (n_regionkey)),
+    v as (select n_regionkey, s, count(*) k, var_samp(z) v, sum(n) n, first(m) m from z group by 1, 2)
+    select n_regionkey, first(m) mean, sqrt(sum(k * v)) se, (sum(k) - count(*))::BIGINT df, sum(n)::BIGINT n from v group by 1"""
 
 
 @query("select o_orderkey, o_totalprice from orders")
@@ -206,7 +212,7 @@ def e15_equal_column_spaces(t):
     return t.spark.createDataFrame([(ranks["first"], ranks["last"], ranks["both"], len(set(ranks.values())) == 1, n)], "rank_first int, rank_last int, rank_both int, equal boolean, n long")
 
 
-@query()
+@query(f"select n_regionkey, n, printf('%.1f%% [%.1f, %.1f]', 100 * mean, 100 * low, 100 * high) cell from ({interval_sql(REGION_MEANS, 'n_regionkey, ')})")
 def r2_prevalence_cells(t):
     """Design-based share of fulfilled orders by region as a cell with its interval."""
     rows = t.households.withColumn("w", c("o_totalprice") / 1000)
