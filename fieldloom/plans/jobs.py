@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators import contracts as K
 from fieldloom.operators import joins as J
 from fieldloom.operators.quantiles import quantiles
 from fieldloom.sources.tables import stored
@@ -55,6 +56,28 @@ def g43_second_route(t):
     return rows.agg(n_rows(), F.count_if(null("others_rate")).alias("n_without"), F.count_if(null("others_rate") != null("again")).alias("n_null_differs"), F.count_if(F.abs(c("others_rate") - c("again")) > 1e-9).alias("n_differs"))
 
 
+@query(
+    f"""with h as (select 'c' || c_mktsegment || '_' || n_regionkey region, c_mktsegment country, n_regionkey, n_nationkey, o_custkey, o_totalprice w from {HOUSEHOLDS}), d as (select o_custkey, count(distinct region) k from h group by 1), q as (select n_nationkey, count(distinct n_regionkey) k from h group by 1),
+    r as (select country, region, count(*) n, count(distinct o_custkey) clusters, count(distinct n_nationkey) places, sum(w) w from h group by 1, 2),
+    x as (select region, count(distinct o_custkey) filter (k > 1) split_clusters from h join d using (o_custkey) group by 1), z as (select region, count(distinct n_nationkey) filter (k > 1) split_places from h join q using (n_nationkey) group by 1)
+    select country, region, n, clusters, places, round(100 * n / sum(n) over (partition by country), 6) percent, round(100 * w / sum(w) over (partition by country), 6) weighted_percent, n < 30 small, split_clusters, split_places from r join x using (region) join z using (region)"""
+)
+def g8_region_identifiers(t):
+    """Regions qualified by country (the segment), their size and share of it, and whether clusters and places lie in one region each."""
+    rows = t.households.select(c("c_mktsegment").alias("country"), F.concat(F.lit("c"), "c_mktsegment", F.lit("_"), "n_regionkey").alias("region"), "n_regionkey", "n_nationkey", "o_custkey", c("o_totalprice").alias("w"))
+    sizes = rows.groupBy("country", "region").agg(n_rows(), F.countDistinct("o_custkey").alias("clusters"), F.countDistinct("n_nationkey").alias("places"), F.sum("w").alias("w"))
+    whole = sizes.groupBy("country").agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+
+    def split(key: str, value: str, name: str) -> DataFrame:
+        """By region, how many of its keys do not determine the value."""
+        open_keys = K.depends(rows, key, value).select(c(key).alias("_key"))
+        found = rows.select("region", key).distinct().join(open_keys, c(key) == c("_key"), "left")
+        return found.groupBy("region").agg(F.count("_key").alias(name))
+
+    out = sizes.join(whole, "country").join(split("o_custkey", "region", "split_clusters"), "region").join(split("n_nationkey", "n_regionkey", "split_places"), "region")
+    return out.select("country", "region", "n", "clusters", "places", F.round(100 * c("n") / c("all_n"), 6).alias("percent"), F.round(100 * c("w") / c("all_w"), 6).alias("weighted_percent"), (c("n") < 30).alias("small"), "split_clusters", "split_places")
+
+
 @query(f"with u as (select l_returnflag, n_regionkey from {UNITS}) select n_regionkey, l_returnflag, count(*) n, round(100 * count(*) / sum(count(*)) over (partition by n_regionkey), 6) percent from u group by 1, 2")
 def g8_region_report(t):
     """Categories of units by region with their share of the region."""
