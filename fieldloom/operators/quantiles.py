@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.sources.tables import stored
 
-PARTS, SMALL = 256, 10_000
+PARTS, SMALL = 256, 100_000
 #: Groups times order statistics.
 MOST_RANKS = 200_000
 LARGEST = 1.7976931348623157e308
