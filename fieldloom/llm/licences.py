@@ -6,11 +6,17 @@ segment with a words' bigrams (as multisets) and a template with b is at most 2
 best segment begins and ends with a bigram of the template (else a shorter one is better), so only such are compared, and
 only where enough of the template's bigrams stand within its bound. The templates are a fixed, bounded list.
 
+A template whose name ends in a version that its text holds fits only where that version stands in the segment or is the
+word after it, so that a notice of a version without a template is not taken for another version. Variants (CC BY-ND, Lesser,
+Affero) have templates of their own, of which the better one counts. The sentence that all BSD texts share is reported as
+BSD, the family, where no whole BSD text fits around it.
+
 Defined cases: null and empty texts hold no licence. A segment inside one that fits another template better does not count
 (the first words of a CC BY-SA notice are most of a CC BY one). Of several segments the best counts for each licence; ties
 go to the first. Texts of any length are scanned whole. Repeated rows are judged each; a null doc_id stays null. Other
 columns may have any names; empty tables give none. The templates hold the full texts of the short licences and the usual
-notices of the long ones, whose full texts are seldom in a document; further texts can be passed as a parameter.
+notices of the long ones, whose full texts are seldom in a document, and of CC licences from version 2.0 on; further texts can be
+passed as a parameter. "text" in a name means the whole licence, "notice" and "header" its opening or usual notice.
 """
 
 from __future__ import annotations
@@ -34,16 +40,8 @@ TEMPLATES = {
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
-        "either version 3 of the License, or (at your option) any later version."
-    ),
     "MIT": "Released under the MIT License.",
     "MIT notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without "
@@ -91,23 +89,50 @@ TEMPLATES = {
         "be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed "
         "or altered from any source distribution."
     ),
-    "Unlicense text": (
+    "Unlicense notice": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
         "as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
-    "BSL-1.0 text": (
+    "BSL-1.0 notice": (
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, "
         "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so."
     ),
-    "LGPL-3.0 header": (
-        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
-        "of the License, or (at your option) any later version."
+    "Unlicense text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+        "as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all "
+        "copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication "
+        "to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, "
+        "please refer to https://unlicense.org/"
     ),
-    "AGPL-3.0 header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
-        "of the License, or (at your option) any later version."
+    "BSL-1.0 text": (
+        "Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to "
+        "whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+        "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+        "machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
+for _name, _words, _work, _version in (
+    ("GPL-3.0", "", "program", "3"), ("GPL-2.0", "", "program", "2"), ("LGPL-3.0", "Lesser ", "library", "3"), ("LGPL-2.1", "Lesser ", "library", "2.1"),
+    ("LGPL-2.0", "Library ", "library", "2"), ("AGPL-3.0", "Affero ", "program", "3"),
+):
+    TEMPLATES[_name] = f"This work is licensed under the GNU {_words}General Public License, version {_version}."
+    TEMPLATES[f"{_name} header"] = (
+        f"This {_work} is free software: you can redistribute it and/or modify it under the terms of the GNU {_words}General Public License as published by the Free Software Foundation, "
+        f"either version {_version} of the License, or (at your option) any later version."
+    )
+for _part, _words in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version in ("2.0", "2.5", "3.0", "4.0"):
+        TEMPLATES[f"CC-{_part}-{_version}"] = f"Licensed under CC {_part} {_version}."
+    for _version, _port in (("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{_part}-{_version} notice"] = f"This work is licensed under a Creative Commons {_words} {_version} {_port} License."
+#: Sentences that several licences share; the name is that of the family.
+FAMILIES = {"BSD"}
+VERSION = re.compile(r"v?(\d+(?:\.\d+)*)\+?")
 MIN_DICE = 0.8
 
 
@@ -123,6 +148,12 @@ def bigrams(words: list[str]) -> Counter:
     return Counter(zip(words, words[1:]))
 
 
+def version_of(word: str) -> str | None:
+    """The version that a word is: 3 for 3, v3, 3+ and 3.0."""
+    found = VERSION.fullmatch(word)
+    return found and re.sub(r"(\.0)+$", "", found[1])
+
+
 class Templates:
     def __init__(self, texts: dict[str, str] = TEMPLATES, min_dice: float = MIN_DICE):
         self.min_dice = min_dice
@@ -130,6 +161,9 @@ class Templates:
         self.sizes = {name: g.total() for name, g in self.grams.items()}
         #: the templates that hold a bigram
         self.known: dict[tuple[str, str], list[str]] = {}
+        #: the version that a segment must hold, of templates that hold the one in their name
+        ends = {name: re.search(r"-(\d+(?:\.\d+)+)(?: |$)", name) for name in texts}
+        self.version = {name: version_of(end[1]) for name, end in ends.items() if end and version_of(end[1]) in map(version_of, normal_words(texts[name]))}
         for name, grams in self.grams.items():
             for gram in grams:
                 self.known.setdefault(gram, []).append(name)
@@ -137,22 +171,38 @@ class Templates:
         self.least = {name: max(1, math.ceil(n * min_dice / (2 - min_dice) - 1e-9)) for name, n in self.sizes.items()}
         self.most = {name: n * (2 - min_dice) / min_dice + 1e-9 for name, n in self.sizes.items()}
 
-    def fits(self, name: str, at: list[int], words: list[str]) -> Iterator[tuple[float, int, int]]:
-        """Dice coefficient, first and last bigram of the best segment from every start; at: where the template's bigrams stand."""
+    def fits(self, name: str, at: list[int], words: list[str], versions: dict[str, list[int]]) -> Iterator[tuple[float, int, int]]:
+        """Dice coefficient, first and last bigram of the best segment from every start; at: where the template's bigrams stand.
+
+        The bigrams in common with the longest segment from a start bound those with all others from there; they are counted
+        as the window moves, so that starts that cannot fit cost a step each."""
         grams, n, least, most = self.grams[name], self.sizes[name], self.least[name], self.most[name]
-        for p in range(len(at) - least + 1):
-            first = at[p]
-            if at[p + least - 1] - first + 1 > most:
+        marks = versions.get(self.version[name], []) if name in self.version else None
+        held, shared, ahead, mark = Counter(), 0, 0, 0
+        for p, first in enumerate(at):
+            while ahead < len(at) and at[ahead] - first + 1 <= most:
+                gram = words[at[ahead]], words[at[ahead] + 1]
+                held[gram] += 1
+                shared += held[gram] <= grams[gram]
+                ahead += 1
+            fits = shared >= least
+            gram = words[first], words[first + 1]
+            shared -= held[gram] <= grams[gram]
+            held[gram] -= 1
+            if marks is not None:
+                while mark < len(marks) and marks[mark] < first:
+                    mark += 1
+                fits = fits and mark < len(marks)
+            if not fits:
                 continue
+            enough = first if marks is None else marks[mark] - 2
             best, end, common, seen = 0.0, first, 0, Counter()
-            for q in range(p, len(at)):
+            for q in range(p, ahead):
                 last = at[q]
-                if last - first + 1 > most:
-                    break
                 gram = words[last], words[last + 1]
                 seen[gram] += 1
                 common += seen[gram] <= grams[gram]
-                if (dice := 2 * common / (n + last - first + 1)) > best:
+                if last >= enough and (dice := 2 * common / (n + last - first + 1)) > best:
                     best, end = dice, last
                     if best == 1:
                         break
@@ -166,7 +216,11 @@ class Templates:
         for i, names in enumerate(map(self.known.get, zip(words, words[1:]))):
             for name in names or ():
                 stand.setdefault(name, []).append(i)
-        found = sorted((first, last, dice, name) for name, at in stand.items() if len(at) >= self.least[name] for dice, first, last in self.fits(name, at, words))
+        versions: dict[str, list[int]] = {}
+        for i, word in enumerate(words):
+            if (word[0].isdigit() or word[0] == "v") and (version := version_of(word)):
+                versions.setdefault(version, []).append(i)
+        found = sorted((first, last, dice, name) for name, at in stand.items() if len(at) >= self.least[name] for dice, first, last in self.fits(name, at, words, versions))
         if not found:
             return []
         longest = max(self.most.values())
@@ -175,7 +229,7 @@ class Templates:
             if name in best:
                 continue
             near = found[bisect_left(found, (first - longest,)) : bisect_left(found, (first + 1,))]
-            if not any(f <= first and e >= last and d > dice and other != name for f, e, d, other in near):
+            if not any(f <= first and e >= last and other != name and (d > dice or (name in FAMILIES and self.sizes[other] > self.sizes[name])) for f, e, d, other in near):
                 best[name] = dice, first, last
         starts = [m.start() for m in WORD.finditer(lowered(text))]
         out = []
