@@ -12,8 +12,8 @@ similar_documents() links texts by their shingles instead. Two texts are similar
 of shingles, or the share of their words that stand in shingles of the other, is high enough. The second is at least
 about the first, and it holds where single words were edited throughout, each of which breaks as many shingles as one has
 words. Fingerprints of such texts differ in up to 26 of 64 bits, where the pigeonhole principle gives no useful shards, so
-shards are texts that share a band of minimum hashes: one from each half of the text, or several of the whole. A shard's BK-tree proposes pairs within WIDE bits and the whole
-sequences of shingles decide each of them. Bands are taken in rounds: a shard whose texts are in one group already is
+shards are texts that share a band of minimum hashes: one from each half of the text, or several of the whole. A shard's
+BK-tree proposes pairs within WIDE bits and the whole sequences of shingles decide them, all proposals of a text at once. Bands are taken in rounds: a shard whose texts are in one group already is
 skipped. A shard larger than a tree has several; their largest groups meet first, and then only texts outside the
 shard's main group ask the other trees, so that a dense group does not compare all its pairs.
 
@@ -303,6 +303,132 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*(x.to_pylist() for x in others), texts.cast(pa.binary()).to_pylist(), strict=True))
 
 
+class Members:
+    """The texts of a tree: a BK-tree over their distinct fingerprints proposes, and whole sequences of shingles decide.
+
+    A search goes down the tree a level at a time, and a text is held against all that it proposes at once: shingles get
+    numbers within the tree, and marking those of the text in an array tells which of the others' shingles it shares."""
+
+    def __init__(self, fps: list[int], sketches: list[Sketch], shingle: int):
+        self.shingle, self.width = shingle, shingle - 1
+        self.fps, self.at = np.unique(np.array(fps, np.uint64), return_inverse=True)
+        # sorted fingerprints would make a lopsided tree
+        order = np.argsort(self.fps * np.uint64(0x9E3779B97F4A7C15))
+        tree, back = Tree([int(self.fps[i]) for i in order]), np.argsort(order)
+        self.fps, self.at = self.fps[order], back[self.at]
+        self.n_kids = np.array([len(k) for k in tree.kids])
+        self.first_kid = np.cumsum(self.n_kids) - self.n_kids
+        self.kids = np.array([i for k in tree.kids for i in k.values()], np.int64)
+        self.edges = np.array([e for k in tree.kids for e in k], np.int64)
+        self.parent = tree.parent
+        self.here = np.bincount(self.at, minlength=len(self.fps))
+        below = self.here.copy()
+        for i in range(len(below) - 1, 0, -1):
+            below[self.parent[i]] += below[i]
+        self.live = below
+        self.by_node = np.argsort(self.at, kind="stable")
+        self.first_member, self.n_members = np.cumsum(self.here) - self.here, self.here.copy()
+        self.out = np.zeros(len(fps), bool)
+        # shingles by number: each text's set, and its sequence followed by as many blanks as the next text's words could reach
+        self.values, numbers = np.unique(np.concatenate([x.set for x in sketches]), return_inverse=True)
+        self.blank = len(self.values)
+        self.sizes = np.array([len(x.set) for x in sketches])
+        self.set_at, self.sets = np.cumsum(self.sizes) - self.sizes, numbers.astype(np.int32)
+        blanks = np.full(self.width, self.blank, np.int32)
+        self.length = np.array([len(x.sequence) for x in sketches])
+        self.words = np.where(self.length > 1, self.length + self.width, self.length)
+        self.sequences = np.concatenate([part for x in sketches for part in (np.searchsorted(self.values, x.sequence).astype(np.int32), blanks)])
+        self.sequence_at = np.cumsum(self.length + self.width) - self.length - self.width
+        self.marks, self.place = np.zeros(self.blank + 1, bool), np.zeros(self.blank + 1, np.int32)
+
+    def leave(self, i: int) -> None:
+        self.out[i] = True
+        node = self.at[i]
+        self.here[node] -= 1
+        while node >= 0:
+            self.live[node] -= 1
+            node = self.parent[node]
+
+    def near(self, fp: int, radius: int) -> np.ndarray:
+        """The members within the radius that have not left."""
+        found, level, fp = [], np.zeros(1, np.int64), np.uint64(fp)
+        while len(level := level[self.live[level] > 0]):
+            far = np.bitwise_count(self.fps[level] ^ fp).astype(np.int64)
+            found.append(level[(far <= radius) & (self.here[level] > 0)])
+            kids = _runs(self.first_kid[level], self.n_kids[level])
+            level = self.kids[kids[np.abs(self.edges[kids] - np.repeat(far, self.n_kids[level])) <= radius]]
+        if not found:
+            return level
+        nodes = np.concatenate(found)
+        some = self.by_node[_runs(self.first_member[nodes], self.n_members[nodes])]
+        return some[~self.out[some]]
+
+    def like(self, own: Sketch, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Sketch.like of the text and each of the other members."""
+        held = np.searchsorted(self.values, own.set)
+        known = held < self.blank
+        known[known] = self.values[held[known]] == own.set[known]
+        held = held[known]
+        self.marks[held] = True
+        at, n = self.set_at[others], self.sizes[others]
+        shared = self._sums(self.sets, at, n)
+        alike = shared >= similarity * (len(own.set) + n - shared)
+        own_length = len(own.sequence)
+        own_words = own_length + self.width if own_length > 1 else own_length
+        words = self.words[others]
+        # a shared shingle, or a repeat of one, covers as many words as a shingle has
+        most_own = np.minimum(own_words, self.shingle * (shared + own_length - len(own.set)))
+        most = np.minimum(words, self.shingle * (shared + self.length[others] - n))
+        open_ = np.flatnonzero(~alike & (shared > 0) & (most_own + most >= similarity * (own_words + words)))
+        if len(open_):
+            covered = self._covered(others[open_])
+            may = most_own[open_] + covered >= similarity * (own_words + words[open_])
+            open_, covered = open_[may], covered[may]
+            self.place[held] = np.flatnonzero(known)
+            sequence = np.searchsorted(own.set, own.sequence)
+            step = max(1, (1 << 22) // own_words)
+            for i in range(0, len(open_), step):
+                some = open_[i : i + step]
+                which = _runs(self.set_at[others[some]], self.sizes[others[some]])
+                row, number = np.repeat(np.arange(len(some)), self.sizes[others[some]]), self.sets[which]
+                row, number = row[self.marks[number]], number[self.marks[number]]
+                has = np.zeros((len(some), len(own.set)), bool)
+                has[row, self.place[number]] = True
+                flags = np.zeros((len(some), own_words + 1), np.int32)
+                flags[:, 1 : own_length + 1] = has[:, sequence]
+                flags = np.cumsum(flags, axis=1, dtype=np.int32)
+                width = self.shingle if own_length > 1 else 1
+                reach = flags[:, 1:].copy()
+                reach[:, width - 1 :] -= flags[:, : own_words - width + 1]
+                alike[some] = (reach > 0).sum(axis=1) + covered[i : i + step] >= similarity * (own_words + words[some])
+        self.marks[held] = False
+        return alike
+
+    def _sums(self, numbers: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many of each run of numbers are marked."""
+        if 3 * n.sum() < len(numbers):
+            numbers, at = numbers[_runs(at, n)], np.cumsum(n) - n
+        sums = np.concatenate(([0], np.cumsum(self.marks[numbers], dtype=np.int32)))
+        return sums[at + n] - sums[at]
+
+    def _covered(self, others: np.ndarray) -> np.ndarray:
+        """How many words of each member stand in marked shingles."""
+        sequences, at, n = self.sequences, self.sequence_at[others], self.length[others] + self.width
+        if 3 * n.sum() < len(sequences):
+            sequences, at = sequences[_runs(at, n)], np.cumsum(n) - n
+        flags = np.concatenate(([0], np.cumsum(self.marks[sequences], dtype=np.int32)))
+        reach = flags[1:].copy()
+        reach[self.shingle :] -= flags[1 : -self.shingle]
+        sums = np.concatenate(([0], np.cumsum(reach > 0, dtype=np.int32)))
+        found = sums[at + n] - sums[at]
+        return np.where(self.length[others] > 1, found, np.minimum(found, 1))
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, so many of each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 def spanning(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Edges a, b between the groups that similar texts of each tree were in. rows: key, tree, root (the group), fp, text, sorted by tree."""
 
@@ -312,21 +438,20 @@ def spanning(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         def spanned() -> None:
             if len(members) < 2:
                 return
-            tree, met = Tree([fp for _, fp, _ in members]), [False] * len(members)
+            tree = Members([m[1] for m in members], [m[2] for m in members], shingle)
             for start in range(len(members)):
-                if met[start]:
+                if tree.out[start]:
                     continue
-                met[start], todo = True, [start]
                 tree.leave(start)
+                todo = [start]
                 while todo:
                     at = todo.pop()
-                    for i in tree.near(members[at][1], WIDE):
-                        if members[at][2].like(members[i][2], similarity):
-                            tree.leave(i)
-                            met[i] = True
-                            if members[i][0] != members[at][0]:
-                                edges.append((members[i][0], members[at][0]))
-                            todo.append(i)
+                    some = tree.near(members[at][1], WIDE)
+                    for i in some[tree.like(members[at][2], some, similarity)].tolist() if len(some) else ():
+                        tree.leave(i)
+                        if members[i][0] != members[at][0]:
+                            edges.append((members[i][0], members[at][0]))
+                        todo.append(i)
 
         for some in _read(batches):
             for key, tree, root, fp, text in some:
@@ -358,13 +483,13 @@ def answers(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 if not asks:
                     members.append((root, fp, own))
                     continue
-                tree = tree or Tree([m[1] for m in members])
-                met = {root}
-                for i in tree.near(fp, WIDE):
-                    group, _, sketch = members[i]
-                    if group not in met and own.like(sketch, similarity):
-                        met.add(group)
-                        edges.append((root, group))
+                if tree is None:
+                    tree = Members([m[1] for m in members], [m[2] for m in members], shingle)
+                    groups = np.array([m[0] for m in members])
+                some = tree.near(fp, WIDE)
+                some = some[groups[some] != root]
+                if len(some):
+                    edges += [(root, group) for group in np.unique(groups[some[tree.like(own, some, similarity)]]).tolist()]
             yield _pairs(edges)
 
     return rows.mapInArrow(search, "a long, b long")

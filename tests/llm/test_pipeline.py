@@ -120,6 +120,35 @@ def test_near_copies_of_one_hot_text(spark, monkeypatch):
     assert simhash.keep_similar_one(docs.limit(0)).count() == 0
 
 
+def test_members_of_a_tree_equal_pairs_one_by_one():
+    """Proposals and decisions of a whole tree at once against each pair by itself."""
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)] for _ in range(3)]
+    texts = [None, "", "one", "one", "one two three", "a b c d e", "a b c d e a b c d e a b c d e"]
+    for _ in range(120):
+        words = list(rng.choice(base))[: rng.choice((5, 6, 20, 60))]
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(len(words))] = rng.choice("xyz")
+        texts.append(" ".join(words + words[: rng.choice((0, 0, 30))]))
+    for shingle in (1, 2, 5):
+        sketches = [simhash.Sketch(None if t is None else t.encode(), shingle) for t in texts]
+        fps = [simhash.majority([x.set]) if len(x.set) else 0 for x in sketches]
+        held = simhash.Members(fps, sketches, shingle)
+        for i, own in enumerate(sketches):
+            assert sorted(held.near(fps[i], 26).tolist()) == [j for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 26]
+            for similarity in (0.3, 0.8):
+                got = held.like(own, simhash.np.arange(len(fps)), similarity)
+                assert got.tolist() == [own.like(x, similarity) for x in sketches]
+        stranger = simhash.Sketch(b"words of no member at all but a b c d e", shingle)
+        assert held.like(stranger, simhash.np.arange(len(fps)), 0.2).tolist() == [stranger.like(x, 0.2) for x in sketches]
+        for i in range(0, len(fps), 2):
+            held.leave(i)
+        assert sorted(held.near(fps[8], 20).tolist()) == [j for j in range(1, len(fps), 2) if (fps[8] ^ fps[j]).bit_count() <= 20]
+        for i in range(1, len(fps), 2):
+            held.leave(i)
+        assert not len(held.near(fps[8], 64))
+
+
 def test_near_stage_catches_near_copies(spark):
     """Of all pairs at sf0.01 with a Jaccard similarity of 0.35 to under 1, at least 0.9 are in one group; pairs below are in none."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
