@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,25 @@ def cascade(df: DataFrame, steps: list[tuple[str, Column]], by: list[str] = ())
     return out.select(*by, F.inline(pairs))
 
 
+def shift_sensitivity(df: DataFrame, status: Callable[..., Column], inputs: dict[str, Column], windows: dict[str, object], shifts: dict[str, dict[str, int]], by: list[str] = ()) -> DataFrame:
+    """How eligibility changes if inputs are shifted: per group, window and shift eligible_base, eligible_shifted, gained and lost.
+
+    status(window, **inputs) gives a status, of which "eligible" counts; a null one is not eligible. shifts say what is added
+    to which input. All windows and shifts are counted in one aggregate.
+    """
+    counts, rows = [], []
+    for w, (name, window) in enumerate(windows.items()):
+        held = lambda moved: F.coalesce(status(window, **{k: x + moved.get(k, 0) for k, x in inputs.items()}) == "eligible", F.lit(False))  # noqa: B023, E731
+        base = held({})
+        counts.append(F.count_if(base).alias(f"base{w}"))
+        for i, (shift, moved) in enumerate(shifts.items()):
+            other = held(moved)
+            counts += [F.count_if(other).alias(f"shifted{w}_{i}"), F.count_if(other & ~base).alias(f"gained{w}_{i}"), F.count_if(base & ~other).alias(f"lost{w}_{i}")]
+            numbers = [F.col(f"base{w}").alias("eligible_base"), F.col(f"shifted{w}_{i}").alias("eligible_shifted"), F.col(f"gained{w}_{i}").alias("gained"), F.col(f"lost{w}_{i}").alias("lost")]
+            rows.append(F.struct(F.lit(name).alias("window"), F.lit(shift).alias("shift"), *numbers))
+    return df.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*rows)))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r for every pair, in one pass."""
     pairs = list(combinations(columns, 2))

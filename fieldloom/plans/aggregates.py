@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import aggregates as A
 from fieldloom.operators import quantiles as N
+from fieldloom.operators import recode as R
 from fieldloom.operators import two_way as V
 from fieldloom.operators import weights as W
 
@@ -150,10 +151,31 @@ def a26_exclusion_cascade(t):
     return A.cascade(t.households, [("outcome", c("o_orderstatus") != "P"), ("exposure", c("o_totalprice") > 1000)], ["n_regionkey"])
 
 
-@query("select count(*) filter (where base <> up) changed_up, count(*) filter (where base and not up) lost, count(*) filter (where up and not base) gained from (select l_quantity > 25 base, l_quantity + 1 > 25 up from lineitem)")
+#: Windows as months after the order, the months that are covered, and the shifts of the order's and the shipping month.
+LAGS = {"before_3": (-3, -1), "order_month": (0, 0), "after_1": (1, 1), "after_2": (1, 2)}
+COVERED = (1992 * 12 + 6, 1998 * 12 + 6)
+MONTH_SHIFTS = {"order_plus_1": {"ordered": 1}, "ship_minus_1": {"shipped": -1}, "ship_plus_1": {"shipped": 1}}
+
+
+def _lag_status(lag, ordered, shipped):
+    """The first rule that holds decides: missing dates, months out of cover, a window that ends after the shipping month."""
+    first, last = ordered + lag[0], ordered + lag[1]
+    return R.first_match([(ordered.isNull() | shipped.isNull(), "missing"), ((first < COVERED[0]) | (last > COVERED[1]), "uncovered"), (last >= shipped, "incomplete")], "eligible")
+
+
+_LAG_SQL = "case when b is null or t is null then 'missing' when b + {db} + lo < {c[0]} or b + {db} + hi > {c[1]} then 'uncovered' when b + {db} + hi >= t + {dt} then 'incomplete' else 'eligible' end = 'eligible'"
+
+
+@query(
+    f"""with u as (select n_regionkey, year(o_orderdate) * 12 + month(o_orderdate) b, year(l_shipdate) * 12 + month(l_shipdate) t from {UNITS}),
+    w("window", lo, hi) as (values {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in LAGS.items())}), s(shift, db, dt) as (values {", ".join(f"('{k}', {m.get('ordered', 0)}, {m.get('shipped', 0)})" for k, m in MONTH_SHIFTS.items())}),
+    e as (select n_regionkey, "window", shift, {_LAG_SQL.format(db=0, dt=0, c=COVERED)} base, {_LAG_SQL.format(db="db", dt="dt", c=COVERED)} moved from u, w, s)
+    select n_regionkey, "window", shift, count(*) filter (where base) eligible_base, count(*) filter (where moved) eligible_shifted, count(*) filter (where moved and not base) gained, count(*) filter (where base and not moved) lost from e group by 1, 2, 3"""
+)
 def a27_shift_sensitivity(t):
-    base, up = c("l_quantity") > 25, c("l_quantity") + 1 > 25
-    return t.lineitem.agg(F.count_if(base != up).alias("changed_up"), F.count_if(base & ~up).alias("lost"), F.count_if(up & ~base).alias("gained"))
+    """Eligibility of each window under three shifts of a month, by region."""
+    month = lambda x: F.year(x) * 12 + F.month(x)
+    return A.shift_sensitivity(t.units, _lag_status, {"ordered": month("o_orderdate"), "shipped": month("l_shipdate")}, LAGS, MONTH_SHIFTS, ["n_regionkey"])
 
 
 @query("select count(*) filter (where a + b + c > 0) any_flag, count(*) filter (where a + b + c = 3) all_flags, count(*) filter (where a + b + c = 1) one_flag, count(*) filter (where a = 1 and b = 1) ab from (select (l_quantity > 40)::INT a, (l_discount > 0.08)::INT b, (l_tax > 0.06)::INT c from lineitem)")

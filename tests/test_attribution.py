@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldloom.operators import aggregates
 from fieldloom.operators import attribution as A
 
 
@@ -22,3 +23,18 @@ def test_patterns(spark):
     rows = [(1, "c1", "ok"), (1, "c2", "ok"), (2, "c1", "late"), (2, "c2", "ok"), (3, "c1", "ok"), (3, "c2", "dates"), (4, "c1", "late"), (5, "c1", "strange"), (5, "c2", "ok"), (6, "c1", "late"), (6, "c2", "ok"), (6, "c2", "dates")]
     got = A.candidate_patterns(spark.createDataFrame(rows, "u int, c string, s string"), ["u"], "c", "s", ["c1", "c2"], ["dates", "late", "ok"])
     assert {tuple(r) for r in got.collect()} == {("late", "ok", "late", 1), ("ok", "dates", "dates", 1), ("late", "absent", "late", 1), ("other", "ok", "ok", 1), ("late", "dates", "dates", 1)}
+
+
+def test_shift_sensitivity_equals_rows_one_by_one(spark):
+    """Statuses under shifts, ties at both bounds and nulls, against plain Python."""
+    rows = [(g, b, t) for g in ("x", "y", None) for b in (None, 0, 3, 4, 9, 10) for t in (None, 4, 5, 6, 11)] * 2
+    table = spark.createDataFrame(rows, "g string, b int, t int")
+    windows, shifts = {"early": (-3, -1), "late": (1, 2)}, {"b_up": {"b": 1}, "t_down": {"t": -1}, "t_up": {"t": 1}, "both": {"b": 1, "t": 1}}
+    status = lambda w, b, t: F.when(b + w[0] < 0, "before").when(b + w[1] >= t, "open").when(b.isNotNull() & t.isNotNull(), "eligible")
+    plain = lambda w, b, t: b is not None and t is not None and b + w[0] >= 0 and b + w[1] < t
+    got = {(r.g, r.window, r["shift"]): (r.eligible_base, r.eligible_shifted, r.gained, r.lost) for r in aggregates.shift_sensitivity(table, status, {"b": F.col("b"), "t": F.col("t")}, windows, shifts, ["g"]).collect()}
+    assert len(got) == 3 * 2 * 4
+    for (g, w, s), numbers in got.items():
+        pairs = [(plain(windows[w], b, t), plain(windows[w], None if b is None else b + shifts[s].get("b", 0), None if t is None else t + shifts[s].get("t", 0))) for k, b, t in rows if k == g]
+        assert numbers == (sum(a for a, _ in pairs), sum(b for _, b in pairs), sum(b and not a for a, b in pairs), sum(a and not b for a, b in pairs))
+    assert aggregates.shift_sensitivity(table.limit(0), status, {"b": F.col("b"), "t": F.col("t")}, windows, shifts, ["g"]).count() == 0
