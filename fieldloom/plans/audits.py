@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from fieldloom.functions import calendar as C
 from fieldloom.operators import contracts as K
 from fieldloom.operators import joins as J
+from fieldloom.operators import recode as R
 from fieldloom.operators import runs
 from fieldloom.sources import tables as T
 from fieldloom.sources.tables import new_folder
 
 from .base import HOUSEHOLDS, UNITS, n_rows, query
+from .recode import LAT, LON
 
 c = F.col
 
@@ -128,19 +131,30 @@ def g29_supplementary_checks(t):
 #: A unit is eligible if it ships 30 to 90 days after the order; the other rules shift one of the two dates.
 SHIFTS = {"order_plus_30": "days - 30", "ship_minus_30": "days - 30 * (days > 60)::INT", "ship_plus_30": "days + 30"}
 FLAGS = {"cheap": "l_extendedprice < 20000", "few": "l_quantity < 10", "late": "days > 90"}
+#: The area that a source covers: least and largest latitude and longitude.
+BOX = (-40, 60, -100, 100)
+UNIT_LAT, UNIT_LON = (x.replace("c_custkey", "o_custkey") for x in (LAT, LON))
 
 
 @query(
-    f"""with u as (select *, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) as days from {UNITS}), e as (select *, days between 30 and 90 base, {", ".join(f"({v}) between 30 and 90 {k}" for k, v in SHIFTS.items())}, {", ".join(f"({v})::INT f_{k}" for k, v in FLAGS.items())} from u)
+    f"""with u as (select *, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) as days from {UNITS}), e as (select *, days between 30 and 90 base, {", ".join(f"({v}) between 30 and 90 {k}" for k, v in SHIFTS.items())}, {", ".join(f"({v})::INT f_{k}" for k, v in FLAGS.items())}, ({UNIT_LAT})::DOUBLE lat, ({UNIT_LON})::DOUBLE lon from u),
+    k as (select year(o_orderdate) - 8 y, month(o_orderdate) m, month(l_shipdate) s, count(*) n from u group by 1, 2, 3), d as (select *, unnest(range(1, 31))::INT as d from k),
+    p as (select y, m, s, n, bool_or(fits) possible, bool_or(fits and d = 1) opens from (select *, month(date '0001-01-01' + (2796 + 365 * (y - 1) + y // 4 + 30 * (m - 1) + d - 2)::INT) = (s + 7) % 12 + 1 fits from d) group by 1, 2, 3, 4)
     {" union all ".join(f"select 'shift' section, '{k}' item, count(*) filter (where {k} and not base) a, count(*) filter (where base and not {k}) b from e" for k in SHIFTS)}
     union all select 'flags', 'any_and_all', count(*) filter (where f_cheap + f_few + f_late > 0), count(*) filter (where f_cheap + f_few + f_late = 3) from e
     union all select 'flags', 'one_and_two', count(*) filter (where f_cheap + f_few + f_late = 1), count(*) filter (where f_cheap + f_few + f_late = 2) from e
     union all select 'bounds', 'near_and_beyond', count(*) filter (where abs(l_discount - 0.1) <= 0.0100001), count(*) filter (where l_discount > 0.1) from e
     union all select 'cascade', 'eligible', count(*) filter (where base), count(*) filter (where not base) from e
-    union all select 'cascade', 'not_cheap', count(*) filter (where base and f_cheap = 0), count(*) filter (where base and f_cheap = 1) from e"""
+    union all select 'cascade', 'not_cheap', count(*) filter (where base and f_cheap = 0), count(*) filter (where base and f_cheap = 1) from e
+    union all select 'coordinates', 'missing_and_sentinel', count(*) filter (where lat is null or lon is null), count(*) filter (where lat = 0 and lon = 0) from e
+    union all select 'coordinates', 'covered_and_not', count(*) filter (where lat <> 0 and lon <> 0 and lat between {BOX[0]} and {BOX[1]} and lon between {BOX[2]} and {BOX[3]}), count(*) filter (where not coalesce(lat <> 0 and lon <> 0 and lat between {BOX[0]} and {BOX[1]} and lon between {BOX[2]} and {BOX[3]}, false)) from e
+    union all select 'months', 'possible_and_not', coalesce(sum(n) filter (where possible), 0)::BIGINT, coalesce(sum(n) filter (where not possible), 0)::BIGINT from p
+    union all select 'calendar', 'opens_in_month_and_not', coalesce(sum(n) filter (where opens), 0)::BIGINT, coalesce(sum(n) filter (where not opens), 0)::BIGINT from p"""
 )
 def g30_resolution_checks(t):
-    """Eligibility under shifted dates, how flags coincide, values near a bound, and the readiness cascade, in one scan."""
+    """Eligibility under shifted dates, how flags coincide, values near a bound, the readiness cascade and the coverage of coordinates, in
+    one scan; then whether the order's month of the other calendar can, and its first day does, fall in the month eight
+    after the shipping one, by distinct months."""
     rows = t.units.withColumn("days", F.date_diff(c("l_shipdate").cast("date"), c("o_orderdate").cast("date")))
     shifted = {"order_plus_30": c("days") - 30, "ship_minus_30": c("days") - 30 * (c("days") > 60).cast("int"), "ship_plus_30": c("days") + 30}
     base, flags = c("days").between(30, 90), sum((F.expr(v).cast("int") for v in FLAGS.values()), F.lit(0))
@@ -148,8 +162,17 @@ def g30_resolution_checks(t):
     pairs = {("shift", k): (v.between(30, 90) & ~base, base & ~v.between(30, 90)) for k, v in shifted.items()}
     pairs |= {("flags", "any_and_all"): (flags > 0, flags == 3), ("flags", "one_and_two"): (flags == 1, flags == 2), ("bounds", "near_and_beyond"): (F.abs(c("l_discount") - 0.1) <= 0.0100001, c("l_discount") > 0.1)}
     pairs |= {("cascade", "eligible"): (base, ~base), ("cascade", "not_cheap"): (base & ~cheap, base & cheap)}
+    place = R.valid_coordinates(F.expr(UNIT_LAT).cast("double"), F.expr(UNIT_LON).cast("double"), BOX)
+    pairs |= {("coordinates", "missing_and_sentinel"): (place == "missing", place == "sentinel"), ("coordinates", "covered_and_not"): (place == "ok", place != "ok")}
+    months = rows.groupBy((F.year("o_orderdate") - 8).alias("y"), F.month("o_orderdate").alias("m"), F.month("l_shipdate").alias("s")).agg(n_rows())
+    fits = lambda d: F.month(C.other_to_gregorian(c("y"), c("m"), d)) == (c("s") + 7) % 12 + 1
+    whole = lambda x: F.coalesce(F.sum(F.when(x, c("n"))), F.lit(0))
+    judged = [("months", "possible_and_not", F.exists(F.sequence(F.lit(1), F.lit(30)), fits)), ("calendar", "opens_in_month_and_not", fits(F.lit(1)))]
+    held = months.agg(*[f.alias(f"{s}{i}") for i, (_, _, x) in enumerate(judged) for s, f in (("a", whole(x)), ("b", whole(~x)))])
+    by_month = held.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("item"), c(f"a{i}").alias("a"), c(f"b{i}").alias("b")) for i, (s, k, _) in enumerate(judged)])))
     counts = rows.agg(*[F.count_if(x).alias(f"{s}{i}") for i, p in enumerate(pairs.values()) for s, x in zip("ab", p, strict=True)])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("item"), c(f"a{i}").alias("a"), c(f"b{i}").alias("b")) for i, (s, k) in enumerate(pairs)])))
+    counts = counts.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("item"), c(f"a{i}").alias("a"), c(f"b{i}").alias("b")) for i, (s, k) in enumerate(pairs)])))
+    return counts.unionByName(by_month)
 
 
 @query(
