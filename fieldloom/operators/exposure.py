@@ -33,12 +33,13 @@ def exposures(units: DataFrame, panel: DataFrame, products: list[str], years: tu
     """key, product, window, status, exposure, min_valid_fraction, n_years, interview_year_used.
 
     panel has (cluster, product, year, value, state, valid_fraction), where state is full, partial or missing. The first rule
-    that holds gives the status; a missing year is never filled, so exposure is NULL unless every year has a value.
+    that holds gives the status; a missing year is never filled, so exposure is NULL unless every year has a value. The panel
+    grows with the clusters and is never broadcast.
     """
     b, t = F.col(event), F.col(interview)
     rows = window_rows(units.select(key, cluster, event, interview, (F.lit(False) if excluded is None else excluded).alias("_excluded")), event)
     rows = rows.withColumn("product", F.explode(F.array(*[F.lit(p) for p in products])))
-    found = window_years(rows.select(key, cluster, interview, "window", "months", "start", "product")).join(panel, [cluster, "product", "year"], "left")
+    found = window_years(rows.select(key, cluster, interview, "window", "months", "start", "product")).join(panel.hint("merge"), [cluster, "product", "year"], "left")
     whole = F.count(F.lit(1)) == F.count("value")
     sums = found.groupBy(key, "window", "product").agg(
         F.when(whole, F.sum(F.col("weight") * F.col("value"))).alias("exposure"), F.min(F.coalesce("valid_fraction", F.lit(0.0))).alias("min_valid_fraction"),

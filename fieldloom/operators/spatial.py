@@ -25,6 +25,8 @@ class Grid(NamedTuple):
 FULL = 1 - 1e-6
 #: Overlaps below this share of their cell are floating-point slivers.
 SLIVER = 1e-9
+#: Grid values, over all layers, up to which a grid is broadcast (8 MB).
+MOST_VALUES = 1_000_000
 
 
 def metres_per_degree(lat: Column) -> tuple[Column, Column]:
@@ -108,28 +110,43 @@ def overlap_weights(clusters: DataFrame, grid: Grid, x: str, y: str, radius: str
     px = lambda i: (grid.x0 + (F.col("col") + i) * grid.sx - F.col(x)) * F.col("_mx")
     py = lambda i: (grid.y0 + (F.col("row") + i) * grid.sy - F.col(y)) * F.col("_my")
     corners = [(px(0), py(0)), (px(1), py(0)), (px(1), py(1)), (px(0), py(1))]
-    areas = cells.withColumns({"area": disk_overlap(corners, F.col(radius)), "_cell": polygon_area(corners)})
-    return areas.where(F.col("area") >= SLIVER * F.col("_cell")).select(key, "row", "col", inside(F.col("row"), F.col("col"), grid).alias("in_grid"), "area")
+    # inline keeps the area out of the filter, which would otherwise work it out a second time
+    area = F.inline(F.array(F.struct(disk_overlap(corners, F.col(radius)).alias("area"), polygon_area(corners).alias("_cell"))))
+    areas = cells.select(key, "row", "col", inside(F.col("row"), F.col("col"), grid).alias("in_grid"), area)
+    return areas.where(F.col("area") >= SLIVER * F.col("_cell")).select(key, "row", "col", "in_grid", "area")
 
 
-def extract(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: list[str], key: str) -> DataFrame:
+def extract(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: list[str], key: str, grid: Grid | None = None) -> DataFrame:
     """The area-weighted mean of the valid pixels (value not NULL, 0 to 100) under each cluster's disk, for each layer.
 
     Returns one row per cluster and layer, with total_area, valid_fraction, n_cells, n_cells_valid, status (full, partial,
-    missing) and reason. layers is the catalogue of grids, one tuple per grid. A cell is one row with the list of its valid
-    layers, so a weight meets it once, by an equi-join on the cell; what they give is dealt by cluster and only there becomes a
-    row a layer, which sums need no other shuffle. Areas that no layer changes are summed once per cluster.
+    missing) and reason. layers is the catalogue of grids, one tuple per grid; a layer has one pixel a cell. A cell is one row
+    with its values in the order of the catalogue, so a weight meets it once and gives a row a layer; one aggregate by cluster
+    and layer follows. A grid of up to MOST_VALUES values is broadcast and the weights stay where overlap_weights dealt them; a
+    larger one, or one of unknown size, is met by a shuffle on the cell. The weights, of which each cluster has many, are never
+    broadcast: Spark takes their size from the small cluster table.
     """
-    total = weights.groupBy(key).agg(F.sum("area").alias("total_area"), F.count(F.lit(1)).alias("n_cells"), F.bool_or("in_grid").alias("_any"))
     catalogue = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, layer, strict=True)]) for layer in layers])
-    wanted = total.select("*", F.inline(catalogue))
-    valid = pixels.where(F.col("value").between(0, 100)).groupBy("row", "col").agg(F.collect_list(F.struct(*names, "value")).alias("_layers"))
-    met = weights.where("in_grid").join(valid, ["row", "col"]).select(key, "area", "_layers").repartition(key).select(key, "area", F.inline("_layers"))
-    sums = met.groupBy(key, *names).agg(F.sum("area").alias("_valid"), F.sum(F.col("area") * F.col("value")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    listed = pixels.sparkSession.range(1).select(F.posexplode(catalogue).alias("_i", "_layer")).select("_i", *[F.col(f"_layer.{n}").alias(n) for n in names])
+    known = pixels.where(F.col("value").between(0, 100) & (inside(F.col("row"), F.col("col"), grid) if grid else F.lit(True))).join(F.broadcast(listed), names)
+    values = F.map_from_entries(F.collect_list(F.struct("_i", F.col("value").cast("double"))))
+    cells = known.groupBy("row", "col").agg(F.transform(F.sequence(F.lit(0), F.lit(len(layers) - 1)), lambda i: F.element_at(values, i)).alias("_values"))
+    cells = cells.select("row", "col", F.lit(True).alias("in_grid"), "_values")
+    if grid and grid.rows * grid.cols * len(layers) <= MOST_VALUES:
+        met = weights.join(F.broadcast(cells), ["row", "col", "in_grid"], "left")
+    else:
+        met = weights.join(cells.hint("merge"), ["row", "col", "in_grid"], "left").repartition(key)
+    empty = F.array_repeat(F.lit(None).cast("double"), len(layers))
+    rows = met.select(key, "in_grid", "area", F.posexplode(F.coalesce("_values", empty)).alias("_i", "_v"))
+    sums = rows.groupBy(key, "_i").agg(
+        F.sum("area").alias("total_area"), F.count(F.lit(1)).alias("n_cells"), F.bool_or("in_grid").alias("_any"),
+        F.sum(F.when(F.col("_v").isNotNull(), F.col("area"))).alias("_valid"), F.sum(F.col("area") * F.col("_v")).alias("_sum"), F.count("_v").alias("n_cells_valid"),
+    )
     share = F.coalesce(F.col("_valid") / F.col("total_area"), F.lit(0.0))
     status = F.when(F.col("_valid").isNull(), "missing").when(share >= FULL, "full").otherwise("partial")
     reason = F.when(F.col("_valid").isNotNull(), F.when(share >= FULL, "").otherwise("incomplete")).when(F.col("_any"), "nodata").otherwise("outside_grid")
-    return wanted.join(sums, [key, *names], "left").select(
-        key, *names, (F.col("_sum") / F.col("_valid")).alias("value"), status.alias("status"), reason.alias("reason"),
-        F.least(share, F.lit(1.0)).alias("valid_fraction"), "total_area", "n_cells", F.coalesce("_n", F.lit(0)).alias("n_cells_valid"),
+    layer = F.get(catalogue, F.col("_i"))
+    return sums.select(
+        key, *[layer[n].alias(n) for n in names], (F.col("_sum") / F.col("_valid")).alias("value"), status.alias("status"), reason.alias("reason"),
+        F.least(share, F.lit(1.0)).alias("valid_fraction"), "total_area", "n_cells", "n_cells_valid",
     )

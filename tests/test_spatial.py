@@ -87,3 +87,28 @@ def test_window_statuses(spark):
 def test_empty_tables(spark):
     w = spatial.overlap_weights(point(spark, 1000).limit(0), GRID, "x", "y", "r", "k")
     assert spatial.extract(w, constant(spark, 1.0), [("a",)], ["layer"], "k").count() == 0
+
+
+def test_weights_are_not_broadcast(spark, sf_dir):
+    """Each cluster has many weights, though Spark takes them for as small as the clusters' file."""
+    from fieldloom.plans import QUERIES
+
+    for name in ("q16_ordered_bounds", "g34_extraction_validation", "g46_spatial_spot_checks", "g35_exposure_windows"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        for i, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                below = plan[i + 1 : next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))]
+                assert not any("c_custkey" in x for x in below), name
+
+
+def test_large_grid_gives_the_same(spark, monkeypatch):
+    pixels = constant(spark, 7.0).where("(row + col) % 3 <> 0").withColumn("value", F.col("row") + F.col("col") / 10.0)
+    pixels = pixels.unionByName(pixels.where("col < 50").withColumn("layer", F.lit("b")))
+    sites = spark.createDataFrame([(1, 0.503, 0.497, 3000.0), (2, 0.001, 0.999, 2000.0), (3, 5.0, 0.5, 1000.0), (4, 0.8, 0.2, 500.0)], "k long, x double, y double, r double")
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(spatial, "MOST_VALUES", most)
+        out = spatial.extract(spatial.overlap_weights(sites, GRID, "x", "y", "r", "k"), pixels, [("a",), ("b",)], ["layer"], "k", GRID)
+        found.append([(*r[:2], *(round(v, 9) if isinstance(v, float) else v for v in r[2:])) for r in out.orderBy("k", "layer").collect()])
+    assert found[0] == found[1] and len(found[0]) == 8 and found[0][7][3] == "missing"
