@@ -35,10 +35,14 @@ def leave_one_out(df: DataFrame, cluster: str, value: Column) -> DataFrame:
     """
     rows = df.withColumn("_v", value.cast("double"))
     sums = rows.groupBy(cluster).agg(F.sum("_v").alias("_sum"), F.count("_v").alias("_n"))
-    own = F.col("_v").isNotNull().cast("int")
-    others = F.col("_n") - own
-    rate = F.try_divide(F.coalesce("_sum", F.lit(0.0)) - F.coalesce("_v", F.lit(0.0)), others)
-    return rows.join(sums, cluster, "left").withColumns({"others_n": others, "others_rate": rate}).drop("_v", "_sum", "_n")
+    n, rate = others(F.col("_v"), F.col("_sum"), F.col("_n"))
+    return rows.join(sums, cluster, "left").withColumns({"others_n": n, "others_rate": rate}).drop("_v", "_sum", "_n")
+
+
+def others(value: Column, total: Column, n: Column) -> tuple[Column, Column]:
+    """The number and the mean of a cluster's other values, from its sum and number of values."""
+    rest = n - value.isNotNull().cast("int")
+    return rest, F.try_divide((F.coalesce(total, F.lit(0)) - F.coalesce(value, F.lit(0))).cast("double"), rest)
 
 
 def spread_years(df: DataFrame, start: Column, months: Column, key: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.smallmath import chi2_p, normal_p, normal_quantile, t_p, t_quantile
+from fieldloom.sources.tables import stored
 
 from .weights import demean, drop_singletons, equal_group_weights
 
@@ -183,20 +184,33 @@ def support(df: DataFrame, cluster: str, household: str, exposures: list[str]) -
     return varies.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(every).alias("clusters_varying"), F.sum(F.when(every, F.col("households")).otherwise(0)).alias("households_varying"), F.sum(F.when(every, F.col("units")).otherwise(0)).alias("units_varying"))
 
 
-def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None, effects: list[str] = (), effects_in: list[str] | None = None) -> dict[tuple[str, str], Fit]:
+def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None, effects: list[str] = (), effects_in: list[str] | None = None, samples: dict[str, tuple[F.Column, str]] | None = None) -> dict[tuple[str, str], Fit]:
     """Many weighted least-squares models, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
 
-    The table is read twice however many models there are: one pass sums the cross products of every column by scope, the
-    other the clusters' scores of every model. All models use the rows where every column is present. Columns of effects
-    join each model (or those named in effects_in) and leave it where they are constant in a scope. Scopes must be few: their small matrices come here.
+    The table is read once however many models there are: one aggregate by cluster (and scope) sums the cross products of
+    every column and is written; scopes add up their clusters' sums, and a cluster's scores follow from its own. All models
+    use the rows where every column is present. Columns of effects join each model (or those named in effects_in) and leave
+    it where they are constant in a scope. Scopes must be few: their small matrices come here. samples (name: condition, weight)
+    stand in place of ALL and scope: a row counts in each one whose condition holds.
     """
     xs = list(dict.fromkeys(["_one", *[x for _, right in specs.values() for x in right], *effects]))
     ys = list(dict.fromkeys(y for y, _ in specs.values()))
     columns = xs + ys
-    levels = F.array(F.lit("ALL"), F.col(scope).cast("string")) if scope else F.array(F.lit("ALL"))
-    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0).withColumn("_scope", F.explode(levels)).where("_scope is not null")
+    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = rows.groupBy("_scope").agg(F.count(F.lit(1)), *[F.sum(F.col(weight) * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs]).collect()
+    # products of two outcomes are used nowhere
+    needed = [(i, j) for i, j in pairs if i < len(xs) or i == j]
+    place = {p: k for k, p in enumerate(needed)}
+    if samples:
+        own = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(k).alias("_scope"), F.col(w).cast("double").alias("_w"))) for k, (condition, w) in samples.items()]))
+    else:
+        own = F.array(F.struct((F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("_scope"), F.col(weight).cast("double").alias("_w")))
+    rows = rows.select(F.col(cluster).alias("_c"), F.inline(own), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)])
+    by_cluster = stored(rows.groupBy("_c", "_scope").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{k}") for (i, j), k in place.items()]), "cluster-products")
+    levels = F.array_compact(F.array(F.lit(None if samples else "ALL").cast("string"), F.col("_scope")))
+    scoped = by_cluster.withColumn("_scope", F.explode(levels))
+    totals = [F.sum(f"g{k}") for k in range(len(needed))]
+    sums = [(level, n, *[values[place[p]] if p in place else 0.0 for p in pairs]) for level, n, *values in scoped.groupBy("_scope").agg(F.sum("n"), *totals).collect()]
     fits, betas, kept = {}, [], {}
     for level, n, *values in sums:
         g = np.zeros((len(columns), len(columns)))
@@ -221,21 +235,24 @@ def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str
     if not kept:
         return fits
     table = df.sparkSession.createDataFrame(betas, "_level string, _beta array<double>")
-    joined = rows.join(F.broadcast(table), F.col("_scope") == F.col("_level"))
+    joined = scoped.join(F.broadcast(table), F.col("_scope") == F.col("_level"))
+    product = lambda i, j: F.col(f"g{place[min(i, j), max(i, j)]}")
     scores, products, at_product = [], [], {}
     for s, (name, (y, _)) in enumerate(specs.items()):
-        residual = F.col(y)
-        for i, c in enumerate(xs):
-            residual = residual - F.col("_beta")[s * len(xs) + i] * F.col(c)
-        joined = joined.withColumn(f"_e{s}", F.col(weight) * residual)
         used = sorted({i for (_, m), (at, _) in kept.items() if m == name for i in at})
-        scores += [F.sum(F.col(c) * F.col(f"_e{s}")).alias(f"s{s}_{i}") for i, c in enumerate(xs) if i in used]
         for i in used:
+            score = product(i, columns.index(y))
+            for j in used:
+                score = score - F.col("_beta")[s * len(xs) + j] * product(i, j)
+            scores.append(score.alias(f"s{s}_{i}"))
             for j in used:
                 if j >= i:
                     at_product[name, i, j] = len(products)
                     products.append(F.sum(F.col(f"s{s}_{i}") * F.col(f"s{s}_{j}")).alias(f"m{len(products)}"))
-    for level, clusters, *m in joined.groupBy("_scope", cluster).agg(*scores).groupBy("_scope").agg(F.count(F.lit(1)), *products).collect():
+    # a cluster has one row a scope, and in the pooled one a row for each scope that it lies in
+    names = [f"s{s}_{i}" for s, (name, _) in enumerate(specs.items()) for i in sorted({i for (_, m), (at, _) in kept.items() if m == name for i in at})]
+    whole = joined.select("_scope", "_c", *scores).groupBy("_scope", "_c").agg(*[F.sum(x).alias(x) for x in names])
+    for level, clusters, *m in whole.groupBy("_scope").agg(F.count(F.lit(1)), *products).collect():
         for name in specs:
             if (level, name) in kept:
                 at, sub = kept[level, name]
@@ -270,7 +287,7 @@ def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight
         names = [x for x in sums.columns if x not in ("_scope", "_cluster")]
         pooled = sums.groupBy("_cluster").agg(*[(F.max(x) if x[0] == "p" else F.sum(x)).alias(x) for x in names]).withColumn("_scope", F.lit("ALL"))
         sums = sums.where("_scope is not null").unionByName(pooled.select(sums.columns))
-    sums = sums.where("n >= 2")
+    sums = stored(sums.where("n >= 2"), "cluster-within")
     within = lambda i, j: F.col(f"g{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")
     # the spread of the clusters' means tells what is absorbed from what is only small
     off = lambda i: F.col(f"p{i}") + F.col(f"s{i}") / F.col("w") - F.lit(float(level[i]))

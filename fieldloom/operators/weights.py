@@ -9,13 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.sources.tables import stored
+
+#: Groups up to which their totals are broadcast.
+FEW = 10_000
+
 
 def equal_group_weights(df: DataFrame, group: str, weight: str, scaled: bool = False, name: str = "w") -> DataFrame:
     """Weights that sum to 1 in every group of this sample or, if scaled, to rows / groups."""
     total = df.groupBy(group).agg(F.sum(weight).alias("_t"), F.count(F.lit(1)).alias("_n"))
     if scaled:
+        total = stored(total, "group-totals")
         n, k = total.agg(F.sum("_n"), F.count(F.lit(1))).first()
         factor = F.lit(float(n or 0) / max(k, 1))
+        total = F.broadcast(total) if k <= FEW else total
     else:
         factor = F.lit(1.0)
     return df.join(total.drop("_n"), group).withColumn(name, F.col(weight) / F.col("_t") * factor).drop("_t")

@@ -15,6 +15,7 @@ from fieldloom.operators import aggregates as A
 from fieldloom.operators import joins as J
 from fieldloom.operators import regress as G
 from fieldloom.operators import weights as W
+from fieldloom.sources.tables import stored
 
 from .base import HOUSEHOLDS, n_rows, query
 
@@ -28,10 +29,15 @@ CONTROLS = ["l_discount", "l_tax"]
 def units(t) -> DataFrame:
     value = F.when(c("o_orderstatus") == "F", 1).when(c("o_orderstatus") == "O", 0)
     broad = (c("o_orderstatus") != "O").cast("int")
-    orders = J.leave_one_out(t.orders, "o_custkey", value).withColumnRenamed("others_n", "support").withColumnRenamed("others_rate", "community")
-    orders = J.leave_one_out(orders, "o_custkey", broad).withColumnRenamed("others_rate", "community_broad").drop("others_n")
+    # sums by customer meet the units after these are dealt by customer, so a unit moves twice, with few columns, and what
+    # follows by customer moves nothing
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    sums = orders.groupBy("o_custkey").agg(*[f(v).alias(f"_{f.__name__}_{k}") for k, v in (("v", value), ("b", broad)) for f in (F.sum, F.count)])
     customers = t.customer.join(F.broadcast(t.nation), c("c_nationkey") == c("n_nationkey")).select("c_custkey", "n_regionkey")
-    rows = t.lineitem.join(orders, c("l_orderkey") == c("o_orderkey")).join(customers, c("o_custkey") == c("c_custkey"))
+    customers = sums.join(customers, c("o_custkey") == c("c_custkey")).drop("o_custkey")
+    rows = t.lineitem.join(orders, c("l_orderkey") == c("o_orderkey")).join(customers.hint("shuffle_hash"), c("o_custkey") == c("c_custkey"))
+    support, community = J.others(value, c("_sum_v"), c("_count_v"))
+    rows = rows.withColumns({"support": support, "community": community, "community_broad": J.others(broad, c("_sum_b"), c("_count_b"))[1]})
     return rows.select(
         "l_orderkey", "o_custkey", "n_regionkey", "support", "community", "community_broad", value.cast("double").alias("household"), "l_discount", "l_tax", c("l_quantity").alias("weight"),
         (c("l_extendedprice") / 10000).alias("y1"), (c("l_extendedprice") / c("l_quantity") / 1000).alias("y2"), (c("l_extendedprice") < 30000).cast("double").alias("low"), (c("l_extendedprice") < 5000).cast("double").alias("severe"),
@@ -125,10 +131,9 @@ def g14_exposure_variants(t):
 def g16_weight_variants(t):
     """Nine models: three outcomes under equal region totals (A), the stated weight (B) and none (C)."""
     df = units(t).na.drop(subset=["community", *CONTROLS])
-    df, fits = W.equal_group_weights(df, "n_regionkey", "weight", scaled=True, name="equal").withColumn("one", F.lit(1.0)), {}
-    for label, w in (("A", "equal"), ("B", "weight"), ("C", "one")):
-        fits |= {(label, m): f for (_, m), f in G.fit_grid(df, {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, w, "o_custkey", None, EFFECTS).items()}
-    return table(t, fits)
+    df = W.equal_group_weights(df, "n_regionkey", "weight", scaled=True, name="equal").withColumn("one", F.lit(1.0))
+    samples = {label: (F.lit(True), w) for label, w in (("A", "equal"), ("B", "weight"), ("C", "one"))}
+    return table(t, G.fit_grid(df, {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, "weight", "o_custkey", None, EFFECTS, samples=samples))
 
 
 @query()
@@ -140,9 +145,8 @@ def g15_household_baseline(t):
 def g17_support_sensitivity(t):
     """Nine models: three outcomes on all units with an exposure and on those whose exposure rests on at least 5 and 10 other
     households; how many units each keeps, and their percent of all with one."""
-    df, fits = units(t), {}
-    for least in (1, 5, 10):
-        fits |= {(f"support_{least}", m): f for (_, m), f in G.fit_grid(df.where(c("support") >= least), {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, "weight", "o_custkey", None, EFFECTS).items()}
+    samples = {f"support_{least}": (c("support") >= least, "weight") for least in (1, 5, 10)}
+    fits = G.fit_grid(units(t), {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, "weight", "o_custkey", None, EFFECTS, samples=samples)
     whole = {m: f.n for (label, m), f in fits.items() if label == "support_1"}
     kept = t.spark.createDataFrame([(label, m, f.n, round(100 * f.n / max(whole[m], 1), 6)) for (label, m), f in fits.items()], "scope string, model string, retained_n long, retained_percent double")
     return table(t, fits).join(kept, ["scope", "model"])
@@ -151,9 +155,8 @@ def g17_support_sensitivity(t):
 @query()
 def g19_region_effects_models(t):
     """The model with region effects on its natural sample and on the sample that all models share."""
-    df, spec = units(t), {"region_effects": ("y1", ["community", *CONTROLS])}
-    natural, common = (G.fit_grid(d, spec, "weight", "o_custkey", None, EFFECTS) for d in (df, df.na.drop(subset=["household"])))
-    return table(t, {("natural", m): f for (_, m), f in natural.items()} | {("common", m): f for (_, m), f in common.items()})
+    samples = {"natural": (F.lit(True), "weight"), "common": (c("household").isNotNull(), "weight")}
+    return table(t, G.fit_grid(units(t), {"region_effects": ("y1", ["community", *CONTROLS])}, "weight", "o_custkey", None, EFFECTS, samples=samples))
 
 
 @query()
@@ -214,22 +217,20 @@ def g25_block_sequence(t):
 def g27_models_by_group(t):
     """For each region the model with and without the absorbed cluster effects, and the support of the latter."""
     df = units(t).na.drop(subset=["community"])
-    plain = G.fit_grid(df, {"plain": ("y1", ["community", *CONTROLS])}, "weight", "o_custkey", "n_regionkey")
-    fits = {key: f for key, f in plain.items() if key[0] != "ALL"}
-    for (level, _) in list(fits):
-        fits[level, "absorbed"] = G.fit_absorbed(df.where(c("n_regionkey") == int(level)), "y1", ["community"], CONTROLS, "weight", "o_custkey")
-    return table(t, fits)
+    right = ("y1", ["community", *CONTROLS])
+    fits = G.fit_grid(df, {"plain": right}, "weight", "o_custkey", "n_regionkey") | G.absorbed_grid(df, {"absorbed": right}, "weight", "o_custkey", "n_regionkey")
+    return table(t, {key: f for key, f in fits.items() if key[0] != "ALL"})
 
 
 @query()
 def g40_own_and_common_sample(t):
     """Each exposure's model on its own sample and on the rows where every exposure is known."""
-    df, fits = units(t), {}
-    for x in ("community", "community_broad", "household"):
-        fits |= {("own", x): f for f in G.fit_grid(df, {x: ("y1", [x, *CONTROLS])}, "weight", "o_custkey", None, EFFECTS).values()}
-    common = df.na.drop(subset=["community", "community_broad", "household"])
-    fits |= {("common", m): f for (_, m), f in G.fit_grid(common, {x: ("y1", [x, *CONTROLS]) for x in ("community", "community_broad", "household")}, "weight", "o_custkey", None, EFFECTS).items()}
-    return table(t, fits)
+    exposures = ("community", "community_broad", "household")
+    known = units(t).withColumns({f"known_{x}": c(x).isNotNull() for x in exposures}).na.fill(0.0, list(exposures))
+    # a sample fits every exposure; only those that its rows have are kept
+    samples = {x: (c(f"known_{x}"), "weight") for x in exposures} | {"common": (c("known_community") & c("known_community_broad") & c("known_household"), "weight")}
+    found = G.fit_grid(known, {x: ("y1", [x, *CONTROLS]) for x in exposures}, "weight", "o_custkey", None, EFFECTS, samples=samples)
+    return table(t, {("own" if sample == m else sample, m): f for (sample, m), f in found.items() if sample in (m, "common")})
 
 
 @query(f"select n_regionkey, count(*) n, count(*) filter (where o_orderstatus <> 'P') n_household, round(100 * count(*) filter (where o_orderstatus <> 'P') / count(*), 6) percent from {HOUSEHOLDS} group by 1")
@@ -263,7 +264,7 @@ def e20_inference_conventions(t):
 @query()
 def e21_second_route(t):
     """Region effects as explicit columns against their absorption by demeaning: the largest difference of each coefficient."""
-    df = units(t).na.drop(subset=["community"])
+    df = stored(units(t).na.drop(subset=["community"]).select("o_custkey", "n_regionkey", "y1", "community", *CONTROLS, "weight", *EFFECTS), "units")
     explicit = G.fit_grid(df, {"m": ("y1", ["community", *CONTROLS])}, "weight", "o_custkey", None, EFFECTS)["ALL", "m"]
     absorbed = G.fit_absorbed(df, "y1", ["community"], CONTROLS, "weight", "n_regionkey")
     rows = [(x, round(float(explicit.beta[explicit.terms.index(x)]), 7), round(float(absorbed.beta[absorbed.terms.index(x)]), 7), bool(abs(explicit.beta[explicit.terms.index(x)] - absorbed.beta[absorbed.terms.index(x)]) < 1e-6)) for x in ("community", *CONTROLS)]

@@ -57,3 +57,16 @@ def test_cascade_of_every_model(spark, sf_dir):
     assert left["4", "y2", "3", "start"] == df.count() and left["4", "y2", "3", "after_controls"] == used.count()
     assert {r.clusters for r in rows if (r.scope, r.outcome, r.design) == ("4", "y2", "3")} == {used.select("o_custkey").distinct().count()}
     assert sum(r.excluded for r in rows if r.name == "after_exposure") > 0
+
+
+def test_grid_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(60).select((F.col("id") % 7).alias("g"), F.lit(1.0).alias("w"), (F.col("id") % 2).cast("string").alias("s"), F.udf(passed, "double").asNondeterministic()("id").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    fits = regress.fit_grid(rows, {"a": ("y", ["x"])}, "w", "g", "s")
+    assert {k: f.n for k, f in fits.items()} == {("ALL", "a"): 60, ("0", "a"): 30, ("1", "a"): 30} and fits["ALL", "a"].clusters == 7
+    assert seen.value == 60
