@@ -1,12 +1,11 @@
-"""Within-cluster designs with blocks of dummies, from sums by cell: ranks, dependence, residual exposures, equal codings.
+"""Within-cluster designs with blocks of dummies: ranks, dependence, residual exposures, equal codings.
 
-A design has dense columns and blocks. A block is a column of levels that stands for a dummy a level; the dummies are never
-made. Rows are summed by design, cluster and levels once (the only shuffle of rows, and a written table); all products within
-clusters follow from these sums: of two levels from their rows and their shares of each cluster, of a level and a dense column
-from the column's sum at the level. What reaches the driver is one matrix a design, of its dense columns and levels.
+A design has dense columns and blocks. A block is a column of levels that stands for a dummy a level; only a task's run of rows
+has the dummies as an array. Units are dealt by cluster once, whatever the number of designs; a task holds whole clusters, adds up
+each design's products within clusters, and returns one matrix a design. These are added by design, and one each reaches the driver.
 
-Dense columns are taken as differences from their cluster's median before they are multiplied, so that products keep their
-digits. Rows with a missing or NaN value in any column, cluster or block are left out. Weights must be positive.
+Dense columns are taken as differences from their cluster's mean before they are multiplied, so that products keep their
+digits. Rows with a missing or NaN value in any column of the design, cluster or block are left out. Weights must be positive.
 """
 
 from __future__ import annotations
@@ -14,15 +13,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.sources.tables import stored
 
+from . import cluster_runs as R
 from .regress import ABSORBED, RANK_TOLERANCE, scaled_rank
 
 #: Levels of all designs together, whose pairs reach the driver.
 MOST_LEVELS = 20_000
+#: Numbers of a run's matrix.
+CELLS_AT_ONCE = 1 << 23
 #: A column counts as dependent on others from this R squared on.
 DEPENDENT = 0.999999
 
@@ -104,89 +106,218 @@ class Within:
         }
 
 
-def cells(rows: DataFrame, design: str, cluster: str, dense: list[str], blocks: list[str], weight: str | None = None) -> DataFrame:
-    """A written table of the sums by design, cluster and levels."""
-    number = lambda x: F.nanvl(F.col(x).cast("double"), F.lit(None))
-    base = rows.select(F.col(design).cast("string").alias("_d"), F.col(cluster).alias("_c"), (number(weight) if weight else F.lit(1.0)).alias("_w"), *[number(x).alias(f"x{i}") for i, x in enumerate(dense)], *[F.col(b).cast("string").alias(f"b{i}") for i, b in enumerate(blocks)]).na.drop().where("_w > 0")
-    own = Window.partitionBy("_c")
-    base = base.withColumns({f"p{i}": F.median(f"x{i}").over(own) for i in range(len(dense))}).withColumns({f"x{i}": F.col(f"x{i}") - F.col(f"p{i}") for i in range(len(dense))})
-    sums = [F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(len(dense))]
-    sums += [F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(len(dense)) for j in range(i, len(dense))]
-    sums += [f(c).alias(c) for c, f in ((f"p{i}", F.max) for i in range(len(dense)))] + [F.min("x0").alias("low"), F.max("x0").alias("high")]
-    return stored(base.groupBy("_d", "_c", *[f"b{i}" for i in range(len(blocks))]).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *sums), "design-cells")
+@dataclass(frozen=True)
+class Design:
+    """dense: its dense columns, the exposure first; sample: a boolean column, null is false; needs: more columns that must be present."""
 
+    dense: tuple[str, ...]
+    sample: str | None = None
+    needs: tuple[str, ...] = ()
 
-def within(rows: DataFrame, design: str, cluster: str, dense: list[str], blocks: list[str], weight: str | None = None) -> dict[str, Within]:
+
+SUMS = "design string, n long, w double, clusters long, singletons long, varying long, names array<string>, mean array<double>, spread array<double>, gram array<double>"
+
+
+@dataclass
+class Sums:
+    """Of a design's rows in some clusters. names, gram as in Within; spread: squares around the mean of these rows."""
+
+    n: int
+    w: float
+    clusters: int
+    singletons: int
+    varying: int
+    names: list[str]
+    mean: np.ndarray
+    spread: np.ndarray
+    gram: np.ndarray
+
+    def __add__(self, other: Sums) -> Sums:
+        """Of both. A level that one of them lacks has the mean 0 there."""
+        names = self.names if self.names == other.names else list(dict.fromkeys([*self.names, *other.names]))
+        place = {x: i for i, x in enumerate(names)}
+        mean, spread, gram = np.zeros((2, len(names))), np.zeros(len(names)), np.zeros((len(names), len(names)))
+        for k, one in enumerate((self, other)):
+            at = [place[x] for x in one.names]
+            mean[k, at] = one.mean
+            spread[at] += one.spread
+            gram[np.ix_(at, at)] += one.gram
+        w = self.w + other.w
+        apart = mean[1] - mean[0]
+        added = [getattr(self, k) + getattr(other, k) for k in ("n", "w", "clusters", "singletons", "varying")]
+        return Sums(*added, names, mean[0] + apart * (other.w / w), spread + apart * apart * (self.w * other.w / w), gram)
+
+    def row(self, design: str) -> dict:
+        return {k: [v] for k, v in {"design": design, **vars(self), "mean": self.mean.tolist(), "spread": self.spread.tolist(), "gram": self.gram.ravel().tolist()}.items()}
+
+    @staticmethod
+    def read(r) -> Sums:
+        own = list(r["names"])
+        return Sums(*[r[k] for k in ("n", "w", "clusters", "singletons", "varying")], own, np.array(r["mean"]), np.array(r["spread"]), np.array(r["gram"]).reshape(len(own), len(own)))
+
+
+def _sums(part: R.Part, dense: list[np.ndarray], labels: list[str], w: np.ndarray | None, blocks: list[tuple[np.ndarray, list[str]]]) -> Sums:
+    """blocks: each row's level by number, and the names of the levels."""
+    k, names = len(labels), [*labels, *[x for _, levels in blocks for x in levels]]
+    x = np.zeros((len(names), part.n))
+    own = np.ones(part.n) if w is None else w[part.rows]
+    weight = part.sums(own)
+    x[:k] = [v[part.rows] for v in dense]
+    total = own.sum()
+    varying = part.varying(x[0])
+    # around a value of their cluster first, so that its mean keeps its digits
+    near = x[:k, part.starts]
+    x[:k] -= part.spread_out(near)
+    middle = part.sums(x[:k] * own) / weight
+    x[:k] -= part.spread_out(middle)
+    middle += near
+    mean = np.zeros(len(names))
+    mean[:k] = middle @ weight / total
+    spread = (x[:k] * x[:k]) @ own + ((middle - mean[:k, None]) ** 2) @ weight
+    at = k
+    for code, levels in blocks:
+        x[at + code[part.rows], np.arange(part.n)] = 1.0
+        at += len(levels)
+    weighted = x * own
+    s = part.sums(weighted)
+    mean[k:] = s[k:].sum(axis=1) / total
+    spread = np.r_[spread, total * mean[k:] * (1 - mean[k:])]
+    return Sums(part.n, float(total), len(part.starts), int((part.sizes == 1).sum()), varying, names, mean, spread, weighted @ x.T - (s / weight) @ s.T)
+
+
+def _runs_of(columns: int, run, starts):
+    """A run in parts of whole clusters, so that its matrix of so many columns stays small."""
+    most, ends, first = max(CELLS_AT_ONCE // max(columns, 1), 1), np.r_[starts, run.num_rows], 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(ends, ends[first] + most, side="right")) - 1, first + 1)
+        yield run.slice(ends[first], ends[last] - ends[first]), starts[first:last] - starts[first]
+        first = last
+
+
+def _level_sums(designs: dict[str, Design] | None, labels: list[str], blocks: list[str]):
+    """The work of a task: a row for each design. Without designs, a column _d names that of each row and dense columns have their labels."""
+
+    def work(runs):
+        found: dict[str, Sums] = {}
+        known = [{} for _ in blocks]
+        for whole, begins in runs:
+            for b, seen in zip(blocks, known, strict=True):
+                for v in whole.column(b).unique().to_pylist():
+                    seen.setdefault(v, len(seen))
+            if sum(map(len, known)) > MOST_LEVELS:
+                raise ValueError(f"over {MOST_LEVELS} levels")
+            for run, starts in _runs_of(len(labels) + sum(map(len, known)), whole, begins):
+                numbers = {x: R.values(run.column(x)) for x in run.column_names if x not in (R.CLUSTER, "_d", *blocks)}
+                missing = {x: np.isnan(v) for x, v in numbers.items() if v.dtype != bool}
+                own = R.cluster_numbers(starts, run.num_rows)
+                levels = []
+                for b, seen in zip(blocks, known, strict=True):
+                    coded = run.column(b).combine_chunks().dictionary_encode()
+                    levels.append((np.array([seen[v] for v in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()], [f"{b}={v}" for v in seen]))
+                if designs is None:
+                    coded = run.column("_d").combine_chunks().dictionary_encode()
+                    place = coded.indices.to_numpy()
+                    members = [(d, Design(tuple(labels)), place == i) for i, d in enumerate(coded.dictionary.to_pylist())]
+                else:
+                    members = [(d, x, numbers[x.sample] if x.sample else np.ones(run.num_rows, dtype=bool)) for d, x in designs.items()]
+                parts: dict[tuple, R.Part] = {}
+                for d, design, mask in members:
+                    gone = [missing[x] for x in (*design.dense, *design.needs)]
+                    mask = mask & ~np.logical_or.reduce(gone)
+                    # designs often use the same rows
+                    key = np.packbits(mask).tobytes()
+                    if key not in parts:
+                        parts[key] = R.Part(mask, own)
+                    part = parts[key]
+                    if part.n:
+                        s = _sums(part, [numbers[x] for x in design.dense], labels, numbers.get("_w"), levels)
+                        found[d] = found[d] + s if d in found else s
+        for d, s in found.items():
+            yield s.row(d)
+
+    return work
+
+
+def _merged(rows):
+    import pandas as pd
+
+    out = None
+    for _, r in rows.iterrows():
+        one = Sums.read(r)
+        out = one if out is None else out + one
+    return pd.DataFrame(out.row(rows["design"].iloc[0]))
+
+
+def within(rows: DataFrame, design: str | dict[str, Design], cluster: str, dense: list[str], blocks: list[str], weight: str | None = None) -> dict[str, Within]:
     """The products within clusters of every design. The first dense column is the exposure whose variation is counted.
 
-    rows: one a unit and design that it belongs to.
+    design: a column that names it, in rows that are one a unit and design that it belongs to; or the designs by name, in rows
+    that are one a unit, so that a unit moves once however many designs it is in. dense are then the names for their columns.
     """
-    table, k = cells(rows, design, cluster, dense, blocks, weight), len(dense)
-    names = lambda i: F.concat(F.lit(f"{blocks[i]}="), F.col(f"b{i}"))
-    if blocks and table.select("_d", F.explode(F.array(*[names(i) for i in range(len(blocks))]))).distinct().limit(MOST_LEVELS + 1).count() > MOST_LEVELS:
-        raise ValueError(f"over {MOST_LEVELS} levels")
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    clusters = table.groupBy("_d", "_c").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)], *[F.sum(f"g{i}_{j}").alias(f"g{i}_{j}") for i, j in pairs], *[F.max(f"p{i}").alias(f"p{i}") for i in range(k)], (F.min("low") < F.max("high")).alias("varies"))
-    level = {r[0]: r[1:] for r in table.groupBy("_d").agg(*[F.avg(f"p{i}") for i in range(k)]).collect()}
-    if not level:
-        return {}
-    levels = F.broadcast(rows.sparkSession.createDataFrame([(d, list(map(float, v))) for d, v in level.items()], "l_d string, level array<double>"))
-    off = lambda i: F.col(f"p{i}") + F.col(f"s{i}") / F.col("w") - F.get("level", F.lit(i))
-    sums = {"n": F.sum("n"), "w": F.sum("w"), "clusters": F.count(F.lit(1)), "singletons": F.count_if(F.col("n") == 1), "varying": F.count_if("varies")}
-    sums |= {f"g{i}_{j}": F.sum(F.col(f"g{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")) for i, j in pairs}
-    sums |= {f"m{i}": F.sum(F.col("w") * off(i)) for i in range(k)} | {f"d{i}": F.sum(F.col("w") * off(i) * off(i)) for i in range(k)}
-    whole = {r["_d"]: r for r in clusters.join(levels, F.col("_d") == F.col("l_d")).groupBy("_d").agg(*[v.alias(x) for x, v in sums.items()]).collect()}
-    crossed, paired = {}, {}
-    if blocks:
-        # a level's share of each cluster, and the dense columns' sums at it
-        at_level = table.select("_d", "_c", "w", *[f"s{i}" for i in range(k)], F.explode(F.array(*[names(i) for i in range(len(blocks))])).alias("f"))
-        at_level = at_level.groupBy("_d", "_c", "f").agg(F.sum("w").alias("wf"), *[F.sum(f"s{i}").alias(f"t{i}") for i in range(k)])
-        joined = at_level.join(clusters.select("_d", "_c", F.col("w").alias("wc"), *[f"s{i}" for i in range(k)]), ["_d", "_c"])
-        for r in joined.groupBy("_d", "f").agg(F.sum("wf").alias("w"), *[F.sum(F.col(f"t{i}") - F.col(f"s{i}") * F.col("wf") / F.col("wc")).alias(f"t{i}") for i in range(k)]).collect():
-            crossed.setdefault(r["_d"], {})[r["f"]] = r
-        both = joined.groupBy("_d", "_c").agg(F.max("wc").alias("wc"), F.collect_list(F.struct("f", "wf")).alias("all"))
-        both = both.select("_d", "wc", F.explode("all").alias("a"), "all").select("_d", "wc", "a", F.explode("all").alias("b")).where("a.f <= b.f")
-        minus = both.groupBy("_d", F.col("a.f").alias("f"), F.col("b.f").alias("h")).agg((-F.sum(F.col("a.wf") * F.col("b.wf") / F.col("wc"))).alias("v"))
-        own = F.array(*[F.struct(F.least(names(i), names(j)).alias("f"), F.greatest(names(i), names(j)).alias("h")) for i in range(len(blocks)) for j in range(i, len(blocks))])
-        plus = table.select("_d", "w", F.explode(own).alias("p")).groupBy("_d", "p.f", "p.h").agg(F.sum("w").alias("v"))
-        for d, f, h, v in minus.unionByName(plus).groupBy("_d", "f", "h").agg(F.sum("v")).collect():
-            paired.setdefault(d, {})[f, h] = v
-    out = {}
-    for d, r in whole.items():
-        found = sorted(crossed.get(d, {}))
-        all_names = [*dense, *found]
-        g = np.zeros((len(all_names), len(all_names)))
-        for i, j in pairs:
-            g[i, j] = g[j, i] = r[f"g{i}_{j}"]
-        place = {f: i + k for i, f in enumerate(found)}
-        for f, x in crossed.get(d, {}).items():
-            g[place[f], :k] = g[:k, place[f]] = [x[f"t{i}"] for i in range(k)]
-        for (f, h), v in paired.get(d, {}).items():
-            g[place[f], place[h]] = g[place[h], place[f]] = v
-        spread = [r[f"g{i}_{i}"] + r[f"d{i}"] - r[f"m{i}"] ** 2 / r["w"] for i in range(k)]
-        spread += [crossed[d][f]["w"] * (1 - crossed[d][f]["w"] / r["w"]) for f in found]
-        out[d] = Within(all_names, g, np.array(spread), r["n"], r["w"], r["clusters"], r["singletons"], r["varying"])
+    listed = None if isinstance(design, str) else design
+    columns = dense if listed is None else list(dict.fromkeys(x for d in listed.values() for x in (*d.dense, *d.needs)))
+    flags = [] if listed is None else list(dict.fromkeys(d.sample for d in listed.values() if d.sample))
+    label = lambda kind, names: {x: f"{kind}{i}" for i, x in enumerate(names)}
+    to_column, to_flag, to_block = label("x", columns), label("f", flags), label("b", blocks)
+    base = rows.where(F.col(cluster).isNotNull())
+    for b in blocks:
+        base = base.where(F.col(b).isNotNull())
+    if weight:
+        base = base.where(R.number(weight) > 0)
+    if listed is None:
+        base = base.where(F.col(design).isNotNull())
+    base = base.select(F.col(cluster).alias(R.CLUSTER), *([F.col(design).cast("string").alias("_d")] if listed is None else []), *([R.number(weight).alias("_w")] if weight else []), *[R.number(x).alias(k) for x, k in to_column.items()], *[F.col(x).alias(k) for x, k in to_flag.items()], *[F.col(x).alias(k) for x, k in to_block.items()])
+    after = [F.col(x).cast("string").alias(x) if x in to_block.values() else F.col(x) for x in base.columns]
+    if listed is None:
+        work = _level_sums(None, list(to_column.values()), list(to_block.values()))
+    else:
+        own = {k: Design(tuple(to_column[x] for x in d.dense), to_flag.get(d.sample), tuple(to_column[x] for x in d.needs)) for k, d in listed.items()}
+        work = _level_sums(own, [f"x{i}" for i in range(len(dense))], list(to_block.values()))
+    done = stored(R.dealt(base, work, SUMS, *after), "design-sums").groupBy("design").applyInPandas(_merged, SUMS)
+    out, levels = {}, 0
+    for r in done.collect():
+        s = Sums.read(r)
+        # a level that no row of the design has is no column of it
+        keep = [i for i in range(len(s.names)) if i < len(dense) or s.mean[i] > 0]
+        names = [*dense, *[f"{blocks[int(k[1:])]}={v}" for k, _, v in (s.names[i].partition("=") for i in keep[len(dense) :])]]
+        order = [*range(len(dense)), *sorted(range(len(dense), len(names)), key=lambda i: names[i])]
+        at = [keep[i] for i in order]
+        levels += len(at) - len(dense)
+        if levels > MOST_LEVELS:
+            raise ValueError(f"over {MOST_LEVELS} levels")
+        out[r["design"]] = Within([names[i] for i in order], s.gram[np.ix_(at, at)], s.spread[at], s.n, s.w, s.clusters, s.singletons, s.varying)
     return out
 
 
-def residual_gap(rows: DataFrame, cluster: str, dense: list[str], block: str, weight: str, first: dict[str, float], second: dict[str, float]) -> float:
-    """The largest absolute difference, times the root of the weight, of two residual vectors of one target over all rows.
+def residual_gaps(rows: DataFrame, cluster: str, dense: list[str], block: str, weight: str, pairs: list[tuple[dict[str, float], dict[str, float]]]) -> list[float]:
+    """For each pair of projections of one target, the largest absolute difference, times the root of the weight, of their
+    residuals over all rows.
 
-    first, second: coefficients by name (dense columns, "block=level"). The target cancels out, so a row's difference is the
+    A projection's coefficients are by name (dense columns, "block=level"). The target cancels out, so a row's difference is the
     demeaned value of the difference of the projections; it is computed row by row, and only the largest comes back.
     """
-    gap = {x: first.get(x, 0.0) - second.get(x, 0.0) for x in {*first, *second}}
-    at_level = rows.sparkSession.createDataFrame([(x.removeprefix(f"{block}="), float(v)) for x, v in gap.items() if x.startswith(f"{block}=")] or [(None, 0.0)], "_l string, _v double")
-    number = lambda x: F.nanvl(F.col(x).cast("double"), F.lit(None))
-    base = rows.select(F.col(cluster).alias("_c"), number(weight).alias("_w"), *[number(x).alias(f"x{i}") for i, x in enumerate(dense)], F.col(block).cast("string").alias("_b")).na.drop().where("_w > 0")
-    own = Window.partitionBy("_c")
-    value = F.coalesce("_v", F.lit(0.0))
-    for i, x in enumerate(dense):
-        value = value + F.lit(float(gap.get(x, 0.0))) * (F.col(f"x{i}") - F.col(f"p{i}"))
-    # levels are few: their count was checked when the products were made
-    base = base.withColumns({f"p{i}": F.median(f"x{i}").over(own) for i in range(len(dense))}).join(F.broadcast(at_level), F.col("_b") == F.col("_l"), "left").withColumn("_d", value)
-    base = base.withColumn("_m", F.sum(F.col("_w") * F.col("_d")).over(own) / F.sum("_w").over(own))
-    return float(base.agg(F.max(F.sqrt("_w") * F.abs(F.col("_d") - F.col("_m")))).first()[0] or 0.0)
+    gaps = [{x: a.get(x, 0.0) - b.get(x, 0.0) for x in {*a, *b}} for a, b in pairs]
+    on_dense = np.array([[g.get(x, 0.0) for x in dense] for g in gaps])
+    on_level = [{x.removeprefix(f"{block}="): v for x, v in g.items() if x.startswith(f"{block}=")} for g in gaps]
+    base = rows.select(F.col(cluster).alias(R.CLUSTER), R.number(weight).alias("_w"), *[R.number(x).alias(f"x{i}") for i, x in enumerate(dense)], F.col(block).cast("string").alias("_b")).na.drop().where("_w > 0")
+
+    def work(runs):
+        most = np.zeros(len(gaps))
+        for run, starts in runs:
+            part, w = R.Part(np.ones(run.num_rows, dtype=bool), R.cluster_numbers(starts, run.num_rows)), R.values(run.column("_w"))
+            middle = lambda v: part.spread_out(part.sums(w * v) / part.sums(w))  # noqa: E731, B023
+            x = np.array([R.values(run.column(f"x{i}")) for i in range(len(dense))])
+            # around a value of their cluster, then around its mean
+            x = x - part.spread_out(x[:, part.starts])
+            x = x - middle(x)
+            coded = run.column("_b").combine_chunks().dictionary_encode()
+            for k, level in enumerate(on_level):
+                d = on_dense[k] @ x + np.array([level.get(v, 0.0) for v in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+                most[k] = max(most[k], float((np.sqrt(w) * np.abs(d - middle(d))).max()))
+        yield {"pair": list(range(len(gaps))), "gap": most.tolist()}
+
+    found = dict(R.dealt(base, work, "pair int, gap double").groupBy("pair").agg(F.max("gap")).collect())
+    return [found.get(k) or 0.0 for k in range(len(gaps))]
 
 
 @dataclass
@@ -224,22 +355,21 @@ class Comparison:
 def compare_codings(rows: DataFrame, cluster: str, outcomes: list[str], x: str, modes: dict[str, list[str]], block: str, codings: dict[str, list[str]], weight: str) -> dict[str, Comparison]:
     """Two codings of one block (name: the levels that have a column) as nuisances of x, for each mode of controls.
 
-    x itself never enters the spaces that are compared. All modes and outcomes share one pass over the rows; each mode takes
-    another for the residuals.
+    x itself never enters the spaces that are compared. All modes and outcomes share one pass over the rows, and one more for the
+    residuals.
     """
     controls = list(dict.fromkeys(c for names in modes.values() for c in names))
     dense = [x, *outcomes, *controls]
     g = within(rows.withColumn("_one_design", F.lit("all")), "_one_design", cluster, dense, [block], weight)["all"]
     columns = {k: [f"{block}={v}" for v in levels] for k, levels in codings.items()}
     sets = [*columns.values(), list(dict.fromkeys(v for names in columns.values() for v in names))]
-    out = {}
+    left = {}
     for mode, own in modes.items():
-        found = {}
+        found = left[mode] = {}
         for name, levels in columns.items():
             nuisance = g.survive([*own, *levels])
             rest = float(g.left(nuisance)[0, 0])
             found[name] = Coding(g.rank(nuisance), {y: g.partial(y, x, nuisance) for y in outcomes}, float(np.sqrt(max(rest, 0.0))), dict(zip(nuisance, g.coefficients(x, nuisance).tolist(), strict=True)))
-        first, second = found.values()
-        gap = residual_gap(rows, cluster, dense, block, weight, first.coefficients, second.coefficients)
-        out[mode] = Comparison(g.n, g.clusters, tuple(g.rank(c) for c in sets), tuple(g.rank(c, own) for c in sets), found, gap)
-    return out
+    gaps = residual_gaps(rows, cluster, dense, block, weight, [tuple(coding.coefficients for coding in found.values()) for found in left.values()])
+    ranks = tuple(g.rank(c) for c in sets)
+    return {mode: Comparison(g.n, g.clusters, ranks, tuple(g.rank(c, modes[mode]) for c in sets), found, gap) for (mode, found), gap in zip(left.items(), gaps, strict=True)}

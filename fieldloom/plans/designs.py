@@ -1,4 +1,4 @@
-"""Design diagnostics and codings of years, from sums by cell: G38, G45.
+"""Design diagnostics and codings of years, from products within clusters: G38, G45.
 
 Units are line items, clusters customers, samples regions; region 4 has two candidate rules. The exposures by product and
 window are those of the historical grid.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import designs as D
 from fieldloom.operators import weights as W
+from fieldloom.sources.tables import stored
 
 from .base import UNITS, query
 from .own_samples import COLUMNS, OUTCOMES, PRODUCTS, WINDOWS
@@ -26,17 +27,22 @@ CELLS = list(crossed(PRODUCTS, WINDOWS, OUTCOMES))
 
 
 def design_rows(t) -> DataFrame:
-    """A row for each unit and design (sample/product/window/outcome) that it belongs to."""
-    rows = t.units.select("o_custkey", *[F.expr(e).alias(k) for k, e in (DENSE | BLOCKS | OUTCOMES).items()], *[F.expr(COLUMNS[f"x_{p}_{w}"]).cast("double").alias(f"x_{p}_{w}") for p, w in crossed(PRODUCTS, WINDOWS)], F.array(*[F.when(F.expr(e), F.lit(k)) for k, e in SAMPLES.items()]).alias("samples"))
-    member = F.array(*[F.struct(F.lit(f"{p}/{w}/{y}").alias("cell"), F.when(c(y).isNotNull(), c(f"x_{p}_{w}")).alias("e")) for p, w, y in CELLS])
-    out = rows.select("o_custkey", *DENSE, *BLOCKS, F.explode(F.array_compact("samples")).alias("sample"), member.alias("m")).withColumn("m", F.explode("m")).where("m.e is not null")
-    return out.select("o_custkey", *DENSE, *BLOCKS, F.concat_ws("/", "sample", "m.cell").alias("design"), c("m.e").alias("e"))
+    """A row for each unit, with a flag for each sample."""
+    rows = {x: F.expr(e).cast("double").alias(x) for x, e in (DENSE | {f"x_{p}_{w}": COLUMNS[f"x_{p}_{w}"] for p, w in crossed(PRODUCTS, WINDOWS)}).items()}
+    # an outcome only says which rows are complete
+    known = [F.when(F.expr(e).isNotNull(), 1.0).alias(y) for y, e in OUTCOMES.items()]
+    return t.units.select("o_custkey", *rows.values(), *known, *[F.expr(e).alias(k) for k, e in BLOCKS.items()], *[F.expr(e).alias(k) for k, e in SAMPLES.items()])
+
+
+def designs() -> dict[str, D.Design]:
+    """By sample/product/window/outcome."""
+    return {f"{s}/{p}/{w}/{y}": D.Design((f"x_{p}_{w}", *DENSE), s, (y,)) for s, (p, w, y) in crossed(SAMPLES, CELLS)}
 
 
 def diagnosed(t) -> list[tuple[list[str], str, D.Within, dict]]:
     """(sample, product, window, outcome), variant, products, diagnostics; with month dummies for the first outcome only."""
     out = []
-    for design, g in sorted(D.within(design_rows(t), "design", "o_custkey", ["e", *DENSE], list(BLOCKS)).items()):
+    for design, g in sorted(D.within(design_rows(t), designs(), "o_custkey", ["e", *DENSE], list(BLOCKS)).items()):
         key = design.split("/")
         columns = [*g.block("year")[1:], *DENSE]
         out.append((key, "proposed", g, g.diagnostics("e", columns)))
@@ -87,7 +93,8 @@ def g45_nuisance_spaces(t):
     Each region counts years from its own start, as surveys of different years do.
     """
     rows = t.units.select("o_custkey", "n_regionkey", c("l_quantity").alias("qty"), F.expr(COLUMNS["x_a_post_12m"]).cast("double").alias("e"), *[F.expr(e).alias(k) for k, e in (DENSE | OUTCOMES).items()], F.concat_ws(":", "n_regionkey", F.year("l_shipdate") + c("n_regionkey")).alias("year"))
-    rows = W.equal_group_weights(rows.na.drop(), "n_regionkey", "qty", scaled=True, name="w")
+    # the units are joined once; weights, levels, products and residuals read what is written here
+    rows = W.equal_group_weights(stored(rows.na.drop(), "coded-units"), "n_regionkey", "qty", scaled=True, name="w")
     levels = sorted(tuple(r[0].split(":")) for r in rows.select("year").distinct().limit(D.MOST_LEVELS).collect())
     first = {g: min(y for h, y in levels if h == g) for g, _ in levels}
     codings = {"own_reference": [f"{g}:{y}" for g, y in levels if y != first[g]], "one_reference": [f"{g}:{y}" for g, y in levels if y != min(first.values())]}
