@@ -10,16 +10,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.smallmath import chi2_p, normal_p, normal_quantile, t_p, t_quantile
 from fieldloom.sources.tables import stored
 
+from . import cluster_runs as R
 from .weights import demean, drop_singletons, equal_group_weights
 
 #: Scaled Gram eigenvalues below this share of the largest count as zero.
 RANK_TOLERANCE = 1e-12
+#: Clusters whose means are broadcast.
+FEW = 1000
 #: A regressor whose within variation is below this share of its total is absorbed.
 ABSORBED = 1e-10
 
@@ -266,28 +269,87 @@ def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str
     return fits
 
 
+def _cluster_sums(columns: int, weights: int):
+    """The work of a task on whole clusters: for each weight, scope and cluster, sums and products of columns around the cluster's mean."""
+
+    def work(runs):
+        for run, begins in runs:
+            coded = run.column("_scope").combine_chunks().dictionary_encode()
+            scopes = [*coded.dictionary.to_pylist(), None]
+            code = coded.indices.fill_null(len(scopes) - 1).to_numpy()
+            of_cluster = R.cluster_numbers(begins, run.num_rows)
+            order = np.lexsort((code, of_cluster))
+            keys, x = run.column(R.CLUSTER), np.array([R.values(run.column(f"x{i}")) for i in range(columns)])
+            for k in range(weights):
+                w = R.values(run.column(f"w{k}"))
+                rows = order[w[order] > 0]
+                if not len(rows):
+                    continue
+                own, at, w = of_cluster[rows], code[rows], w[rows]
+                changes = own[1:] != own[:-1]
+                starts, parts = (np.r_[0, np.flatnonzero(v) + 1] for v in (changes, changes | (at[1:] != at[:-1])))
+                sizes = np.diff(np.r_[starts, len(rows)])
+                near = x[:, rows[starts]]
+                v = x[:, rows] - np.repeat(near, sizes, axis=1)
+                middle = np.add.reduceat(v, starts, axis=1) / sizes
+                v -= np.repeat(middle, sizes, axis=1)
+                middle = np.repeat(near + middle, sizes, axis=1)[:, parts]
+                weighted = v * w
+                out = {"_weight": np.full(len(parts), k, dtype=np.int32), "_scope": [scopes[i] for i in at[parts]], "_cluster": keys.take(rows[parts]).combine_chunks(), "n": np.diff(np.r_[parts, len(rows)]), "w": np.add.reduceat(w, parts)}
+                out |= {f"p{i}": middle[i] for i in range(columns)} | {f"s{i}": np.add.reduceat(weighted[i], parts) for i in range(columns)}
+                yield out | {f"g{i}_{j}": np.add.reduceat(weighted[i] * v[j], parts) for i in range(columns) for j in range(i, columns)}
+
+    return work
+
+
+def _within_sums(rows: DataFrame, columns: int, weights: int) -> DataFrame:
+    """Sums by weight, scope and cluster of written rows (_scope, _c, x0.., w0..), around a level of each cluster.
+
+    Few clusters may have any number of rows: their means are broadcast and the sums are partial ones of every task, so no row
+    moves. Many clusters are dealt out, and whole ones summed as arrays.
+    """
+    pairs = [(i, j) for i in range(columns) for j in range(i, columns)]
+    if rows.select(R.CLUSTER).distinct().limit(FEW + 1).count() > FEW:
+        kind = rows.schema[R.CLUSTER].dataType.simpleString()
+        ddl = f"_weight int, _scope string, _cluster {kind}, n long, w double, " + ", ".join(f"{x} double" for x in [*[f"p{i}" for i in range(columns)], *[f"s{i}" for i in range(columns)], *[f"g{i}_{j}" for i, j in pairs]])
+        return R.dealt(rows, _cluster_sums(columns, weights), ddl)
+    near = rows.groupBy(F.col(R.CLUSTER).alias("_cluster")).agg(*[F.avg(f"x{i}").alias(f"p{i}") for i in range(columns)])
+    met = rows.join(F.broadcast(near), F.col(R.CLUSTER) == F.col("_cluster")).withColumns({f"x{i}": F.col(f"x{i}") - F.col(f"p{i}") for i in range(columns)})
+    met = met.withColumn("_w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"w{k}").alias("v")) for k in range(weights)]))).where("_w.v > 0")
+    sums = [F.max(f"p{i}").alias(f"p{i}") for i in range(columns)] + [F.sum(F.col("_w.v") * F.col(f"x{i}")).alias(f"s{i}") for i in range(columns)] + [F.sum(F.col("_w.v") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i, j in pairs]
+    return met.groupBy(F.col("_w.k").alias("_weight"), "_scope", "_cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_w.v").alias("w"), *sums)
+
+
 def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None) -> dict[tuple[str, str], Fit]:
-    """Many models with absorbed cluster effects, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
+    """absorbed_grids under one weight."""
+    return absorbed_grids(df, specs, [weight], cluster, scope)[weight]
+
+
+def absorbed_grids(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weights: list[str], cluster: str, scope: str | None = None) -> dict[str, dict[tuple[str, str], Fit]]:
+    """Many models with absorbed cluster effects, name: (outcome, regressors), for all rows ("ALL") and each level of scope, under each weight.
 
     Within sums are a cluster's cross products less those of its means, so one aggregate by cluster holds all that the
-    models and their scores need. Columns are taken as differences from their cluster's plain mean first (the rows are dealt
-    by cluster once, for both), so that the products keep their digits at any level of a column. Singleton clusters go. All models use the rows where every column is
-    present; a model whose first regressor is absorbed, or whose rank is short, is refused. t(G - 1) law.
+    models and their scores need. Columns are taken as differences from their cluster's plain mean first, so that the products
+    keep their digits at any level of a column. Rows are written once, for all weights. Singleton clusters go. All models use
+    the rows where every column is present; a model whose first regressor is absorbed, or whose rank is short, is refused. t(G - 1) law.
     """
     xs = list(dict.fromkeys(x for _, right in specs.values() for x in right))
     columns = xs + list(dict.fromkeys(y for y, _ in specs.values()))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    rows = df.na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0)
-    rows = rows.select(F.col(scope).cast("string").alias("_scope") if scope else F.lit("ALL").alias("_scope"), F.col(cluster).alias("_cluster"), F.col(weight).alias("_w"), *[F.col(x).cast("double").alias(x) for x in columns])
-    level = [v or 0.0 for v in rows.agg(*[F.avg(x) for x in columns]).first()]
-    near = {f"p{i}": F.avg(x).over(Window.partitionBy("_cluster")) for i, x in enumerate(columns)}
-    rows = rows.withColumns(near).withColumns({x: F.col(x) - F.col(f"p{i}") for i, x in enumerate(columns)})
-    sums = rows.groupBy("_scope", "_cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *[F.max(f"p{i}").alias(f"p{i}") for i in range(len(columns))], *[F.sum(F.col("_w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(columns)], *[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs])
+    rows = df.na.drop(subset=[*columns, cluster]).select((F.col(scope).cast("string") if scope else F.lit("ALL")).alias("_scope"), F.col(cluster).alias(R.CLUSTER), *[R.number(w).alias(f"w{k}") for k, w in enumerate(weights)], *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)])
+    sums = _within_sums(stored(rows, "absorbed-rows"), len(columns), len(weights))
     if scope:
-        names = [x for x in sums.columns if x not in ("_scope", "_cluster")]
-        pooled = sums.groupBy("_cluster").agg(*[(F.max(x) if x[0] == "p" else F.sum(x)).alias(x) for x in names]).withColumn("_scope", F.lit("ALL"))
+        sums = stored(sums, "scope-within")
+        names = [x for x in sums.columns if x not in ("_weight", "_scope", "_cluster")]
+        pooled = sums.groupBy("_weight", "_cluster").agg(*[(F.max(x) if x[0] == "p" else F.sum(x)).alias(x) for x in names]).withColumn("_scope", F.lit("ALL"))
         sums = sums.where("_scope is not null").unionByName(pooled.select(sums.columns))
     sums = stored(sums.where("n >= 2"), "cluster-within")
+    return {w: _absorbed_fits(sums.where(F.col("_weight") == k), specs, xs, columns, pairs) for k, w in enumerate(weights)}
+
+
+def _absorbed_fits(sums: DataFrame, specs: dict[str, tuple[str, list[str]]], xs: list[str], columns: list[str], pairs: list[tuple[int, int]]) -> dict[tuple[str, str], Fit]:
+    """The fits from the sums by scope and cluster."""
+    level = [v or 0.0 for v in sums.agg(*[F.avg(f"p{i}") for i in range(len(columns))]).first()]
     within = lambda i, j: F.col(f"g{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")
     # the spread of the clusters' means tells what is absorbed from what is only small
     off = lambda i: F.col(f"p{i}") + F.col(f"s{i}") / F.col("w") - F.lit(float(level[i]))
@@ -316,7 +378,7 @@ def absorbed_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight
         betas.append((level, row))
     if not kept:
         return fits
-    table = df.sparkSession.createDataFrame(betas, "_level string, _beta array<double>")
+    table = sums.sparkSession.createDataFrame(betas, "_level string, _beta array<double>")
     scored, products, place = sums.join(F.broadcast(table), F.col("_scope") == F.col("_level")), [], {}
     scores = {}
     for s, (name, (y, right)) in enumerate(specs.items()):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import regress as G
 from fieldloom.operators.own_samples import Model, own_sample_grid
+from fieldloom.sources.tables import stored
 
 from .base import UNITS, query
 
@@ -60,11 +61,10 @@ def cells(t, fits: dict, **more) -> DataFrame:
 
 
 def grid(t, cluster: str = "o_custkey", outcomes=OUTCOMES, exposures=EXPOSURES, scope: str | None = "n_regionkey", df: DataFrame | None = None) -> dict:
-    df, out = units(t) if df is None else df, {}
-    for w in ("qty", "one"):
-        specs = {f"{y}/{x}/{w}/{design}": (y, [x] if design == "alone" else [x, CONTROL[x]]) for y in outcomes for x in exposures for design in ("alone", "controlled")}
-        out |= G.absorbed_grid(df, specs, w, cluster, scope)
-    return out
+    specs = {(y, x, design): (y, [x] if design == "alone" else [x, CONTROL[x]]) for y in outcomes for x in exposures for design in ("alone", "controlled")}
+    named = {"/".join(k): v for k, v in specs.items()}
+    fits = G.absorbed_grids(units(t) if df is None else df, named, ["qty", "one"], cluster, scope)
+    return {(level, f"{y}/{x}/{w}/{design}"): fits[w][level, f"{y}/{x}/{design}"] for w in fits for level in dict.fromkeys(k for k, _ in fits[w]) for y, x, design in specs}
 
 
 @query(f"select scope, outcome, exposure, weight, design, round(beta, 6) beta, round(se, 6) se, n, clusters from ({grid_sql()})")
@@ -80,7 +80,7 @@ def g39_absorbed_model_grid(t):
 )
 def g20_cluster_effects_model(t):
     """Absorbed effects of few clusters against explicit dummies of them, the error if each counted as a column, and the support."""
-    df = units(t)
+    df = stored(units(t).select("n_nationkey", "o_custkey", "qty", "one", "y1", "l_discount", "l_tax"), "few-cluster-units")
     fits, rows = grid(t, "n_nationkey", ("y1",), ("l_discount",), None, df), []
     explicit, dummies = G.region_dummies(df, "n_nationkey")
     held = G.support(df.withColumn("household", c("o_custkey")), "n_nationkey", "household", ["l_discount"]).first()
@@ -121,6 +121,7 @@ def g44_primary_cells(t):
 )
 def g45_year_codings(t):
     """Year effects that all regions share against years of each region, with and without a control."""
-    df = units(t).withColumn("local", c("n_regionkey") * 10000 + c("yr"))
+    df = units(t).select("yr", (c("n_regionkey") * 10000 + c("yr")).alias("local"), "qty", "one", *OUTCOMES, "l_discount", "l_tax")
+    df = stored(df, "year-units")
     both = [cells(t, grid(t, key, OUTCOMES, ("l_discount",), None, df)).withColumn("coding", F.lit(name)) for name, key in (("global", "yr"), ("by_region", "local"))]
     return both[0].unionByName(both[1]).select("coding", "outcome", "weight", "design", "beta", "se", "n", "clusters")
