@@ -80,6 +80,40 @@ def dealt(rows: DataFrame, work: Callable[[Iterator[tuple[pa.Table, np.ndarray]]
     return held.mapInArrow(run, schema)
 
 
+def arrays(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as arrays of a column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x, dtype=float).ravel()))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as a matrix."""
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def added(table: DataFrame, work: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray]]], keys: str) -> dict[tuple, np.ndarray]:
+    """The sums of vectors by key, which work yields for each batch of rows: added up in every task, then over tasks. keys: their DDL."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(f"{keys}, v array<double>")
+    names = schema.names[:-1]
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, v in work(batch):
+                found[key] = found[key] + v if key in found else v
+        for key, v in found.items():
+            yield pa.RecordBatch.from_pydict({**{k: [x] for k, x in zip(names, key, strict=True)}, "v": [v.tolist()]}, schema=to_arrow_schema(schema))
+
+    each = table.mapInArrow(run, schema).select(*names, F.posexplode("v").alias("at", "x")).groupBy(*names, "at").agg(F.sum("x").alias("x"))
+    out: dict[tuple, dict[int, float]] = {}
+    for *key, at, x in each.collect():
+        out.setdefault(tuple(key), {})[at] = x
+    return {key: np.array([v[i] for i in range(len(v))]) for key, v in out.items()}
+
+
 class Part:
     """The rows of a run that one model uses, by cluster: x holds columns as differences from their cluster's mean."""
 

@@ -187,85 +187,174 @@ def support(df: DataFrame, cluster: str, household: str, exposures: list[str]) -
     return varies.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(every).alias("clusters_varying"), F.sum(F.when(every, F.col("households")).otherwise(0)).alias("households_varying"), F.sum(F.when(every, F.col("units")).otherwise(0)).alias("units_varying"))
 
 
+@dataclass(frozen=True)
+class Family:
+    """Models, name: (outcome, regressors), on the rows where every column of the family is present. Columns of effects join each
+    model (or those named in effects_in) and leave it where they are constant in a scope."""
+
+    specs: dict[str, tuple[str, list[str]]]
+    effects: tuple[str, ...] = ()
+    effects_in: tuple[str, ...] | None = None
+
+    @property
+    def xs(self) -> list[str]:
+        return list(dict.fromkeys(["_one", *[x for _, right in self.specs.values() for x in right], *self.effects]))
+
+    @property
+    def columns(self) -> list[str]:
+        return self.xs + list(dict.fromkeys(y for y, _ in self.specs.values()))
+
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        """The products that a fit uses: all but those of two outcomes."""
+        k, xs = len(self.columns), len(self.xs)
+        return [(i, j) for i in range(k) for j in range(i, k) if i < xs or i == j]
+
+    def places(self) -> np.ndarray:
+        """Where the product of two columns stands among the pairs."""
+        at = np.zeros((len(self.columns), len(self.columns)), dtype=np.int64)
+        for k, (i, j) in enumerate(self.pairs):
+            at[i, j] = at[j, i] = k
+        return at
+
+
+def _cluster_products(families: list[tuple[list[str], list[tuple[int, int]]]], samples: list[tuple[str, str, str]]):
+    """The work of a task on whole clusters: a row for each family, cluster and scope (or sample) with the sums of products.
+
+    pooled: the row is all that its cluster has, so it counts in ALL too; a cluster in several scopes has a row ALL of its own."""
+
+    def work(runs):
+        for run, begins in runs:
+            numbers = {x: R.values(run.column(x)) for x in run.column_names if x not in (R.CLUSTER, "_scope")}
+            of_cluster = R.cluster_numbers(begins, run.num_rows)
+            if samples:
+                members = [(name, numbers[flag] & ~np.isnan(numbers[w]), numbers[w]) for name, flag, w in samples]
+            else:
+                coded = run.column("_scope").combine_chunks().dictionary_encode()
+                scopes = [*coded.dictionary.to_pylist(), None]
+                code = coded.indices.fill_null(len(scopes) - 1).to_numpy()
+                order = np.lexsort((code, of_cluster))
+                members = [(None, np.ones(run.num_rows, dtype=bool), numbers["w"])]
+            for f, (columns, pairs) in enumerate(families):
+                known = ~np.logical_or.reduce([np.isnan(numbers[x]) for x in columns])
+                for name, mask, weight in members:
+                    mask = mask & known
+                    rows = np.flatnonzero(mask) if samples else order[mask[order]]
+                    if not len(rows):
+                        continue
+                    own = of_cluster[rows]
+                    changes = own[1:] != own[:-1]
+                    starts = np.r_[0, np.flatnonzero(changes if samples else changes | (code[rows][1:] != code[rows][:-1])) + 1]
+                    x = np.array([np.ones(len(rows)), *[numbers[c][rows] for c in columns]])
+                    weighted = x * weight[rows]
+                    g = np.array([np.add.reduceat(weighted[i] * x[j], starts) for i, j in pairs]).T
+                    n = np.diff(np.r_[starts, len(rows)])
+                    if samples:
+                        yield _product_rows(f, [name] * len(n), np.zeros(len(n), dtype=bool), n, g)
+                        continue
+                    at = code[rows[starts]]
+                    first = np.r_[0, np.flatnonzero(own[starts][1:] != own[starts][:-1]) + 1]
+                    several = np.diff(np.r_[first, len(starts)]) > 1
+                    several[at[first] == len(scopes) - 1] = True
+                    apart = np.repeat(several, np.diff(np.r_[first, len(starts)]))
+                    named = at < len(scopes) - 1
+                    yield _product_rows(f, [scopes[i] for i in at[named]], ~apart[named], n[named], g[named])
+                    if several.any():
+                        whole = several.sum()
+                        yield _product_rows(f, ["ALL"] * whole, np.zeros(whole, dtype=bool), np.add.reduceat(n, first)[several], np.add.reduceat(g, first, axis=0)[several])
+
+    return work
+
+
+PRODUCTS = "family int, level string, pooled boolean, n long, g array<double>"
+
+
+def _product_rows(family: int, levels: list[str], pooled: np.ndarray, n: np.ndarray, g: np.ndarray) -> dict:
+    return {"family": np.full(len(n), family, dtype=np.int32), "level": levels, "pooled": pooled, "n": n, "g": R.arrays(g)}
+
+
+def _by_level(batch):
+    """The rows of a batch by family and level, ALL included: key, numbers of rows, products."""
+    family, level, pooled = batch.column("family").to_numpy(), np.array(batch.column("level").to_pylist(), dtype=object), batch.column("pooled").to_numpy(zero_copy_only=False)
+    n = batch.column("n").to_numpy()
+    for f in np.unique(family):
+        own = np.flatnonzero(family == f)
+        g = R.matrix(batch.column("g").take(own))
+        for name in dict.fromkeys([*level[own], *(["ALL"] if pooled[own].any() else [])]):
+            rows = np.flatnonzero((level[own] == name) | (pooled[own] & (name == "ALL")))
+            yield (int(f), name), n[own[rows]], g[rows]
+
+
 def fit_grid(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weight: str, cluster: str, scope: str | None = None, effects: list[str] = (), effects_in: list[str] | None = None, samples: dict[str, tuple[F.Column, str]] | None = None) -> dict[tuple[str, str], Fit]:
-    """Many weighted least-squares models, name: (outcome, regressors), for all rows ("ALL") and each level of scope.
+    """fit_grids of one family."""
+    return fit_grids(df, {"": Family(specs, tuple(effects), effects_in)}, weight, cluster, scope, samples)[""]
 
-    The table is read once however many models there are: one aggregate by cluster (and scope) sums the cross products of
-    every column and is written; scopes add up their clusters' sums, and a cluster's scores follow from its own. All models
-    use the rows where every column is present. Columns of effects join each model (or those named in effects_in) and leave
-    it where they are constant in a scope. Scopes must be few: their small matrices come here. samples (name: condition, weight)
-    stand in place of ALL and scope: a row counts in each one whose condition holds.
+
+def fit_grids(df: DataFrame, families: dict[str, Family], weight: str, cluster: str, scope: str | None = None, samples: dict[str, tuple[F.Column, str]] | None = None) -> dict[str, dict[tuple[str, str], Fit]]:
+    """Families of weighted least-squares models, for all rows ("ALL") and each level of scope.
+
+    The table is read once however many models and families there are: units are dealt by cluster, a task sums the cross products
+    of whole clusters (and scopes) as arrays, and these are written; scopes add up their clusters' sums, and a cluster's scores
+    follow from its own. Scopes must be few: their small matrices come here. samples (name: condition, weight) stand in place of
+    ALL and scope: a row counts in each one whose condition holds and whose weight is known.
     """
-    xs = list(dict.fromkeys(["_one", *[x for _, right in specs.values() for x in right], *effects]))
-    ys = list(dict.fromkeys(y for y, _ in specs.values()))
-    columns = xs + ys
-    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[*columns, weight, cluster]).where(F.col(weight) > 0)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    # products of two outcomes are used nowhere
-    needed = [(i, j) for i, j in pairs if i < len(xs) or i == j]
-    place = {p: k for k, p in enumerate(needed)}
+    listed = list(families.values())
+    columns = list(dict.fromkeys(x for f in listed for x in f.columns if x != "_one"))
+    label = {x: f"x{i}" for i, x in enumerate(columns)}
+    flags = [(name, f"f{k}", f"w{k}") for k, name in enumerate(samples or {})]
+    rows = df.where(F.col(cluster).isNotNull() & (R.number(weight) > 0))
+    held = [F.col(cluster).alias(R.CLUSTER), *[R.number(x).alias(k) for x, k in label.items()]]
     if samples:
-        own = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(k).alias("_scope"), F.col(w).cast("double").alias("_w"))) for k, (condition, w) in samples.items()]))
+        held += [v for (_, f, w), (condition, own) in zip(flags, samples.values(), strict=True) for v in (condition.alias(f), R.number(own).alias(w))]
     else:
-        own = F.array(F.struct((F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("_scope"), F.col(weight).cast("double").alias("_w")))
-    rows = rows.select(F.col(cluster).alias("_c"), F.inline(own), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)])
-    by_cluster = stored(rows.groupBy("_c", "_scope").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{k}") for (i, j), k in place.items()]), "cluster-products")
-    levels = F.array_compact(F.array(F.lit(None if samples else "ALL").cast("string"), F.col("_scope")))
-    scoped = by_cluster.withColumn("_scope", F.explode(levels))
-    totals = [F.sum(f"g{k}") for k in range(len(needed))]
-    sums = [(level, n, *[values[place[p]] if p in place else 0.0 for p in pairs]) for level, n, *values in scoped.groupBy("_scope").agg(F.sum("n"), *totals).collect()]
-    fits, betas, kept = {}, [], {}
-    for level, n, *values in sums:
-        g = np.zeros((len(columns), len(columns)))
-        for (i, j), v in zip(pairs, values, strict=True):
-            g[i, j] = g[j, i] = v
-        spread = {c: g[i, i] - g[0, i] ** 2 / g[0, 0] > ABSORBED * max(g[i, i], 1e-300) for i, c in enumerate(columns)}
-        row = []
-        for name, (y, right) in specs.items():
-            use = ["_one", *right, *[c for c in effects if spread[c] and c not in right and (effects_in is None or name in effects_in)]]
-            at, end = [columns.index(c) for c in use], columns.index(y)
+        held += [(F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("_scope"), R.number(weight).alias("w")]
+    work = _cluster_products([([label[x] for x in f.columns[1:]], f.pairs) for f in listed], flags)
+    by_cluster = stored(R.dealt(rows.select(*held), work, PRODUCTS), "cluster-products")
+
+    def sums(batch):
+        for key, n, g in _by_level(batch):
+            yield key, np.r_[n.sum(), len(n), g.sum(axis=0)]
+
+    totals = R.added(by_cluster, sums, "family int, level string")
+    solved, fits = {}, {name: {} for name in families}
+    kept: dict[tuple, tuple] = {}
+    for (f, level), (n, clusters, *values) in totals.items():
+        name, family = list(families)[f], listed[f]
+        xs, names, n = family.xs, family.columns, int(n)
+        g = np.array(values)[family.places()]
+        spread = {c: g[i, i] - g[0, i] ** 2 / g[0, 0] > ABSORBED * max(g[i, i], 1e-300) for i, c in enumerate(names)}
+        betas = np.zeros((len(xs), len(family.specs)))
+        for s, (model, (y, right)) in enumerate(family.specs.items()):
+            use = ["_one", *right, *[c for c in family.effects if spread[c] and c not in right and (family.effects_in is None or model in family.effects_in)]]
+            at, end = [names.index(c) for c in use], names.index(y)
             sub = g[np.ix_(at, at)]
             rank, _ = scaled_rank(sub)
-            beta = np.zeros(len(xs))
             if rank < len(use) or n <= len(use):
-                fits[level, name] = Fit("non_estimable_rank_deficient", n=n, rank=rank)
+                fits[name][level, model] = Fit("non_estimable_rank_deficient", n=n, rank=rank)
             else:
-                beta[at] = np.linalg.solve(sub, g[at, end])
-                fits[level, name] = Fit("estimated", ["intercept" if c == "_one" else c for c in use], beta[at], None, n, 0, len(use), rank)
-                kept[level, name] = (at, sub)
-            row += [float(b) for b in beta]
-        betas.append((level, row))
+                betas[at, s] = np.linalg.solve(sub, g[at, end])
+                fits[name][level, model] = Fit("estimated", ["intercept" if c == "_one" else c for c in use], betas[at, s], None, n, int(clusters), len(use), rank)
+                kept[f, level, model] = (s, at, sub)
+        solved[f, level] = betas
     if not kept:
         return fits
-    table = df.sparkSession.createDataFrame(betas, "_level string, _beta array<double>")
-    joined = scoped.join(F.broadcast(table), F.col("_scope") == F.col("_level"))
-    product = lambda i, j: F.col(f"g{place[min(i, j), max(i, j)]}")
-    scores, products, at_product = [], [], {}
-    for s, (name, (y, _)) in enumerate(specs.items()):
-        used = sorted({i for (_, m), (at, _) in kept.items() if m == name for i in at})
-        for i in used:
-            score = product(i, columns.index(y))
-            for j in used:
-                score = score - F.col("_beta")[s * len(xs) + j] * product(i, j)
-            scores.append(score.alias(f"s{s}_{i}"))
-            for j in used:
-                if j >= i:
-                    at_product[name, i, j] = len(products)
-                    products.append(F.sum(F.col(f"s{s}_{i}") * F.col(f"s{s}_{j}")).alias(f"m{len(products)}"))
-    # a cluster has one row a scope, and in the pooled one a row for each scope that it lies in
-    names = [f"s{s}_{i}" for s, (name, _) in enumerate(specs.items()) for i in sorted({i for (_, m), (at, _) in kept.items() if m == name for i in at})]
-    whole = joined.select("_scope", "_c", *scores).groupBy("_scope", "_c").agg(*[F.sum(x).alias(x) for x in names])
-    for level, clusters, *m in whole.groupBy("_scope").agg(F.count(F.lit(1)), *products).collect():
-        for name in specs:
-            if (level, name) in kept:
-                at, sub = kept[level, name]
-                fit = fits[level, name]
-                inner = np.array([[m[at_product[name, min(i, j), max(i, j)]] for j in at] for i in at])
-                fit.clusters = clusters
-                if clusters < 2:
-                    fits[level, name] = Fit("non_estimable_one_cluster", n=fit.n, clusters=clusters, rank=fit.rank)
-                else:
-                    fit.cov = crv1(sub, inner, clusters, fit.n, fit.k)
+    shapes = [(len(f.xs), f.places()[: len(f.xs), : len(f.xs)], np.array([f.places()[: len(f.xs), f.columns.index(y)] for y, _ in f.specs.values()])) for f in listed]
+
+    def outer(batch):
+        for key, _, g in _by_level(batch):
+            k, inner, right = shapes[key[0]]
+            fitted = (g[:, inner].reshape(-1, k) @ solved[key]).reshape(len(g), k, -1)
+            scores = g[:, right] - fitted.transpose(0, 2, 1)
+            yield key, np.array([scores[:, s].T @ scores[:, s] for s in range(len(right))]).ravel()
+
+    meats = R.added(by_cluster, outer, "family int, level string")
+    for (f, level, model), (s, at, sub) in kept.items():
+        name, k = list(families)[f], shapes[f][0]
+        fit, inner = fits[name][level, model], meats[f, level].reshape(-1, k, k)[s][np.ix_(at, at)]
+        if fit.clusters < 2:
+            fits[name][level, model] = Fit("non_estimable_one_cluster", n=fit.n, clusters=fit.clusters, rank=fit.rank)
+        else:
+            fit.cov = crv1(sub, inner, fit.clusters, fit.n, fit.k)
     return fits
 
 

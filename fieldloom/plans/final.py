@@ -69,8 +69,9 @@ def g47_model_tables(t):
     prevalence = stack([S.design_proportion(households(t), v.cast("int"), "w", "c_nationkey", "o_custkey", ["n_regionkey"]).withColumn("outcome", F.lit(k)) for k, v in yes.items()])
     interval = F.format_string("[%.1f, %.1f]", 100 * c("low"), 100 * c("high")).alias("interval")
     prevalence = prevalence.select("n_regionkey", "outcome", "n", (100 * c("mean")).alias("percent"), interval)
-    grid = grids.g10_model_grid(t).withColumns({"outcome": F.split("model", "/")[0], "design": F.split("model", "/")[1]})
-    binary = grids.g12_binary_family(t).withColumn("outcome", c("model"))
+    both = grids.families(t, {"main": grids.main_family(), "binary": grids.binary_family()})
+    grid = both["main"].withColumns({"outcome": F.split("model", "/")[0], "design": F.split("model", "/")[1]})
+    binary = both["binary"].withColumn("outcome", c("model"))
     parts = [T.records_panel(prevalence, "table 2", ["n_regionkey", "outcome"], {"percent": 1})]
     parts += outcome_panels(grid.where("scope = 'ALL'"), "table 4", grids.OUTCOMES, "design", TERMS, INFO, "se", True)
     parts += outcome_panels(grid.where("design = '4'"), "table 5", grids.OUTCOMES, "scope", TERMS, None, "ci", False)

@@ -69,11 +69,24 @@ def grid_units(t) -> DataFrame:
     return units(t).withColumns({"years": (c("year") - 1995).cast("double"), "band_b": (c("band") == "b").cast("double"), "band_c": (c("band") == "c").cast("double")})
 
 
+def main_family() -> G.Family:
+    specs = {f"{y}/{design}": (y, right) for y in OUTCOMES for design, right in DESIGNS.items()}
+    return G.Family(specs, tuple(EFFECTS), tuple(m for m in specs if m.endswith("/4")))
+
+
+def binary_family() -> G.Family:
+    return G.Family({y: (y, ["community", *CONTROLS]) for y in ("low", "middle", "severe")}, tuple(EFFECTS))
+
+
+def families(t, listed: dict[str, G.Family]) -> dict[str, DataFrame]:
+    """Tables of families, pooled and by region, from one reading of the units."""
+    return {k: table(t, fits) for k, fits in G.fit_grids(grid_units(t), listed, "weight", "o_custkey", "n_regionkey").items()}
+
+
 @query()
 def g10_model_grid(t):
     """Three outcomes by four nested designs, pooled and by every region; the last design adds the region effects, which are constant within a region."""
-    specs = {f"{y}/{design}": (y, right) for y in OUTCOMES for design, right in DESIGNS.items()}
-    return table(t, G.fit_grid(grid_units(t), specs, "weight", "o_custkey", "n_regionkey", EFFECTS, [m for m in specs if m.endswith("/4")]))
+    return families(t, {"main": main_family()})["main"]
 
 
 _KNOWN = "select n_regionkey, o_custkey, l_extendedprice is not null y1, l_extendedprice / nullif(l_quantity, 0) is not null y2, a > 0 and b > 0 exposed, l_discount is not null and l_tax is not null block, l_shipdate is not null and l_quantity is not null trip"
@@ -104,7 +117,7 @@ def g11_full_cascade(t):
 @query()
 def g12_binary_family(t):
     """15 linear-probability models: three binary outcomes, pooled and by region."""
-    return fitted(t, units(t), {y: (y, ["community", *CONTROLS]) for y in ("low", "middle", "severe")})
+    return families(t, {"binary": binary_family()})["binary"]
 
 
 SEVERE = ("severe", "severe_unit", "severe_both")
