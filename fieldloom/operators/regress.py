@@ -426,6 +426,8 @@ def absorbed_grids(df: DataFrame, specs: dict[str, tuple[str, list[str]]], weigh
     columns = xs + list(dict.fromkeys(y for y, _ in specs.values()))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     rows = df.na.drop(subset=[*columns, cluster]).select((F.col(scope).cast("string") if scope else F.lit("ALL")).alias("_scope"), F.col(cluster).alias(R.CLUSTER), *[R.number(w).alias(f"w{k}") for k, w in enumerate(weights)], *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)])
+    # a row that no weight uses must not move its cluster's mean
+    rows = rows.where(" or ".join(f"w{k} > 0" for k in range(len(weights))))
     sums = _within_sums(stored(rows, "absorbed-rows"), len(columns), len(weights))
     if scope:
         sums = stored(sums, "scope-within")
