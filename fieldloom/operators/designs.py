@@ -159,30 +159,40 @@ class Sums:
 def _sums(part: R.Part, dense: list[np.ndarray], labels: list[str], w: np.ndarray | None, blocks: list[tuple[np.ndarray, list[str]]]) -> Sums:
     """blocks: each row's level by number, and the names of the levels."""
     k, names = len(labels), [*labels, *[x for _, levels in blocks for x in levels]]
-    x = np.zeros((len(names), part.n))
     own = np.ones(part.n) if w is None else w[part.rows]
     weight = part.sums(own)
-    x[:k] = [v[part.rows] for v in dense]
+    x = np.array([v[part.rows] for v in dense])
     total = own.sum()
     varying = part.varying(x[0])
     # around a value of their cluster first, so that its mean keeps its digits
-    near = x[:k, part.starts]
-    x[:k] -= part.spread_out(near)
-    middle = part.sums(x[:k] * own) / weight
-    x[:k] -= part.spread_out(middle)
+    near = x[:, part.starts]
+    x -= part.spread_out(near)
+    middle = part.sums(x * own) / weight
+    x -= part.spread_out(middle)
     middle += near
-    mean = np.zeros(len(names))
+    mean, gram = np.zeros(len(names)), np.zeros((len(names), len(names)))
     mean[:k] = middle @ weight / total
-    spread = (x[:k] * x[:k]) @ own + ((middle - mean[:k, None]) ** 2) @ weight
-    at = k
-    for code, levels in blocks:
-        x[at + code[part.rows], np.arange(part.n)] = 1.0
-        at += len(levels)
+    spread = (x * x) @ own + ((middle - mean[:k, None]) ** 2) @ weight
     weighted = x * own
-    s = part.sums(weighted)
+    gram[:k, :k] = weighted @ x.T
+    # a row has one level of a block, so products with levels are sums by level
+    s, clusters, seen, at = [part.sums(weighted)], np.repeat(np.arange(len(part.starts)), part.sizes), [], k
+    for codes, levels in blocks:
+        code, n = codes[part.rows], len(levels)
+        held = np.bincount(clusters * n + code, own, len(part.starts) * n).reshape(-1, n).T
+        for i in range(k):
+            gram[i, at : at + n] = gram[at : at + n, i] = np.bincount(code, weighted[i], n)
+        for before, first, m in seen:
+            both = np.bincount(before * n + code, own, m * n).reshape(m, n)
+            gram[first : first + m, at : at + n], gram[at : at + n, first : first + m] = both, both.T
+        gram[range(at, at + n), range(at, at + n)] = held.sum(axis=1)
+        s.append(held)
+        seen.append((code, at, n))
+        at += n
+    s = np.concatenate(s)
     mean[k:] = s[k:].sum(axis=1) / total
     spread = np.r_[spread, total * mean[k:] * (1 - mean[k:])]
-    return Sums(part.n, float(total), len(part.starts), int((part.sizes == 1).sum()), varying, names, mean, spread, weighted @ x.T - (s / weight) @ s.T)
+    return Sums(part.n, float(total), len(part.starts), int((part.sizes == 1).sum()), varying, names, mean, spread, gram - (s / weight) @ s.T)
 
 
 def _runs_of(columns: int, run, starts):
