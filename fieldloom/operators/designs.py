@@ -1,7 +1,7 @@
 """Within-cluster designs with blocks of dummies: ranks, dependence, residual exposures, equal codings.
 
-A design has dense columns and blocks. A block is a column of levels that stands for a dummy a level; only a task's run of rows
-has the dummies as an array. Units are dealt by cluster once, whatever the number of designs; a task holds whole clusters, adds up
+A design has dense columns and blocks. A block is a column of levels that stands for a dummy a level; products with dummies are
+sums by level, and only clusters have them as an array. Units are dealt by cluster once, whatever the number of designs; a task holds whole clusters, adds up
 each design's products within clusters, and returns one matrix a design. These are added by design, and one each reaches the driver.
 
 Dense columns are taken as differences from their cluster's mean before they are multiplied, so that products keep their
