@@ -116,26 +116,35 @@ def overlap_weights(clusters: DataFrame, grid: Grid, x: str, y: str, radius: str
     return areas.where(F.col("area") >= SLIVER * F.col("_cell")).select(key, "row", "col", "in_grid", "area")
 
 
-def extract(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: list[str], key: str, grid: Grid | None = None) -> DataFrame:
-    """The area-weighted mean of the valid pixels (value not NULL, 0 to 100) under each cluster's disk, for each layer.
+def _met(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: list[str], key: str, grid: Grid | None) -> DataFrame:
+    """Weights with the values of their cell in the order of the catalogue (_values), NULL where the cell has none.
 
-    Returns one row per cluster and layer, with total_area, valid_fraction, n_cells, n_cells_valid, status (full, partial,
-    missing) and reason. layers is the catalogue of grids, one tuple per grid; a layer has one pixel a cell. A cell is one row
-    with its values in the order of the catalogue, so a weight meets it once and gives a row a layer; one aggregate by cluster
-    and layer follows. A grid of up to MOST_VALUES values is broadcast and the weights stay where overlap_weights dealt them; a
-    larger one, or one of unknown size, is met by a shuffle on the cell. The weights, of which each cluster has many, are never
-    broadcast: Spark takes their size from the small cluster table.
+    A cell is one row, so a weight meets it once. A grid of up to MOST_VALUES values is broadcast and the weights stay where
+    overlap_weights dealt them; a larger one, or one of unknown size, is met by a shuffle on the cell. The weights, of which each
+    cluster has many, are never broadcast: Spark takes their size from the small cluster table.
     """
-    catalogue = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, layer, strict=True)]) for layer in layers])
-    listed = pixels.sparkSession.range(1).select(F.posexplode(catalogue).alias("_i", "_layer")).select("_i", *[F.col(f"_layer.{n}").alias(n) for n in names])
+    listed = pixels.sparkSession.range(1).select(F.posexplode(_catalogue(layers, names)).alias("_i", "_layer")).select("_i", *[F.col(f"_layer.{n}").alias(n) for n in names])
     known = pixels.where(F.col("value").between(0, 100) & (inside(F.col("row"), F.col("col"), grid) if grid else F.lit(True))).join(F.broadcast(listed), names)
     values = F.map_from_entries(F.collect_list(F.struct("_i", F.col("value").cast("double"))))
     cells = known.groupBy("row", "col").agg(F.transform(F.sequence(F.lit(0), F.lit(len(layers) - 1)), lambda i: F.element_at(values, i)).alias("_values"))
     cells = cells.select("row", "col", F.lit(True).alias("in_grid"), "_values")
     if grid and grid.rows * grid.cols * len(layers) <= MOST_VALUES:
-        met = weights.join(F.broadcast(cells), ["row", "col", "in_grid"], "left")
-    else:
-        met = weights.join(cells.hint("merge"), ["row", "col", "in_grid"], "left").repartition(key)
+        return weights.join(F.broadcast(cells), ["row", "col", "in_grid"], "left")
+    return weights.join(cells.hint("merge"), ["row", "col", "in_grid"], "left").repartition(key)
+
+
+def _catalogue(layers: list[tuple], names: list[str]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, layer, strict=True)]) for layer in layers])
+
+
+def extract(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: list[str], key: str, grid: Grid | None = None) -> DataFrame:
+    """The area-weighted mean of the valid pixels (value not NULL, 0 to 100) under each cluster's disk, for each layer.
+
+    Returns one row per cluster and layer, with total_area, valid_fraction, n_cells, n_cells_valid, status (full, partial,
+    missing) and reason. layers is the catalogue of grids, one tuple per grid; a layer has one pixel a cell. A weight gives a row
+    a layer; one aggregate by cluster and layer follows.
+    """
+    met = _met(weights, pixels, layers, names, key, grid)
     empty = F.array_repeat(F.lit(None).cast("double"), len(layers))
     rows = met.select(key, "in_grid", "area", F.posexplode(F.coalesce("_values", empty)).alias("_i", "_v"))
     sums = rows.groupBy(key, "_i").agg(
@@ -145,8 +154,23 @@ def extract(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: l
     share = F.coalesce(F.col("_valid") / F.col("total_area"), F.lit(0.0))
     status = F.when(F.col("_valid").isNull(), "missing").when(share >= FULL, "full").otherwise("partial")
     reason = F.when(F.col("_valid").isNotNull(), F.when(share >= FULL, "").otherwise("incomplete")).when(F.col("_any"), "nodata").otherwise("outside_grid")
-    layer = F.get(catalogue, F.col("_i"))
+    layer = F.get(_catalogue(layers, names), F.col("_i"))
     return sums.select(
         key, *[layer[n].alias(n) for n in names], (F.col("_sum") / F.col("_valid")).alias("value"), status.alias("status"), reason.alias("reason"),
         F.least(share, F.lit(1.0)).alias("valid_fraction"), "total_area", "n_cells", "n_cells_valid",
     )
+
+
+def extract_arrays(weights: DataFrame, pixels: DataFrame, layers: list[tuple], names: list[str], key: str, grid: Grid | None = None) -> DataFrame:
+    """extract's value, whether its status is full, and its valid_fraction as one row a cluster: the arrays values, full and
+    valid_fractions in the order of the catalogue, whose grids are few (each has two sums of its own)."""
+    value = lambda i: F.get("_values", F.lit(i))
+    places = range(len(layers))
+    sums = _met(weights, pixels, layers, names, key, grid).groupBy(key).agg(
+        F.sum("area").alias("_total"), *[F.sum(F.when(value(i).isNotNull(), F.col("area"))).alias(f"_valid_{i}") for i in places], *[F.sum(F.col("area") * value(i)).alias(f"_sum_{i}") for i in places],
+    )
+    share = lambda i: F.coalesce(F.col(f"_valid_{i}") / F.col("_total"), F.lit(0.0))
+    full = lambda i: F.col(f"_valid_{i}").isNotNull() & (share(i) >= FULL)
+    return sums.select(
+        key, F.array(*[F.col(f"_sum_{i}") / F.col(f"_valid_{i}") for i in places]).alias("values"), F.array(*map(full, places)).alias("full"), F.array(*[F.least(share(i), F.lit(1.0)) for i in places]).alias("valid_fractions"),
+    )
