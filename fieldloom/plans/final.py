@@ -108,18 +108,17 @@ def r6_full_appendix(t):
 @query()
 def q13_all_checks(t):
     """24 checks of the stored results before the final tables: shapes, keys, missing numbers, sample sizes, equal fits, metadata, scopes."""
-    families = {"main": grids.g10_model_grid(t), "binary": grids.g12_binary_family(t), "severe": grids.g13_severe_family(t), "variants": grids.g14_exposure_variants(t), "household": grids.g15_household_baseline(t), "weights": grids.g16_weight_variants(t), "support": grids.g17_support_sensitivity(t)}
-    families = {k: stored(v, f"results-{k}") for k, v in families.items()}
+    units = grids.written_units(t)
+    families = {k: stored(v, f"results-{k}") for k, v in grids.all_families(t, units).items()}
     regions = t.households.select("n_regionkey").distinct().count()
     outcomes, designs, singles = len(grids.OUTCOMES), len(grids.DESIGNS), len(grids.SEVERE)
     estimated = lambda k, *more: families[k].where("term = 'community'").select("scope", "model", "beta", *more)
     expected = {"main": outcomes * designs * (regions + 1), "binary": 3 * (regions + 1), "severe": singles, "weights": 3 * outcomes, "support": 3 * outcomes}
     checks = [I.shape(k, estimated(k), n, 3) for k, n in expected.items()]
     checks += [f(k, v) for f in (I.no_duplicates, I.no_missing) for k, v in families.items()]
-    flow = grids.g11_full_cascade(t).where("name = 'after_controls'").select("scope", F.concat_ws("/", "outcome", "design").alias("model"), "left")
     stated, all_units = (families[k].where((c("scope") == s) & (c("term") == "community")) for k, s in (("weights", "B"), ("support", "support_1")))
     checks += [
-        I.same_sizes("main", families["main"], flow, ["scope", "model"]), I.equal_estimates("weights_and_support", stated, all_units, ["model", "term"]),
+        I.same_sizes("main", families["main"], grids.sample_sizes(units), ["scope", "model"]), I.equal_estimates("weights_and_support", stated, all_units, ["model", "term"]),
         I.equal_estimates("binary_and_support", families["binary"].where("scope = 'ALL' and model = 'low' and term = 'community'"), all_units, ["model", "term"]),
         I.one_value("severe_sparsity", families["severe"].where("model = 'severe'"), "regions_without"), I.only_scopes("severe", families["severe"], ["ALL"]),
     ]

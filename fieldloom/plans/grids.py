@@ -78,6 +78,27 @@ def binary_family() -> G.Family:
     return G.Family({y: (y, ["community", *CONTROLS]) for y in ("low", "middle", "severe")}, tuple(EFFECTS))
 
 
+SEVERE = ("severe", "severe_unit", "severe_both")
+
+
+def severe_family() -> G.Family:
+    return G.Family({y: (y, ["community", *CONTROLS]) for y in SEVERE}, tuple(EFFECTS))
+
+
+def variants_family() -> G.Family:
+    return G.Family({f"{y}_{x}": (y, [x, *CONTROLS]) for y in OUTCOMES for x in EXPOSURES}, tuple(EFFECTS))
+
+
+def household_family() -> G.Family:
+    return G.Family({y: (y, ["household", *CONTROLS]) for y in OUTCOMES})
+
+
+#: Models of the samples: three outcomes under weights of their own, or with a least number of other households.
+SAMPLED = {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}
+WEIGHTED = {"A": "equal", "B": "weight", "C": "one"}
+SUPPORTED = {f"support_{least}": least for least in (1, 5, 10)}
+
+
 def families(t, listed: dict[str, G.Family]) -> dict[str, DataFrame]:
     """Tables of families, pooled and by region, from one reading of the units."""
     return {k: table(t, fits) for k, fits in G.fit_grids(grid_units(t), listed, "weight", "o_custkey", "n_regionkey").items()}
@@ -120,49 +141,90 @@ def g12_binary_family(t):
     return families(t, {"binary": binary_family()})["binary"]
 
 
-SEVERE = ("severe", "severe_unit", "severe_both")
+def severe_table(t, df: DataFrame, fits: dict[tuple[str, str], G.Fit]) -> DataFrame:
+    """The severe models with each outcome's events, their share, and the regions that have none."""
+    df = df.na.drop(subset=["community", *CONTROLS])
+    sums = df.groupBy("n_regionkey").agg(n_rows(), *[F.sum(y).alias(y) for y in SEVERE])
+    each = F.array(*[F.struct(F.lit(y).alias("outcome"), c(y).alias("e")) for y in SEVERE])
+    events = sums.select("n", F.inline(each)).groupBy("outcome").agg(F.sum("e").cast("long").alias("events"), F.round(F.sum("e") / F.sum("n"), 8).alias("prevalence"), F.count_if(c("e") == 0).alias("regions_without"), F.count(F.lit(1)).alias("regions"))
+    return table(t, fits).join(events, c("model") == c("outcome"), "left").drop("outcome")
 
 
 @query()
 def g13_severe_family(t):
     """Three severe outcomes, pooled, each with its events, their share, and the regions that have none."""
-    df = units(t).na.drop(subset=["community", *CONTROLS])
-    sums = df.groupBy("n_regionkey").agg(n_rows(), *[F.sum(y).alias(y) for y in SEVERE])
-    each = F.array(*[F.struct(F.lit(y).alias("outcome"), c(y).alias("e")) for y in SEVERE])
-    events = sums.select("n", F.inline(each)).groupBy("outcome").agg(F.sum("e").cast("long").alias("events"), F.round(F.sum("e") / F.sum("n"), 8).alias("prevalence"), F.count_if(c("e") == 0).alias("regions_without"), F.count(F.lit(1)).alias("regions"))
-    return fitted(t, df, {y: (y, ["community", *CONTROLS]) for y in SEVERE}, None).join(events, c("model") == c("outcome"), "left").drop("outcome")
+    df = units(t)
+    return severe_table(t, df, G.fit_grids(df, {"": severe_family()}, "weight", "o_custkey")[""])
 
 
 @query()
 def g14_exposure_variants(t):
     """Six models: three outcomes with the exposure and with its broader coding."""
-    df = units(t)
-    return fitted(t, df, {f"{y}_{x}": (y, [x, *CONTROLS]) for y in OUTCOMES for x in EXPOSURES}, None)
+    return table(t, G.fit_grids(units(t), {"": variants_family()}, "weight", "o_custkey")[""])
+
+
+def with_weights(df: DataFrame) -> DataFrame:
+    """Units of the sampled models, with their weight at equal region totals and none."""
+    df = df.na.drop(subset=["community", *CONTROLS])
+    return W.equal_group_weights(df, "n_regionkey", "weight", scaled=True, name="equal").withColumn("one", F.lit(1.0))
+
+
+def weight_samples() -> dict:
+    return {label: (F.lit(True), w) for label, w in WEIGHTED.items()}
+
+
+def support_samples() -> dict:
+    return {label: (c("support") >= least, "weight") for label, least in SUPPORTED.items()}
 
 
 @query()
 def g16_weight_variants(t):
     """Nine models: three outcomes under equal region totals (A), the stated weight (B) and none (C)."""
-    df = units(t).na.drop(subset=["community", *CONTROLS])
-    df = W.equal_group_weights(df, "n_regionkey", "weight", scaled=True, name="equal").withColumn("one", F.lit(1.0))
-    samples = {label: (F.lit(True), w) for label, w in (("A", "equal"), ("B", "weight"), ("C", "one"))}
-    return table(t, G.fit_grid(df, {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, "weight", "o_custkey", None, EFFECTS, samples=samples))
+    return table(t, G.fit_grid(with_weights(units(t)), SAMPLED, "weight", "o_custkey", None, EFFECTS, samples=weight_samples()))
 
 
 @query()
 def g15_household_baseline(t):
-    return fitted(t, units(t), {y: (y, ["household", *CONTROLS]) for y in ("y1", "y2", "low")}, None, [])
+    return table(t, G.fit_grids(units(t), {"": household_family()}, "weight", "o_custkey")[""])
+
+
+def support_table(t, fits: dict[tuple[str, str], G.Fit]) -> DataFrame:
+    whole = {m: f.n for (label, m), f in fits.items() if label == "support_1"}
+    kept = t.spark.createDataFrame([(label, m, f.n, round(100 * f.n / max(whole[m], 1), 6)) for (label, m), f in fits.items()], "scope string, model string, retained_n long, retained_percent double")
+    return table(t, fits).join(kept, ["scope", "model"])
 
 
 @query()
 def g17_support_sensitivity(t):
     """Nine models: three outcomes on all units with an exposure and on those whose exposure rests on at least 5 and 10 other
     households; how many units each keeps, and their percent of all with one."""
-    samples = {f"support_{least}": (c("support") >= least, "weight") for least in (1, 5, 10)}
-    fits = G.fit_grid(units(t), {y: (y, ["community", *CONTROLS]) for y in OUTCOMES}, "weight", "o_custkey", None, EFFECTS, samples=samples)
-    whole = {m: f.n for (label, m), f in fits.items() if label == "support_1"}
-    kept = t.spark.createDataFrame([(label, m, f.n, round(100 * f.n / max(whole[m], 1), 6)) for (label, m), f in fits.items()], "scope string, model string, retained_n long, retained_percent double")
-    return table(t, fits).join(kept, ["scope", "model"])
+    return support_table(t, G.fit_grid(units(t), SAMPLED, "weight", "o_custkey", None, EFFECTS, samples=support_samples()))
+
+
+def written_units(t) -> DataFrame:
+    """Units of all families, joined and written once."""
+    used = [x for f in (main_family(), binary_family(), severe_family(), variants_family(), household_family()) for x in f.columns if x != "_one"]
+    return stored(grid_units(t).select("o_custkey", "n_regionkey", "support", "weight", *dict.fromkeys(used)), "family-units")
+
+
+def all_families(t, df: DataFrame) -> dict[str, DataFrame]:
+    """Tables of seven families from written units: those with scopes, of which pooled ones keep ALL, in one pass, the samples in another."""
+    pooled = {"severe": severe_family(), "variants": variants_family(), "household": household_family()}
+    fits = G.fit_grids(df, {"main": main_family(), "binary": binary_family(), **pooled}, "weight", "o_custkey", "n_regionkey")
+    fits |= {k: {key: f for key, f in fits[k].items() if key[0] == "ALL"} for k in pooled}
+    sampled = G.fit_grid(with_weights(df), SAMPLED, "weight", "o_custkey", None, EFFECTS, samples=weight_samples() | support_samples())
+    part = lambda labels: {key: f for key, f in sampled.items() if key[0] in labels}
+    return {k: table(t, fits[k]) for k in ("main", "binary", "variants", "household")} | {"severe": severe_table(t, df, fits["severe"]), "weights": table(t, part(WEIGHTED)), "support": support_table(t, part(SUPPORTED))}
+
+
+def sample_sizes(df: DataFrame) -> DataFrame:
+    """scope, model, left: the rows that every column of a model of the main grid leaves, counted without a fit, by which columns are present first."""
+    present = lambda names: F.coalesce(F.forall(F.array(*[c(x).isNotNull() for x in names]), lambda v: v), F.lit(False))
+    parts = {f"_y{i}": [y] for i, y in enumerate(OUTCOMES)} | {f"_d{d}": [*right, *(["n_regionkey"] if d == "4" else [])] for d, right in DESIGNS.items()}
+    counts = df.select("n_regionkey", *[present(names).alias(k) for k, names in parts.items()]).groupBy("n_regionkey", *parts).agg(n_rows())
+    models = F.array(*[F.struct(F.lit(f"{y}/{d}").alias("model"), (c(f"_y{i}") & c(f"_d{d}")).alias("whole")) for i, y in enumerate(OUTCOMES) for d in DESIGNS])
+    rows = counts.select("n", F.inline(models), F.array(F.lit("ALL"), c("n_regionkey").cast("string")).alias("scopes")).select("n", "model", "whole", F.explode("scopes").alias("scope"))
+    return rows.where("scope is not null").groupBy("scope", "model").agg(F.sum(F.when(c("whole"), c("n")).otherwise(0)).alias("left"))
 
 
 @query()
